@@ -8,7 +8,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..core import conf_int
+from ..core import checkpointed, conf_int
 from ..scale import ranked
 from .graph import connected_components
 
@@ -171,7 +171,7 @@ def assign_one_to_one(edges: DataFrame, keys: Sequence[str] = ("image_id", "meth
     """
     keys = list(keys)
     cols = [*keys, "proposal_id", "truth_id", "mask_iou"]
-    e = edges.select(*cols)
+    e = checkpointed(edges.select(*cols))  # read six times below; the pairs behind it are far larger
     pd_ = e.groupBy(*keys, "proposal_id").agg(F.count("*").alias("__dp"))
     td = e.groupBy(*keys, "truth_id").agg(F.count("*").alias("__dt"))
     d = e.join(pd_, [*keys, "proposal_id"]).join(td, [*keys, "truth_id"])

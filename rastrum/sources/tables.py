@@ -10,6 +10,7 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..core import checkpointed
 from ..scale import ranked
 
 METHODS = ("contour-only baseline", "fixed-threshold baseline", "multi-scale fused method", "refined contextual method")
@@ -122,19 +123,20 @@ class Tables:
         j = d.join(l.select("doc_id", "toxic"), "doc_id", "left")
         sha = F.sha2(F.col("text"), 256)
         outcome = F.when(F.col("toxic") == 1, "anomaly_present").when(F.col("toxic") == 0, "no_anomaly").otherwise("")
-        return j.select(
+        # the manifest is what ingestion stores: texts are read and hashed once, all else reads the manifest
+        return checkpointed(j.select(
             F.col("doc_id").alias("image_id"), F.concat(F.lit("d"), F.col("doc_id") % 2).alias("dataset_id"),
             F.lit("v1").alias("dataset_version"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".png")).alias("original_filename"),
             sha.alias("sha256_hash"), text_dhash(F.col("text")).alias("perceptual_hash"),
             F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 == 7, "validation").otherwise("test").alias("split"),
             F.col("lang").alias("anomaly_type"), outcome.alias("image_outcome"),
             F.col("source").alias("source_group_id"),
-            F.when(F.col("doc_id") % 4 == 0, F.concat(F.lit("t:"), F.substring(sha, 1, 8))).otherwise("").alias("template_group_id"),
-            F.when(F.col("doc_id") % 6 == 0, F.concat(F.lit("g:"), F.floor(F.col("doc_id") / 12))).otherwise("").alias("group_id"),
+            F.when(F.col("doc_id") % 3 == 0, F.concat(F.lit("t:"), F.substring(sha, 1, 8))).otherwise("").alias("template_group_id"),
+            F.when(F.col("doc_id") % 5 == 0, F.concat(F.lit("g:"), F.floor(F.col("doc_id") / 20))).otherwise("").alias("group_id"),
             F.when(F.col("doc_id") % 3 == 0, "unique").otherwise("").alias("duplicate_status"),
             (1 + F.col("n_chars") % 97).alias("width"), (1 + F.col("n_chars") % 89).alias("height"),
             F.col("n_chars").alias("file_size"),
-            F.when(F.col("n_chars") == 0, "zero-byte").otherwise("valid").alias("corruption_status"))
+            F.when(F.col("n_chars") == 0, "zero-byte").otherwise("valid").alias("corruption_status")))
 
     # ---- reviews: one row per user and method ------------------------------------------------
     @cached_property
@@ -153,19 +155,48 @@ class Tables:
             F.min(F.when(F.col("event_type") == "purchase", F.col("rn"))).alias("rank"))
         base = F.col("m") < 3
         user = F.col("image_id")
+        secs = (F.unix_micros("t1") - F.unix_micros("t0")) / 1e6
         return g.select(
             F.concat_ws(":", user.cast("string"), F.col("m").cast("string")).alias("record_id"),
             F.lit("REV-1").alias("experiment_id"), F.lit(1).cast("bigint").alias("experiment_version"),
             F.concat(F.lit("img_"), user).alias("image_filename"), method_name(F.col("m")).alias("method"),
             F.concat(F.lit("rev-"), user % 7).alias("reviewer_id"),
-            F.when(base, "not_reviewed").otherwise("reviewed").alias("review_status"),
-            F.when(user % 5 == 0, "no_anomaly").when(user % 5 == 1, "").otherwise("anomaly_present").alias("image_outcome"),
-            F.when(user % 4 == 0, "unknown").otherwise("reviewer_established").alias("ground_truth_status"),
-            F.when(user % 3 > 0, "Final Research Evaluation").otherwise("Development").alias("experiment_status"),
+            F.when(base, "not_reviewed").when(F.col("nr") > 0, "partially_reviewed").otherwise("fully_reviewed").alias("review_status"),
+            F.when(user % 5 == 0, "no anomaly").when(user % 5 == 1, "uncertain").otherwise("anomaly present").alias("image_outcome"),
+            F.when(user % 4 == 0, "unknown").when(user % 4 == 1, "verified ground truth").otherwise("reviewer-estimated").alias("ground_truth_status"),
+            F.when(user % 3 > 0, "Final Research Evaluation").otherwise("Development / Test").alias("experiment_status"),
             F.col("final_proposals"), *[F.when(~base, F.col(c)).alias(nm) for c, nm in
               (("a", "accepted"), ("r", "rejected"), ("u", "uncertain"))],
-            F.col("nr").alias("not_reviewed"), F.col("rank").alias("first_accepted_rank"),
-            F.col("t0").alias("review_start_time"), F.col("t1").alias("review_completion_time"))
+            F.col("nr").alias("not_reviewed"), F.when((user % 5) > 1, F.col("rank")).alias("first_accepted_rank"), (user % 8 == 0).alias("recall_override"),
+            F.when(~base, F.round(secs, 6)).alias("review_duration_seconds"),
+            F.col("t0").alias("review_start_time"), F.col("t1").alias("recorded_timestamp"))
+
+    # ---- dataset registry: one row per source and version -------------------------------------
+    @cached_property
+    def datasets(self) -> DataFrame:
+        d = self.read("documents").groupBy("source", (F.col("doc_id") % 3).alias("v")).agg(F.min("doc_id").alias("k"), F.sum("n_chars").alias("ts"))
+        k = F.col("k")
+        return d.select(
+            F.col("source").alias("dataset_id"), F.concat(F.lit("v"), "v").alias("dataset_version"), F.upper("source").alias("dataset_name"),
+            F.when(k % 3 == 0, "synthetic").when(k % 3 == 1, "public research dataset").otherwise("webscrape").alias("source_type"), F.col("source").alias("source_name"),
+            F.when(k % 5 == 0, "").otherwise("lab").alias("provider_author"), F.when(k % 4 == 0, "unknown").when(k % 4 == 1, "").otherwise("MIT").alias("licence"),
+            (k % 2 == 0).alias("redistribution_allowed"), F.lit("2024-01-01").alias("date_acquired"), F.lit("surface").alias("domain_category"),
+            F.when(k % 4 == 0, "unknown").when(k % 4 == 1, "no annotation").when(k % 4 == 2, "verified dataset annotation").otherwise("verified expert annotation").alias("ground_truth_status"),
+            F.when(k % 2 == 0, "binary masks").otherwise("COCO JSON").alias("annotation_format"), F.col("ts").alias("registered_timestamp"))
+
+    @cached_property
+    def manifest(self) -> DataFrame:
+        """Images with duplicate evidence."""
+        from ..operators.overlap import duplicate_lookup
+        return duplicate_lookup(self.images)
+
+    @property
+    def left(self) -> DataFrame:
+        return self.images.where("dataset_id = 'd0'")
+
+    @property
+    def right(self) -> DataFrame:
+        return self.images.where("dataset_id = 'd1'")
 
     # ---- vectors and 8 x 8 rasters ------------------------------------------------------------
     @cached_property
@@ -226,12 +257,12 @@ SQL = {
       'doc_'||doc_id||'.png' AS original_filename, sha256(text) AS sha256_hash, perceptual_hash,
       CASE WHEN doc_id%10<7 THEN 'train' WHEN doc_id%10=7 THEN 'validation' ELSE 'test' END AS split, lang AS anomaly_type,
       CASE WHEN toxic=1 THEN 'anomaly_present' WHEN toxic=0 THEN 'no_anomaly' ELSE '' END AS image_outcome, source AS source_group_id,
-      CASE WHEN doc_id%4=0 THEN 't:'||substr(sha256(text),1,8) ELSE '' END AS template_group_id,
-      CASE WHEN doc_id%6=0 THEN 'g:'||(doc_id//12) ELSE '' END AS group_id,
+      CASE WHEN doc_id%3=0 THEN 't:'||substr(sha256(text),1,8) ELSE '' END AS template_group_id,
+      CASE WHEN doc_id%5=0 THEN 'g:'||(doc_id//20) ELSE '' END AS group_id,
       CASE WHEN doc_id%3=0 THEN 'unique' ELSE '' END AS duplicate_status, 1+n_chars%97 AS width, 1+n_chars%89 AS height,
       n_chars AS file_size, CASE WHEN n_chars=0 THEN 'zero-byte' ELSE 'valid' END AS corruption_status
       FROM documents LEFT JOIN (SELECT doc_id, toxic FROM labels) USING (doc_id) JOIN hashes USING (doc_id))""",
-    "hashes": """cells AS (SELECT doc_id, c.c, length(s)-length(translate(s,'aeiou ','')) AS v
+    "hashes": """cells AS (SELECT doc_id, c.c, length(s)-length(replace(replace(s,' ',''),'e','')) AS v
         FROM (SELECT doc_id, unnest(range(72)) AS c, text, CAST(length(text) AS BIGINT) AS n FROM documents) c,
         LATERAL (SELECT substr(text, CAST(c.c*n//72+1 AS INTEGER), CAST((c.c+1)*n//72-c.c*n//72 AS INTEGER)) AS s)),
       hashes AS (SELECT a.doc_id, CAST(sum(CASE WHEN b.v>a.v THEN (CASE WHEN bit=63 THEN -9223372036854775808 ELSE CAST(1 AS HUGEINT)<<bit END) ELSE 0 END) AS BIGINT) AS perceptual_hash
@@ -240,22 +271,37 @@ SQL = {
       row_number() OVER (PARTITION BY user_id, event_id%4 ORDER BY ts, event_id) AS rn FROM events)""",
     "reviews": f"""reviews AS (SELECT image_id||':'||m AS record_id, 'REV-1' AS experiment_id, CAST(1 AS BIGINT) AS experiment_version,
       'img_'||image_id AS image_filename, {_M.format('m')} AS method, 'rev-'||(image_id%7) AS reviewer_id,
-      CASE WHEN m<3 THEN 'not_reviewed' ELSE 'reviewed' END AS review_status,
-      CASE WHEN image_id%5=0 THEN 'no_anomaly' WHEN image_id%5=1 THEN '' ELSE 'anomaly_present' END AS image_outcome,
-      CASE WHEN image_id%4=0 THEN 'unknown' ELSE 'reviewer_established' END AS ground_truth_status,
-      CASE WHEN image_id%3>0 THEN 'Final Research Evaluation' ELSE 'Development' END AS experiment_status, final_proposals,
+      CASE WHEN m<3 THEN 'not_reviewed' WHEN nr>0 THEN 'partially_reviewed' ELSE 'fully_reviewed' END AS review_status,
+      CASE WHEN image_id%5=0 THEN 'no anomaly' WHEN image_id%5=1 THEN 'uncertain' ELSE 'anomaly present' END AS image_outcome,
+      CASE WHEN image_id%4=0 THEN 'unknown' WHEN image_id%4=1 THEN 'verified ground truth' ELSE 'reviewer-estimated' END AS ground_truth_status,
+      CASE WHEN image_id%3>0 THEN 'Final Research Evaluation' ELSE 'Development / Test' END AS experiment_status, final_proposals,
       CASE WHEN m>=3 THEN a END AS accepted, CASE WHEN m>=3 THEN r END AS rejected, CASE WHEN m>=3 THEN u END AS uncertain,
-      nr AS not_reviewed, rk AS first_accepted_rank, t0 AS review_start_time, t1 AS review_completion_time
+      nr AS not_reviewed, CASE WHEN image_id%5>1 THEN rk END AS first_accepted_rank, image_id%8=0 AS recall_override,
+      CASE WHEN m>=3 THEN round((epoch_us(t1)-epoch_us(t0))/1e6,6) END AS review_duration_seconds, t0 AS review_start_time, t1 AS recorded_timestamp
       FROM (SELECT image_id, m, count(*) FILTER (event_type='purchase') AS a, count(*) FILTER (event_type='error') AS r,
         count(*) FILTER (event_type='view') AS u, count(*) FILTER (event_type='signup') AS nr, min(ts) AS t0, max(ts) AS t1,
         count(*) AS final_proposals, min(CASE WHEN event_type='purchase' THEN rn END) AS rk FROM event_rows GROUP BY image_id, m))""",
+    "datasets": """datasets AS (SELECT source AS dataset_id, 'v'||v AS dataset_version, upper(source) AS dataset_name,
+      CASE k%3 WHEN 0 THEN 'synthetic' WHEN 1 THEN 'public research dataset' ELSE 'webscrape' END AS source_type, source AS source_name,
+      CASE WHEN k%5=0 THEN '' ELSE 'lab' END AS provider_author, CASE k%4 WHEN 0 THEN 'unknown' WHEN 1 THEN '' ELSE 'MIT' END AS licence, k%2=0 AS redistribution_allowed,
+      '2024-01-01' AS date_acquired, 'surface' AS domain_category,
+      CASE k%4 WHEN 0 THEN 'unknown' WHEN 1 THEN 'no annotation' WHEN 2 THEN 'verified dataset annotation' ELSE 'verified expert annotation' END AS ground_truth_status,
+      CASE WHEN k%2=0 THEN 'binary masks' ELSE 'COCO JSON' END AS annotation_format, ts AS registered_timestamp
+      FROM (SELECT source, doc_id%3 AS v, min(doc_id) AS k, CAST(sum(n_chars) AS BIGINT) AS ts FROM documents GROUP BY 1,2))""",
+    "hp": """hv AS (SELECT DISTINCT perceptual_hash AS h FROM images), hp AS (SELECT a.h AS lh, b.h AS rh, CAST(bit_count(xor(a.h,b.h)) AS BIGINT) AS distance FROM hv a JOIN hv b ON bit_count(xor(a.h,b.h))<=3)""",
+    "manifest": """fc AS (SELECT sha256_hash, min(image_id) AS first_copy FROM images GROUP BY 1),
+      fh AS (SELECT perceptual_hash AS h, min(image_id) AS m FROM images GROUP BY 1), fn AS (SELECT lh AS perceptual_hash, min(m) AS first_near FROM hp JOIN fh ON rh=fh.h GROUP BY 1),
+      manifest AS (SELECT i.*, CASE WHEN first_copy<image_id THEN 'exact image duplicate' WHEN first_near<image_id THEN 'near duplicate' ELSE 'unique' END AS duplicate_type,
+      CASE WHEN first_copy<image_id THEN first_copy WHEN first_near<image_id THEN first_near END AS canonical_image_id,
+      CASE WHEN first_copy<image_id THEN 'sha256:'||sha256_hash WHEN first_near<image_id THEN 'near:'||first_near ELSE '' END AS duplicate_group_id,
+      NOT first_copy<image_id AS split_eligible FROM images i LEFT JOIN fc USING (sha256_hash) LEFT JOIN fn USING (perceptual_hash))""",
     "raster": """raster AS (SELECT vec_id AS image_id, CAST(label AS BIGINT) AS label, CAST(i//8 AS BIGINT) AS y, CAST(i%8 AS BIGINT) AS x,
       CAST(embedding[i+1] AS DOUBLE) AS v FROM (SELECT vec_id, label, embedding, unnest(range(64)) AS i FROM embeddings))""",
     "raster_truth": """raster_truth AS (SELECT image_id, y, x FROM raster WHERE label>=5 AND y BETWEEN label-5 AND label-2
       AND x BETWEEN image_id%4 AND image_id%4+3)""",
 }
 NEEDS = {"truths": ["boxes"], "proposals": ["boxes"], "scope": ["results", "plans", "result_images"], "images": ["hashes"],
-         "reviews": ["event_rows"], "raster_truth": ["raster"]}
+         "reviews": ["event_rows"], "hp": ["images"], "manifest": ["images", "hp"], "raster_truth": ["raster"]}
 
 
 def with_shapes(*names: str) -> str:
