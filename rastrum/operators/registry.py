@@ -157,7 +157,7 @@ def yolo_rows(files: DataFrame) -> DataFrame:
     nums = lambda p: F.transform(F.slice(p, 2, 10000), lambda v: v.try_cast("double"))
     ok = F.forall(parts, lambda p: F.try_element_at(p, F.lit(1)).try_cast("int").isNotNull() & (F.size(p) > 1)
                   & F.forall(nums(p), lambda v: F.coalesce((v >= 0) & (v <= 1), F.lit(False))))
-    return files.select("image_id", ((F.col("width") > 0) & (F.col("height") > 0) & ok).alias("valid"), F.transform(parts, lambda p: p[0]).alias("classes"))
+    return files.select("image_id", *[c for c in files.columns if c == "part"], ((F.col("width") > 0) & (F.col("height") > 0) & ok).alias("valid"), F.transform(parts, lambda p: p[0]).alias("classes"))
 
 
 COCO = "annotations array<struct<id:bigint,category_id:string,bbox:array<double>>>"
@@ -172,7 +172,7 @@ def coco_rows(files: DataFrame) -> DataFrame:
     unique = F.size(F.array_distinct(F.transform("a", lambda x: x["id"]))) == F.size("a")
     parsed = F.try_parse_json("text").isNotNull()
     ok = parsed & F.coalesce(inside & unique, F.lit(True))
-    return j.select("image_id", (ok & (F.col("width") > 0) & (F.col("height") > 0)).alias("valid"),
+    return j.select("image_id", *[c for c in files.columns if c == "part"], (ok & (F.col("width") > 0) & (F.col("height") > 0)).alias("valid"),
                     F.coalesce(F.transform("a", lambda x: x["category_id"]), F.array().cast("array<string>")).alias("classes"))
 
 
@@ -186,7 +186,7 @@ def voc_rows(files: DataFrame) -> DataFrame:
     whole = F.col("text").rlike(r"</annotation>\s*$")
     b = lambda x, c: F.floor(x["bndbox"][c])
     ok = F.coalesce(F.forall(F.col("o.object"), lambda x: _box_ok(b(x, "xmin"), b(x, "ymin"), b(x, "xmax"), b(x, "ymax"))), F.lit(True))
-    return j.select("image_id", (whole & ok & (F.col("width") > 0)).alias("valid"),
+    return j.select("image_id", *[c for c in files.columns if c == "part"], (whole & ok & (F.col("width") > 0)).alias("valid"),
                     F.coalesce(F.transform(F.col("o.object"), lambda x: F.coalesce(x["name"], F.lit("unknown"))), F.array().cast("array<string>")).alias("classes"))
 
 
@@ -195,7 +195,7 @@ def csv_rows(files: DataFrame) -> DataFrame:
     lines = F.filter(F.split("text", r"\r?\n"), lambda v: F.length(v) > 0)
     body = F.transform(F.slice(lines, 2, 1_000_000), lambda v: F.from_csv(v, F.lit("x1 double, y1 double, x2 double, y2 double, class string")))
     ok = (F.size(body) > 0) & F.forall(body, lambda r: _box_ok(r["x1"], r["y1"], r["x2"], r["y2"]))
-    return files.select("image_id", ok.alias("valid"), F.transform(body, lambda r: F.coalesce(r["class"], F.lit("unknown"))).alias("classes"))
+    return files.select("image_id", *[c for c in files.columns if c == "part"], ok.alias("valid"), F.transform(body, lambda r: F.coalesce(r["class"], F.lit("unknown"))).alias("classes"))
 
 
 # ---- reports ------------------------------------------------------------------------------

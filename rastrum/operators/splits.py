@@ -7,7 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import any_row
+from ..core import any_row, checkpointed
 from ..functions.exprs import SHA256_SHAPE, canonical_hash
 from ..scale import ordered_hash, ranked, running_sums
 from .graph import connected_components, star_edges
@@ -206,14 +206,15 @@ def hybrid_manifest(candidates: DataFrame, reasons: DataFrame, seed: int = 27182
     category: a quarter (half-even, at least one, never all) joins the fusion fit, the rest fits the
     normal model. Components with an anomaly join the fusion fit; validation is the holdout.
     """
-    outside = candidates.join(reasons.select("image_id").distinct(), "image_id", "left_anti")
+    # each stage is read several times below, so its lineage is cut once
+    outside = checkpointed(candidates.join(reasons.select("image_id").distinct(), "image_id", "left_anti"))
     comp = identity_components(outside)
-    j = outside.join(comp, "image_id")
+    j = checkpointed(outside.join(comp, "image_id"))
     spans = j.groupBy("group_key").agg(F.count_distinct("split").alias("n"))
     crossing = j.join(spans.where("n > 1"), "group_key", "left_semi").where("split = 'train'").select("image_id", F.lit("holdout:identity_or_group_crossing").alias("reason"))
-    left = j.join(crossing.select("image_id"), "image_id", "left_anti").drop("group_key")
+    left = checkpointed(j.join(crossing.select("image_id"), "image_id", "left_anti").drop("group_key"))
     comp2 = identity_components(left)
-    k = left.join(comp2, "image_id")
+    k = checkpointed(left.join(comp2, "image_id"))
     g = k.groupBy("group_key").agg(F.max("split").alias("split"), F.max((F.col("image_outcome") == "anomaly_present").cast("int")).alias("pos"),
                                    F.min("anomaly_type").alias("category"), F.max((F.coalesce("image_outcome", F.lit("")) == "").cast("int")).alias("unlabelled"))
     clean = g.where("split = 'train' and pos = 0 and unlabelled = 0").withColumn("digest", F.sha2(F.concat_ws("\x1f", F.lit(str(seed)), F.col("group_key").cast("string")), 256))

@@ -1,6 +1,6 @@
 """Every registered query; importing the modules fills the registry."""
 
-from . import matching_queries, registry_queries, results_queries, split_queries  # noqa: F401
+from . import matching_queries, registry_queries, results_queries, split_queries, store_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 FLAGSHIP = "a07_aggregate_v2"

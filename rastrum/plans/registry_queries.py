@@ -53,36 +53,40 @@ def _(t):
 
 
 # ---- annotations derived from the boxes of each image --------------------------------------
-@query("s06_annotation_yolo", "boxes", """SELECT image_id, bool_and(x2<=40 AND y2<=40) AS valid, count(*) AS regions FROM boxes GROUP BY 1""")
+def _parts(t):
+    """Boxes in annotation files of at most 500 regions, so no file grows with a hot image."""
+    return t.boxes.withColumn("part", F.floor((F.col("box_id") - 1) / 500))
+
+
+@query("s06_annotation_yolo", "boxes", """SELECT image_id, (box_id-1)//500 AS part, bool_and(x2<=40 AND y2<=40) AS valid, count(*) AS regions FROM boxes GROUP BY 1,2""")
 def _(t):
     n = lambda c: F.format_string("%.6f", F.col(c) / 40.0)
     line = F.concat_ws(" ", (F.col("l_linenumber") % 4).cast("string"), n("x1"), n("y1"), n("x2"), n("y2"))
-    # an annotation file lists the regions of one image
-    files = t.box_rows.groupBy("image_id").agg(F.array_join(F.collect_list(line), "\n").alias("text")).withColumn("width", F.lit(40)).withColumn("height", F.lit(40))
-    return rg.yolo_rows(files).select("image_id", "valid", F.size("classes").cast("bigint").alias("regions"))
+    files = _parts(t).groupBy("image_id", "part").agg(F.array_join(F.collect_list(line), "\n").alias("text")).withColumn("width", F.lit(40)).withColumn("height", F.lit(40))
+    return rg.yolo_rows(files).select("image_id", "part", "valid", F.size("classes").cast("bigint").alias("regions"))
 
 
-@query("s06_annotation_coco", "boxes", """SELECT image_id, bool_and(x2<=36 AND y2<=36) AND count(DISTINCT l_linenumber)=count(*) AS valid, count(*) AS regions FROM boxes GROUP BY 1""")
+@query("s06_annotation_coco", "boxes", """SELECT image_id, (box_id-1)//500 AS part, bool_and(x2<=36 AND y2<=36) AND count(DISTINCT l_linenumber)=count(*) AS valid, count(*) AS regions FROM boxes GROUP BY 1,2""")
 def _(t):
     ann = F.struct(F.col("l_linenumber").alias("id"), F.col("flag").alias("category_id"), F.array("x1", "y1", F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")).alias("bbox"))
-    files = (t.box_rows.groupBy("image_id").agg(F.to_json(F.struct(F.collect_list(ann).alias("annotations"))).alias("text")).withColumn("width", F.lit(36)).withColumn("height", F.lit(36)))
-    return rg.coco_rows(files).select("image_id", "valid", F.size("classes").cast("bigint").alias("regions"))
+    files = (_parts(t).groupBy("image_id", "part").agg(F.to_json(F.struct(F.collect_list(ann).alias("annotations"))).alias("text")).withColumn("width", F.lit(36)).withColumn("height", F.lit(36)))
+    return rg.coco_rows(files).select("image_id", "part", "valid", F.size("classes").cast("bigint").alias("regions"))
 
 
-@query("s06_annotation_voc", "boxes", """SELECT image_id, bool_and(x2<=36 AND y2<=36) AS valid, count(*) AS regions FROM boxes GROUP BY 1""")
+@query("s06_annotation_voc", "boxes", """SELECT image_id, (box_id-1)//500 AS part, bool_and(x2<=36 AND y2<=36) AS valid, count(*) AS regions FROM boxes GROUP BY 1,2""")
 def _(t):
     obj = F.format_string("<object><name>%s</name><bndbox><xmin>%d</xmin><ymin>%d</ymin><xmax>%d</xmax><ymax>%d</ymax></bndbox></object>", "flag", "x1", "y1", "x2", "y2")
-    files = (t.box_rows.groupBy("image_id").agg(F.concat(F.lit("<annotation>"), F.array_join(F.collect_list(obj), ""), F.lit("</annotation>")).alias("text"))
+    files = (_parts(t).groupBy("image_id", "part").agg(F.concat(F.lit("<annotation>"), F.array_join(F.collect_list(obj), ""), F.lit("</annotation>")).alias("text"))
              .withColumn("width", F.lit(36)).withColumn("height", F.lit(36)))
-    return rg.voc_rows(files).select("image_id", "valid", F.size("classes").cast("bigint").alias("regions"))
+    return rg.voc_rows(files).select("image_id", "part", "valid", F.size("classes").cast("bigint").alias("regions"))
 
 
-@query("s06_annotation_csv", "boxes", """SELECT image_id, bool_and(x2<=36 AND y2<=36) AS valid, count(*) AS regions FROM boxes GROUP BY 1""")
+@query("s06_annotation_csv", "boxes", """SELECT image_id, (box_id-1)//500 AS part, bool_and(x2<=36 AND y2<=36) AS valid, count(*) AS regions FROM boxes GROUP BY 1,2""")
 def _(t):
     row = F.concat_ws(",", *[F.col(c).cast("string") for c in ("x1", "y1", "x2", "y2", "flag")])
-    files = (t.box_rows.groupBy("image_id").agg(F.concat(F.lit("x1,y1,x2,y2,class\n"), F.array_join(F.collect_list(row), "\n")).alias("text"))
+    files = (_parts(t).groupBy("image_id", "part").agg(F.concat(F.lit("x1,y1,x2,y2,class\n"), F.array_join(F.collect_list(row), "\n")).alias("text"))
              .withColumn("width", F.lit(36)).withColumn("height", F.lit(36)))
-    return rg.csv_rows(files).select("image_id", "valid", F.size("classes").cast("bigint").alias("regions"))
+    return rg.csv_rows(files).select("image_id", "part", "valid", F.size("classes").cast("bigint").alias("regions"))
 
 
 @query("s07_manifest_export", "images datasets", """SELECT 'datasets' AS "table", count(*) AS n FROM datasets UNION ALL SELECT 'images', count(*) FROM images""")

@@ -155,7 +155,7 @@ class Tables:
             F.min(F.when(F.col("event_type") == "purchase", F.col("rn"))).alias("rank"))
         base = F.col("m") < 3
         user = F.col("image_id")
-        secs = (F.unix_micros("t1") - F.unix_micros("t0")) / 1e6
+        secs = (F.unix_micros(F.col("t1").cast("timestamp")) - F.unix_micros(F.col("t0").cast("timestamp"))) / 1e6
         return g.select(
             F.concat_ws(":", user.cast("string"), F.col("m").cast("string")).alias("record_id"),
             F.lit("REV-1").alias("experiment_id"), F.lit(1).cast("bigint").alias("experiment_version"),
