@@ -121,7 +121,7 @@ def _(t):
     return fu.robust_calibrate(c, ["image_id"], ["evidence", "inside_mean"]).withColumn("calibrated", r6("calibrated"))
 
 
-@query("f21_hybrid_score", SH, CAND + """SELECT image_id, proposal_id, round(0.7*classical+(1-0.7)*normality,6) AS score, classical>=0.8 AS preserved, CASE WHEN classical>=0.8 THEN 'preserved' WHEN round(0.7*classical+(1-0.7)*normality,9)>=0.5 THEN 'score_at_or_above_threshold' ELSE 'below_threshold' END AS reason FROM cmp""")
+@query("f21_hybrid_score", SH, CAND + """SELECT image_id, proposal_id, round(round(0.7*classical+(1-0.7)*normality,9),6) AS score, classical>=0.8 AS preserved, CASE WHEN classical>=0.8 THEN 'preserved' WHEN round(0.7*classical+(1-0.7)*normality,9)>=0.5 THEN 'score_at_or_above_threshold' ELSE 'below_threshold' END AS reason FROM cmp""")
 def _(t):
     g = fu.fusion_grid(t.spark).where("configuration_id = 'cw-0.70_nw-0.30_floor-0.80'")
     s = fu.score_grid(normalised(t), g)
@@ -157,7 +157,7 @@ _F5 = "least(100.0, least(relative*360.0,24.0)+least(l_discount*28.0,22.0)+least
 
 
 @query("f05_score_region", "boxes", f""", b AS (SELECT *, (x2-x1)*(y2-y1)/2304.0 AS relative, greatest((x2-x1)/CAST(y2-y1 AS DOUBLE),(y2-y1)/CAST(x2-x1 AS DOUBLE)) AS asp FROM boxes), s AS (SELECT image_id, box_id, {_F5} AS s FROM b)
- SELECT image_id, box_id, round_even(round(s,9),1) AS score FROM s""")
+ SELECT image_id, box_id, round_even(s,1) AS score FROM s""")
 def _(t):
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     cap = fx.region_score(w * h / 2304.0, F.col("l_discount"), F.col("l_tax"), F.col("l_discount"), F.greatest(w / h, h / w), F.col("l_linenumber") % 5)
