@@ -42,7 +42,7 @@ def hsv(b: Column, g: Column, r: Column) -> dict[str, Column]:
     top, low = F.greatest(b, g, r), F.least(b, g, r)
     d = (top - low).cast("double")
     h = (F.when(d == 0, 0.0).when(top == r, 60 * (g - b) / d).when(top == g, 120 + 60 * (b - r) / d).otherwise(240 + 60 * (r - g) / d))
-    return {"h": F.round(F.when(h < 0, h + 360).otherwise(h) / 2, 6), "s": F.round(F.when(top == 0, 0.0).otherwise(255 * d / top), 6), "v": top}
+    return {"h": F.when(h < 0, h + 360).otherwise(h) / 2, "s": F.when(top == 0, 0.0).otherwise(255 * d / top), "v": top}
 
 
 def lab(b: Column, g: Column, r: Column) -> dict[str, Column]:
@@ -54,7 +54,7 @@ def lab(b: Column, g: Column, r: Column) -> dict[str, Column]:
     X, Y, Z = (0.412453 * R + 0.357580 * G + 0.180423 * B) / 0.950456, 0.212671 * R + 0.715160 * G + 0.072169 * B, (0.019334 * R + 0.119193 * G + 0.950227 * B) / 1.088754
     f = lambda t: F.when(t > 0.008856, F.pow(t, F.lit(1 / 3))).otherwise(7.787 * t + 16 / 116)
     L = F.when(Y > 0.008856, 116 * F.pow(Y, F.lit(1 / 3)) - 16).otherwise(903.3 * Y)
-    return {"l": F.round(L * 255 / 100, 6), "a": F.round(500 * (f(X) - f(Y)) + 128, 6), "bb": F.round(200 * (f(Y) - f(Z)) + 128, 6)}
+    return {"l": L * 255 / 100, "a": 500 * (f(X) - f(Y)) + 128, "bb": 200 * (f(Y) - f(Z)) + 128}
 
 
 def brightness_contrast(v: Column, brightness: int = 0, contrast: int = 0) -> Column:
@@ -458,3 +458,61 @@ def suppress_overlaps(boxes: DataFrame, by: str = "image_id", rounds: int = 60)
         if state.where("kept is null").limit(1).isEmpty():
             return state
     raise RuntimeError("suppression did not settle")
+
+
+# ---- edges and region contrast ----------------------------------------------------------------
+def edge_hysteresis(df: DataFrame, v: str, low: float, high: float, height: int, width: int) -> DataFrame:
+    """Gradient ridges above ``low`` whose 8-connected chain holds one above ``high``."""
+    g = gradient(df, v)
+    n = neighbours(g.select(*PIXEL, "gx", "gy", "magnitude"), "magnitude", "repeat")
+    at = lambda i: F.element_at("n", i + 1)
+    ax, ay = F.abs("gx"), F.abs("gy")
+    flat, steep = ay <= 0.41421356 * ax, ay >= 2.41421356 * ax
+    same = F.col("gx") * F.col("gy") > 0
+    a = F.when(flat, at(3)).when(steep, at(1)).when(same, at(0)).otherwise(at(2))
+    b = F.when(flat, at(5)).when(steep, at(7)).when(same, at(8)).otherwise(at(6))
+    ridge = n.where((F.col("magnitude") > low) & (F.col("magnitude") >= a) & (F.col("magnitude") >= b)).select(*PIXEL, (F.col("magnitude") > high).alias("strong"))
+    lab = label_components(ridge.select(*PIXEL), height, width).join(ridge, PIXEL)
+    strong = lab.where("strong").select("image_id", "label").distinct()
+    return lab.join(strong, ["image_id", "label"], "left_semi").select(*PIXEL)
+
+
+def region_contrast(df: DataFrame, regions: DataFrame, bands: Sequence[str], texture: str, height: int, width: int, radius: int = 2, ids: Sequence[str] = ("image_id", "label")) -> DataFrame:
+    """Texture, colour and entropy of each region against the ring around it."""
+    ids = list(ids)
+    ring = context_ring(regions, radius, height, width, ids, inner=1)
+    px = (regions.select(*ids, "y", "x").withColumn("inside", F.lit(True)).unionByName(ring.withColumn("inside", F.lit(False)))).join(df, PIXEL)
+    side = lambda c, i: F.avg(F.when(F.col("inside") == i, F.col(c)))
+    g = px.groupBy(*ids).agg(*[e for c in (*bands, texture) for e in (side(c, True).alias(f"__i_{c}"), F.coalesce(side(c, False), side(c, True)).alias(f"__o_{c}"))])
+    e = entropy(px, [*ids, "inside"], texture)
+    en = e.groupBy(*ids).agg(F.max(F.when(F.col("inside"), F.col("entropy"))).alias("ei"), F.coalesce(F.max(F.when(~F.col("inside"), F.col("entropy"))), F.lit(0.0)).alias("eo"))
+    gap = lambda c: F.col(f"__i_{c}") - F.col(f"__o_{c}")
+    colour = F.lit(0.0)
+    for c in bands:
+        colour = colour + gap(c) * gap(c)
+    return g.join(en, ids).select(*ids, F.least(F.abs(gap(texture)) / 80, F.lit(1.0)).alias("local_texture_contrast"), F.least(F.sqrt(colour) / 60, F.lit(1.0)).alias("local_colour_contrast"),
+                                  F.least(F.abs(F.col("ei") - F.col("eo")), F.lit(1.0)).alias("local_entropy_contrast"), F.least((F.abs(gap(texture)) + F.sqrt(colour)) / 100, F.lit(1.0)).alias("novelty"))
+
+
+def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level: int = 128) -> DataFrame:
+    """All maps of the classical detector on one table: gradients, texture, pattern, colour, threshold, strength.
+
+    ``df``: image_id, y, x, b, g, r. Maps are stretched to 0..255 per image before they are fused.
+    """
+    base = df.withColumn("gray", gray(F.col("b"), F.col("g"), F.col("r")))
+    blur = gaussian5(base, "gray", "blur")
+    n = neighbours(blur, "blur")
+    gx, gy = kernel(SOBEL_X), kernel(SOBEL_Y)
+    d = n.select(*blur.columns, F.sqrt(gx * gx + gy * gy).alias("sobel"), F.abs(kernel(LAPLACE)).alias("laplacian"))
+    d = box_stats(d, "gray", radius).drop("local_mean").withColumnRenamed("local_std", "texture")
+    d = box_stats(lbp(d, "gray"), "lbp", radius).withColumn("lbp", F.abs(F.col("lbp") - F.col("local_mean"))).drop("local_mean", "local_std")
+    s = box_sums(d, {"__b": F.col("b"), "__g": F.col("g"), "__r": F.col("r")}, radius)
+    dev = lambda c: F.col(c) - F.col(f"__{c}") / F.col("n")
+    d = s.withColumn("colour", F.sqrt(dev("b") * dev("b") + dev("g") * dev("g") + dev("r") * dev("r"))).drop("__b", "__g", "__r", "n")
+    d = minmax(d, ["sobel", "laplacian", "texture", "lbp", "colour"])
+    edges = edge_hysteresis(blur.select(*PIXEL, "blur"), "blur", 55, 165, height, width).withColumn("edges", F.lit(255.0))
+    d = d.join(edges, PIXEL, "left").withColumn("edges", F.coalesce("edges", F.lit(0.0))).withColumn("threshold", F.when(F.col("blur") <= level, 255.0).otherwise(0.0))
+    total = F.lit(0.0)
+    for k, w in EVIDENCE.items():
+        total = total + w * F.col(k)
+    return minmax(d.withColumn("strength", total), ["strength"])

@@ -157,7 +157,7 @@ _F5 = "least(100.0, least(relative*360.0,24.0)+least(l_discount*28.0,22.0)+least
 
 
 @query("f05_score_region", "boxes", f""", b AS (SELECT *, (x2-x1)*(y2-y1)/2304.0 AS relative, greatest((x2-x1)/CAST(y2-y1 AS DOUBLE),(y2-y1)/CAST(x2-x1 AS DOUBLE)) AS asp FROM boxes), s AS (SELECT image_id, box_id, {_F5} AS s FROM b)
- SELECT image_id, box_id, round_even(s,1) AS score FROM s""")
+ SELECT image_id, box_id, CAST(CASE WHEN d*10-floor(d*10)>0.5 OR (d*10-floor(d*10)=0.5 AND floor(d*10)%2=1) THEN floor(d*10)+1 ELSE floor(d*10) END AS DOUBLE)/10 AS score FROM (SELECT *, CAST(CAST(s AS VARCHAR) AS DECIMAL(30,17)) AS d FROM s)""")
 def _(t):
     w, h = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     cap = fx.region_score(w * h / 2304.0, F.col("l_discount"), F.col("l_tax"), F.col("l_discount"), F.greatest(w / h, h / w), F.col("l_linenumber") % 5)

@@ -114,7 +114,7 @@ _VOTE = """, q AS (SELECT image_id, greatest(quantile_cont(gray,0.82),1) AS a, g
 @query("r11_vote_fusion", "raster", G + _VOTE + "SELECT image_id, y, x, round(fused,6) AS fused, CAST(votes AS BIGINT) AS votes, fused>=cut AND votes>=2 AS seed FROM f3")
 def _(t):
     d = ra.vote_fusion(bgr(t).select("image_id", "y", "x", "gray", "r", "gg", "b"), {"gray": 0.82, "r": 0.82, "gg": 0.65}, "b")
-    return px(d, fused=r6("fused"), votes=F.col("votes").cast("bigint"), seed=F.col("seed"))
+    return px(d, fused=r6(F.round("fused", 9)), votes=F.col("votes").cast("bigint"), seed=F.col("seed"))
 
 
 @query("r12_tile_scores", "raster", G + """, tl AS (SELECT g.image_id, s, ty, tx, g.y, g.x, g.gray FROM gy g, (VALUES (4),(6)) s(s), range(3) a(ty), range(3) b(tx) WHERE ty*(s//2)+s<=8 AND tx*(s//2)+s<=8 AND g.y BETWEEN ty*(s//2) AND ty*(s//2)+s-1 AND g.x BETWEEN tx*(s//2) AND tx*(s//2)+s-1),
@@ -234,7 +234,7 @@ def _(t):
     return s.withColumn("rank", F.row_number().over(Window.partitionBy("image_id").orderBy("label")).cast("bigint")).where("rank <= 8")
 
 
-@query("w04_rank_components", "raster", MASK + comp("mk", "c8") + """, s AS (SELECT image_id, label, count(*) AS area, avg(v) AS m, min(x) AS x1, min(y) AS y1 FROM c8 JOIN raster USING (image_id,y,x) GROUP BY 1,2 HAVING count(*)>=2)
+@query("w04_rank_components", "raster", MASK + comp("mk", "c8") + """, s AS (SELECT image_id, c8.label, count(*) AS area, avg(v) AS m, min(x) AS x1, min(y) AS y1 FROM c8 JOIN raster USING (image_id,y,x) GROUP BY 1,2 HAVING count(*)>=2)
  SELECT image_id, label, area, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY m DESC, area DESC, x1 DESC, y1 DESC) AS rank FROM s) WHERE rank<=8""")
 def _(t):
     lab = labels(t).join(t.raster.select("image_id", "y", "x", "v"), ["image_id", "y", "x"])
@@ -289,7 +289,7 @@ def _(t):
 _THR = 0.12
 
 
-@query("v04_map_to_proposals", "raster", f", mk AS (SELECT image_id, y, x FROM raster WHERE v>={_THR})" + comp("mk", "c8") + """, s AS (SELECT image_id, label, count(*) AS area, max(v) AS sc, min(x) AS x1, min(y) AS y1, max(x)+1 AS x2, max(y)+1 AS y2 FROM c8 JOIN raster USING (image_id,y,x) GROUP BY 1,2 HAVING count(*)>=2)
+@query("v04_map_to_proposals", "raster", f", mk AS (SELECT image_id, y, x FROM raster WHERE v>={_THR})" + comp("mk", "c8") + """, s AS (SELECT image_id, c8.label, count(*) AS area, max(v) AS sc, min(x) AS x1, min(y) AS y1, max(x)+1 AS x2, max(y)+1 AS y2 FROM c8 JOIN raster USING (image_id,y,x) GROUP BY 1,2 HAVING count(*)>=2)
  SELECT image_id, label, area, round(sc,6) AS score, rank FROM (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY sc DESC, area DESC, x1, y1, x2, y2) AS rank FROM s) WHERE rank<=8""")
 def _(t):
     top, _p = ra.extract_proposals(t.raster.select("image_id", "y", "x", "v"), F.lit(_THR), H, W, minimum=2)
@@ -367,3 +367,31 @@ def _(t):
     return fu.apply_point(s, F.lit(0.5)).select("image_id", "proposal_id", r6("score").alias("score"), "selected", "rank", "reason")
 
 
+
+
+_MAG = f"(SELECT image_id, y, x, gx.c AS gx, gv.c AS gy, sqrt(gx.c*gx.c+gv.c*gv.c) AS m FROM {_conv(ra.SOBEL_X)} gx JOIN {_conv(ra.SOBEL_Y)} gv USING (image_id,y,x))"
+
+
+@query("r09_edge_hysteresis", "raster", G + f""", mg AS MATERIALIZED {_MAG}, dr AS (SELECT *, CASE WHEN abs(gy)<=0.41421356*abs(gx) THEN 0 WHEN abs(gy)>=2.41421356*abs(gx) THEN 1 WHEN gx*gy>0 THEN 2 ELSE 3 END AS d FROM mg),
+ rd AS (SELECT dr.image_id, dr.y, dr.x, dr.m FROM dr JOIN mg a ON a.image_id=dr.image_id AND a.y=greatest(0,dr.y-CASE d WHEN 0 THEN 0 ELSE 1 END) AND a.x=least(7,greatest(0,dr.x+CASE d WHEN 0 THEN -1 WHEN 1 THEN 0 WHEN 2 THEN -1 ELSE 1 END))
+   JOIN mg b ON b.image_id=dr.image_id AND b.y=least(7,dr.y+CASE d WHEN 0 THEN 0 ELSE 1 END) AND b.x=least(7,greatest(0,dr.x+CASE d WHEN 0 THEN 1 WHEN 1 THEN 0 WHEN 2 THEN 1 ELSE -1 END)) WHERE dr.m>150 AND dr.m>=a.m AND dr.m>=b.m)""" + comp("rd", "ch") +
+       "SELECT image_id, y, x FROM ch WHERE (image_id,label) IN (SELECT (image_id,label) FROM ch JOIN rd USING (image_id,y,x) WHERE m>400)")
+def _(t):
+    return ra.edge_hysteresis(bgr(t).select("image_id", "y", "x", "gray"), "gray", 150, 400, H, W)
+
+
+@query("r21_region_contrast", "raster_truth", G + f""", o AS {_dil('raster_truth', ra.ellipse(2))}, i AS {_dil('raster_truth', ra.square(1))}, al AS (SELECT image_id, y, x, true AS ins FROM raster_truth UNION ALL SELECT image_id, y, x, false FROM o ANTI JOIN i USING (image_id,y,x)),
+ p AS (SELECT al.*, b, gg, r, gray FROM al JOIN gy USING (image_id,y,x)), s AS (SELECT image_id, avg(gray) FILTER (ins)-coalesce(avg(gray) FILTER (NOT ins),avg(gray) FILTER (ins)) AS t, avg(b) FILTER (ins)-coalesce(avg(b) FILTER (NOT ins),avg(b) FILTER (ins)) AS cb, avg(gg) FILTER (ins)-coalesce(avg(gg) FILTER (NOT ins),avg(gg) FILTER (ins)) AS cg,
+   avg(r) FILTER (ins)-coalesce(avg(r) FILTER (NOT ins),avg(r) FILTER (ins)) AS cr FROM p GROUP BY 1), hb AS (SELECT image_id, ins, n, sum(n) OVER (PARTITION BY image_id, ins) AS tt FROM (SELECT image_id, ins, gray*32//256 AS k, count(*) AS n FROM p GROUP BY 1,2,3)),
+ en AS (SELECT image_id, ins, sum(-(n/CAST(tt AS DOUBLE))*log2(n/CAST(tt AS DOUBLE)))/5 AS e FROM hb GROUP BY 1,2), ee AS (SELECT image_id, max(e) FILTER (ins) AS ei, coalesce(max(e) FILTER (NOT ins),0) AS eo FROM en GROUP BY 1)
+ SELECT image_id, round(least(abs(t)/80,1.0),6) AS local_texture_contrast, round(least(sqrt(cb*cb+cg*cg+cr*cr)/60,1.0),6) AS local_colour_contrast, round(least(abs(ei-eo),1.0),6) AS local_entropy_contrast, round(least((abs(t)+sqrt(cb*cb+cg*cg+cr*cr))/100,1.0),6) AS novelty FROM s JOIN ee USING (image_id)""")
+def _(t):
+    reg = t.raster_truth.withColumn("label", F.lit(0))
+    c = ra.region_contrast(bgr(t).select("image_id", "y", "x", "b", "gg", "r", "gray"), reg, ["b", "gg", "r"], "gray", H, W)
+    return c.select("image_id", *[r6(x).alias(x) for x in c.columns if x not in ("image_id", "label")])
+
+
+@query("r30_extract_feature_maps")
+def _(t):
+    f = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2)
+    return f.select("image_id", "y", "x", *[r6(c).alias(c) for c in ("sobel", "laplacian", "texture", "lbp", "colour", "edges", "strength")])

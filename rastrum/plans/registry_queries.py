@@ -360,3 +360,22 @@ def _(t):
     return t.read("pages").select("page_id", fx.stem(u).alias("stem"), fx.suffix(u).alias("suffix"), fx.unsafe_path(u).alias("unsafe"))
 
 
+
+
+@query("s05_zip_expand", "", """SELECT 'doc_'||doc_id||'.zip' AS archive, 'page.PNG' AS name, 'image' AS kind, octet_length(encode(text)) AS file_size FROM documents WHERE text<>''
+  UNION ALL SELECT 'doc_'||doc_id||'.zip', 'page.json', 'annotation', 2 FROM documents""")
+def _(t):
+    def pack(batches):
+        import io
+        import zipfile
+
+        import pandas as pd
+        for b in batches:
+            for k, text in zip(b["doc_id"], b["text"]):
+                out = io.BytesIO()
+                with zipfile.ZipFile(out, "w") as z:
+                    for name, body in (("sub/page.PNG", text), ("page.json", "{}"), ("empty.txt", ""), ("../up.txt", "x"), ("sub/", "")):
+                        z.writestr(name, body)
+                yield pd.DataFrame({"path": [f"doc_{k}.zip"], "content": [out.getvalue()]})
+    archives = t.read("documents").select("doc_id", "text").mapInPandas(pack, "path string, content binary")
+    return rg.zip_expand(archives).select("archive", "name", "kind", "file_size")
