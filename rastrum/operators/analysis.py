@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import any_row, r6, small_side
+from ..core import any_row, checkpointed, r6, small_side
 from ..scale import exact_quantiles, ranked
 from ..sources.tables import METHODS
 
@@ -317,27 +317,37 @@ def bootstrap_audit(paired: DataFrame, metric: str) -> DataFrame:
                          F.when(ok, "None").otherwise("Undefined metric or ineligible clean image").alias("exclusion_reason"))
 
 
+def draw_index(b: Column, j: Column, n: Column, seed: int) -> Column:
+    """Pseudo-random row number for draw j of replicate b: congruential steps that stay below 2^63."""
+    m = 2147483647
+    x = (j * 16807 + b * 48271 + seed * 69621 + 1) % m
+    x = (x * 48271 + 11) % m
+    x = (x * (x % 65521 + 7) + 13) % m
+    x = (x * 69621 + b + 17) % m
+    return x % n
+
+
 def bootstrap_means(df: DataFrame, value: str, samples: int, seed: int, block: int = 10_000) -> DataFrame:
-    """Mean of every bootstrap replicate: draw j of replicate b takes row ``hash(seed, b, j) mod n``.
+    """Mean of every bootstrap replicate: draw j of replicate b takes row ``draw_index(b, j)``.
 
-    Rows get a dense position, draws are counted per (replicate, position) before they meet the
-    rows, and the two meet in an equi-join. Draws are generated in blocks so no row holds n items.
+    Rows get a dense position and draws meet them in an equi-join; the sums combine map-side.
+    Draws are generated in blocks so no row ever holds n items.
     """
     vals = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     rows = ranked(vals, [], [("v", True)], "pos").select("v", (F.col("pos") - 1).alias("u"))
     n = vals.agg(F.count("*").alias("n"))
-    blocks = (df.sparkSession.range(samples).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))  # one row
+    spark = df.sparkSession
+    blocks = (spark.range(0, samples, 1, min(samples, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))  # one row
               .select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("k")).where("n > 0"))
     j = F.explode(F.sequence(F.col("k") * block, F.least((F.col("k") + 1) * block, F.col("n")) - 1)).alias("j")
-    u = F.conv(F.substring(F.md5(F.concat_ws(":", F.lit(str(seed)), F.col("b").cast("string"), F.col("j").cast("string"))), 1, 12), 16, 10)
-    draws = (blocks.select("b", "n", j).withColumn("u", u.cast("bigint") % F.col("n"))
-             .groupBy("b", "u", "n").agg(F.count("*").alias("k")))
-    return draws.join(rows, "u").groupBy("b", "n").agg((F.sum(F.col("k") * F.col("v")) / F.col("n")).alias("m"))
+    draws = blocks.select("b", "n", j).select("b", "n", draw_index(F.col("b"), F.col("j"), F.col("n"), seed).alias("u"))
+    return draws.join(rows, "u").groupBy("b", "n").agg((F.sum("v") / F.col("n")).alias("m"))
 
 
 def bootstrap_ci(df: DataFrame, value: str, samples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
     """Percentile interval of the resampled mean; both ends null below two values."""
     a = (1 - confidence) / 2
+    df = checkpointed(df.select(value))  # one column, read four times
     m = bootstrap_means(df, value, samples, seed)
     q = exact_quantiles(m, [], "m", {"ci_low": a, "ci_high": 1 - a})
     n = df.agg(F.count(value).alias("n"))

@@ -6,11 +6,12 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+from pyspark.ml.feature import Bucketizer
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import any_row, checkpointed, conf_int, fits, r6
-from ..scale import exact_quantiles
+from ..scale import exact_quantiles, running_sums
 
 MEMORY_KEY = "spark.rastrum.memoryRows"
 
@@ -102,10 +103,31 @@ def image_scores(neighbours: DataFrame, image_of: Column) -> DataFrame:
 
 # ---- dense maps ---------------------------------------------------------------------------
 def thresholds(pixels: DataFrame, count: int = 101) -> DataFrame:
-    """One row: distinct pooled quantiles, ascending (a bounded array)."""
-    probs = {f"q{i}": i / (count - 1) for i in range(count)}
-    q = exact_quantiles(pixels, [], "v", probs)
-    return q.select(F.array_sort(F.array_distinct(F.array(*[F.col(c) for c in probs]))).alias("thr"))
+    """One row: distinct pooled quantiles, ascending (a bounded array).
+
+    Distinct values carry their cumulative counts; a value is asked only for the few quantile
+    positions that fall into its own interval.
+    """
+    counts = pixels.where(F.col("v").isNotNull()).groupBy(F.col("v").cast("double").alias("q")).agg(F.count("*").alias("n"))
+    run = running_sums(counts, [], [("q", True)], {"hi": F.col("n")}).withColumn("lo", F.col("hi") - F.col("n"))
+    total = counts.agg(F.sum("n").alias("total"))
+    r = run.crossJoin(F.broadcast(total))  # one row
+    last = count - 1
+    pos = lambda i: i / F.lit(float(last)) * (F.col("total") - 1)
+    scale = F.lit(float(last)) / F.greatest(F.col("total") - 1, F.lit(1))
+    first, end = F.greatest(F.floor((F.col("lo") - 1) * scale), F.lit(0)), F.least(F.ceil(F.col("hi") * scale), F.lit(last))
+    near = F.when(F.col("total") == 1, F.sequence(F.lit(0).cast("bigint"), F.lit(last).cast("bigint"))).otherwise(F.sequence(first, F.greatest(first, end)))
+    holds = lambda p: (p >= F.col("lo")) & (p < F.col("hi"))
+    hits = r.select("q", "total", "lo", "hi", F.explode(near).alias("i")).select(
+        "i", (pos(F.col("i")) - F.floor(pos(F.col("i")))).alias("f"), F.when(holds(F.floor(pos(F.col("i")))), F.col("q")).alias("a"), F.when(holds(F.ceil(pos(F.col("i")))), F.col("q")).alias("b"))
+    q = hits.where("a is not null or b is not null").groupBy("i").agg((F.max("a") + (F.max("b") - F.max("a")) * F.max("f")).alias("t"))
+    return q.agg(F.array_sort(F.collect_set("t")).alias("thr"))  # at most `count` values
+
+
+def threshold_cell(pixels: DataFrame, values: list[float], name: str) -> DataFrame:
+    """Number of thresholds at or below each pixel, by the JVM's binary search."""
+    splits = [float("-inf"), *values, float("inf")]
+    return Bucketizer(splits=splits, inputCol="v", outputCol=name, handleInvalid="error").transform(pixels)
 
 
 def au_pro(pixels: DataFrame, regions: DataFrame, count: int = 101, limit: float = 0.30) -> DataFrame:
@@ -114,13 +136,12 @@ def au_pro(pixels: DataFrame, regions: DataFrame, count: int = 101, limit: float
     ``pixels``: image_id, y, x, v, clean. ``regions``: region_id, image_id, y, x. Each pixel is
     placed once among the thresholds; the curve is a suffix sum over at most 102 cells.
     """
-    thr = F.broadcast(checkpointed(thresholds(pixels, count)))  # one row
+    thr = thresholds(pixels, count).first()["thr"]  # at most `count` numbers
     size = regions.groupBy("region_id").agg(F.count("*").alias("size"))
     weight = regions.join(size, "region_id").select("image_id", "y", "x", (1.0 / F.col("size")).alias("w"))
     n_regions = size.agg(F.count("*").alias("regions"))
-    cell = F.size(F.filter("thr", lambda t: t <= F.col("v")))
-    j = pixels.join(weight, ["image_id", "y", "x"], "left").crossJoin(thr)
-    g = j.groupBy(cell.alias("cell")).agg(F.sum(F.col("clean").cast("bigint")).alias("fp"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
+    j = threshold_cell(pixels.join(weight, ["image_id", "y", "x"], "left"), thr, "cell")
+    g = j.groupBy("cell").agg(F.sum(F.col("clean").cast("bigint")).alias("fp"), F.coalesce(F.sum("w"), F.lit(0.0)).alias("w"))
     n_clean = pixels.agg(F.sum(F.col("clean").cast("bigint")).alias("clean_pixels"))
     up = Window.orderBy(F.desc("cell")).rowsBetween(Window.unboundedPreceding, 0)  # at most 102 rows
     curve = g.select("cell", F.sum("fp").over(up).alias("fp"), F.sum("w").over(up).alias("w")).where("cell > 0")

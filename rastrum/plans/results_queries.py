@@ -231,7 +231,8 @@ def _(t):
 
 @query("a22_bootstrap_ci", "scope", PAIRED + """, v AS (SELECT difference_proposal_precision AS v, row_number() OVER (ORDER BY difference_proposal_precision)-1 AS u
    FROM paired WHERE difference_proposal_precision IS NOT NULL), nn AS (SELECT count(*) AS n FROM v),
- d AS (SELECT b, CAST('0x'||substr(md5('42:'||b||':'||j),1,12) AS BIGINT) % n AS u FROM nn, range(200) r(b), range((SELECT n FROM nn)) s(j)),
+ d0 AS (SELECT b, n, (j*16807+b*48271+42*69621+1)%2147483647 AS x FROM nn, range(200) r(b), range((SELECT n FROM nn)) s(j)), d1 AS (SELECT b, n, (x*48271+11)%2147483647 AS x FROM d0), d2 AS (SELECT b, n, (x*(x%65521+7)+13)%2147483647 AS x FROM d1),
+ d AS (SELECT b, ((x*69621+b+17)%2147483647)%n AS u FROM d2),
  m AS (SELECT b, avg(v) AS m FROM d JOIN v USING (u) GROUP BY b)
  SELECT (SELECT n FROM nn) AS n, round(quantile_cont(m, 0.025),6) AS ci_low, round(quantile_cont(m, 0.975),6) AS ci_high FROM m""")
 def _(t):

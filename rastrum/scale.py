@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import HOT_ROWS_KEY, any_row, checkpointed, conf_int
+from .core import HOT_ROWS_KEY, any_row, checkpointed, conf_int, estimated_bytes
 
 Order = tuple[str, bool]  # (column, ascending)
 
@@ -22,7 +22,11 @@ def hot_limit(df: DataFrame) -> int:
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
+    """Does a group exceed the limit? A plan too small for that by Catalyst's estimate is not counted."""
     limit = limit or hot_limit(df)
+    size = estimated_bytes(df)
+    if size is not None and size < limit * 32:
+        return False
     if not by:
         return df.limit(limit + 1).count() > limit
     return any_row(df.groupBy(*by).count().where(F.col("count") > limit))
