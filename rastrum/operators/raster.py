@@ -516,3 +516,111 @@ def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level:
     for k, w in EVIDENCE.items():
         total = total + w * F.col(k)
     return minmax(d.withColumn("strength", total), ["strength"])
+
+
+# ---- equalisation, stability, coherence --------------------------------------------------------
+def tile_equalise(df: DataFrame, v: str, height: int, width: int, tiles: tuple[int, int] = (8, 8), clip: float = 2.2) -> DataFrame:
+    """Clip-limited equalisation of 0..255 levels per tile, blended bilinearly between tile centres.
+
+    The clipped excess is spread evenly over the 256 levels (as a real number). Each tile's curve is
+    256 rows; a pixel meets the curves of its up to four tiles in an equi-join.
+    """
+    th, tw = height // tiles[0], width // tiles[1]
+    size = th * tw
+    limit = max(clip * size / 256.0, 1.0)
+    key = ["image_id", "ty", "tx"]
+    h = df.groupBy("image_id", F.floor(F.col("y") / th).alias("ty"), F.floor(F.col("x") / tw).alias("tx"), F.col(v).alias("level")).agg(F.count("*").alias("n"))
+    g = h.groupBy(*key).agg(F.sum(F.greatest(F.col("n") - limit, F.lit(0.0))).alias("excess"))
+    levels = g.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<bigint>")))
+    w = Window.partitionBy(*key).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)  # 256 rows
+    curve = levels.join(h, [*key, "level"], "left").select(*key, "level", ((F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(limit))).over(w) + (F.col("level") + 1) * F.col("excess") / 256.0) * 255.0 / size).alias("lut"))
+
+    def near(c: str, step: int, count: int) -> Column:
+        p = (F.col(c) + 0.5) / step - 0.5
+        lo = F.floor(p)
+        f = p - lo
+        cl = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(count - 1)))
+        return F.array(F.struct(cl(lo).alias("t"), (1 - f).alias("w")), F.struct(cl(lo + 1).alias("t"), f.alias("w")))
+    p = (df.select(*PIXEL, F.col(v).alias("level"), F.explode(near("y", th, tiles[0])).alias("a"), near("x", tw, tiles[1]).alias("bs"))
+         .select(*PIXEL, "level", "a", F.explode("bs").alias("b")).select(*PIXEL, "level", F.col("a.t").alias("ty"), F.col("b.t").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("wt")))
+    return p.join(curve, [*key, "level"]).groupBy(*PIXEL).agg(F.sum(F.col("wt") * F.col("lut")).alias(v))
+
+
+def saliency_support(df: DataFrame, v: str, radius: int = 7) -> DataFrame:
+    """Pixels whose gradient plus local deviation reaches the image's upper quartile."""
+    d = gaussian5(df.select(*PIXEL, v), v, "__blur")
+    n = neighbours(d, "__blur")
+    gx, gy = kernel(SOBEL_X), kernel(SOBEL_Y)
+    s = box_stats(n.select(*PIXEL, v, F.sqrt(gx * gx + gy * gy).alias("__m")), v, radius).select(*PIXEL, F.round(F.col("__m") + F.abs(F.col(v) - F.col("local_mean")), 9).alias("s"))
+    cut = exact_quantiles(s, ["image_id"], "s", {"cut": 0.75})
+    return s.join(cut, "image_id").where(F.col("s") >= F.round("cut", 9)).select(*PIXEL)
+
+
+def mask_stability(df: DataFrame, mask: DataFrame, v: str, height: int, width: int, radius: int = 7) -> DataFrame:
+    """Mean overlap of the salient part of a mask under brightness, gain and rescale changes.
+
+    All variants run as one table: the variant number joins the image key. Added noise is a hash of
+    the pixel, so a rerun gives the same value.
+    """
+    noise = (F.pmod(F.col("y") * 7919 + F.col("x") * 104729 + F.col("image_id") * 31, F.lit(9)) - 4)
+    cap = lambda c: F.greatest(F.lit(0.0), F.least(F.lit(255.0), c.cast("double")))
+    small = (max(1, round(height * 0.75)), max(1, round(width * 0.75)))
+    scaled = restore_map(resize_area(df.select(*PIXEL, v), [v], (height, width), small), small, (height, width))
+    k = F.col("image_id") * 8
+    base = df.select(*PIXEL, v, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), cap(c).alias("w")) for i, c in enumerate((F.col(v), F.col(v) + 12, F.col(v) * 1.08, F.col(v) + noise))])).alias("q"))
+    allv = base.select((k + F.col("q.i")).alias("image_id"), "y", "x", F.col("q.w").alias(v)).unionByName(scaled.select((k + 4).alias("image_id"), "y", "x", v))
+    sup = saliency_support(allv, v, radius).select(F.floor(F.col("image_id") / 8).alias("image_id"), (F.col("image_id") % 8).alias("i"), "y", "x").join(mask, PIXEL, "left_semi")
+    # pixels of the mask with the set of variants (at most five) that support them
+    per = sup.groupBy(*PIXEL).agg(F.max((F.col("i") == 0).cast("int")).alias("b"), *[F.max((F.col("i") == j).cast("int")).alias(f"s{j}") for j in range(1, 5)])
+    def part(j: int) -> Column:
+        both, either = F.sum(F.col("b") * F.col(f"s{j}")), F.sum(F.greatest("b", f"s{j}"))
+        return F.when(either > 0, both / either).otherwise(F.lit(1.0))
+    g = per.groupBy("image_id").agg(((part(1) + part(2) + part(3) + part(4)) / 4).alias("stability"))
+    # a mask no variant supports is perfectly stable: nothing changed
+    return mask.select("image_id").distinct().join(g, "image_id", "left").select("image_id", F.coalesce("stability", F.lit(1.0)).alias("stability"))
+
+
+def _hull_area(points: list[tuple[float, float]]) -> float:
+    """Area of the convex hull (monotone chain)."""
+    pts = sorted(set(points))
+    if len(pts) < 3:
+        return 0.0
+
+    def half(seq):
+        out: list[tuple[float, float]] = []
+        for p in seq:
+            while len(out) > 1 and (out[-1][0] - out[-2][0]) * (p[1] - out[-2][1]) <= (out[-1][1] - out[-2][1]) * (p[0] - out[-2][0]):
+                out.pop()
+            out.append(p)
+        return out[:-1]
+    ring = half(pts) + half(reversed(pts))
+    return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
+
+
+def hull_areas(labelled: DataFrame, buckets: int = 64) -> DataFrame:
+    """Hull area per region from the ends of its rows: two points per row reach Python, not the pixels."""
+    import pandas as pd
+    ends = labelled.groupBy("image_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        out = [(i, l, _hull_area([p for y, a, b in zip(g["y"], g["a"], g["b"]) for p in ((a, y), (b, y))])) for (i, l), g in pdf.groupby(["image_id", "label"])]
+        return pd.DataFrame(out, columns=["image_id", "label", "hull_area"])
+    return ends.withColumn("__b", F.pmod(F.xxhash64("image_id", "label"), F.lit(buckets))).groupBy("__b").applyInPandas(run, "image_id bigint, label bigint, hull_area double")
+
+
+def coherence(labelled: DataFrame, height: int, width: int) -> DataFrame:
+    """Connectedness, solidity, heat consistency and single-peakedness of regions, and their mean.
+
+    ``labelled``: image_id, label, y, x, v (heat). Regions come from component labelling, so
+    connectedness is one.
+    """
+    key = ["image_id", "label"]
+    g = labelled.groupBy(*key).agg(F.count("*").alias("area"), F.stddev_pop("v").alias("sd"))
+    q = exact_quantiles(labelled, key, "v", {"p85": 0.85})
+    top = labelled.join(q, key).where(F.col("v") >= F.col("p85"))
+    peaks = label_components(top.select(*PIXEL), height, width).withColumnRenamed("label", "peak").join(labelled.select(*PIXEL, "label"), PIXEL).groupBy(*key).agg(F.count_distinct("peak").alias("peaks"))
+    j = g.join(hull_areas(labelled), key).join(peaks, key, "left")
+    solidity = F.least(F.col("area") / F.greatest(F.col("hull_area"), F.lit(1.0)), F.lit(1.0))
+    heat = 1 - F.least(F.col("sd") / 90, F.lit(1.0))
+    single = 1.0 / F.least(F.greatest(F.coalesce("peaks", F.lit(1)), F.lit(1)), F.lit(5))
+    return j.select(*key, "area", solidity.alias("solidity"), heat.alias("heat_consistency"), single.alias("peak_score"), ((1.0 + solidity + heat + single) / 4).alias("coherence"))

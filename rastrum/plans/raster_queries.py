@@ -395,3 +395,23 @@ def _(t):
 def _(t):
     f = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2)
     return f.select("image_id", "y", "x", *[r6(c).alias(c) for c in ("sobel", "laplacian", "texture", "lbp", "colour", "edges", "strength")])
+
+
+@query("r31_tile_equalise", "raster", G + """, h AS (SELECT image_id, y//4 AS ty, x//4 AS tx, gray AS lv, count(*) AS n FROM gy GROUP BY 1,2,3,4), ex AS (SELECT image_id, ty, tx, sum(greatest(n-1.0,0)) AS e FROM h GROUP BY 1,2,3),
+ lv AS (SELECT ex.*, CAST(k AS BIGINT) AS lv FROM ex, range(256) r(k)), lut AS (SELECT image_id, ty, tx, lv, (sum(least(coalesce(n,0),1.0)) OVER (PARTITION BY image_id, ty, tx ORDER BY lv)+(lv+1)*e/256.0)*255.0/16 AS c FROM lv LEFT JOIN h USING (image_id,ty,tx,lv)),
+ w AS (SELECT image_id, y, x, gray, CAST(greatest(0,least(1,floor((y+0.5)/4-0.5)+dy)) AS BIGINT) AS ty, CAST(greatest(0,least(1,floor((x+0.5)/4-0.5)+dx)) AS BIGINT) AS tx, CASE WHEN dy=0 THEN 1-((y+0.5)/4-0.5-floor((y+0.5)/4-0.5)) ELSE (y+0.5)/4-0.5-floor((y+0.5)/4-0.5) END*CASE WHEN dx=0 THEN 1-((x+0.5)/4-0.5-floor((x+0.5)/4-0.5)) ELSE (x+0.5)/4-0.5-floor((x+0.5)/4-0.5) END AS wt
+   FROM gy, (VALUES (0),(1)) a(dy), (VALUES (0),(1)) b(dx)) SELECT w.image_id, w.y, w.x, round(sum(wt*c),4) AS v FROM w JOIN lut ON lut.image_id=w.image_id AND lut.ty=w.ty AND lut.tx=w.tx AND lut.lv=gray GROUP BY 1,2,3""")
+def _(t):
+    return px(ra.tile_equalise(bgr(t), "gray", H, W, (2, 2)), v=F.round("gray", 4))
+
+
+@query("r24_mask_stability")
+def _(t):
+    return ra.mask_stability(bgr(t).select("image_id", "y", "x", "gray"), mask(t), "gray", H, W, 2).withColumn("stability", r6("stability"))
+
+
+@query("r22_coherence")
+def _(t):
+    lab = labels(t).join(bgr(t).select("image_id", "y", "x", F.col("gray").cast("double").alias("v")), ["image_id", "y", "x"])
+    c = ra.coherence(checkpointed(lab), H, W)
+    return c.select("image_id", "label", "area", *[r6(x).alias(x) for x in ("solidity", "heat_consistency", "peak_score", "coherence")])
