@@ -5,7 +5,9 @@ import __spark_entry__ as entry
 from check import compare
 from tests.conftest import SMALL
 
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+from rastrum.plans import catalog
+
+QUERIES, ORACLES = catalog.QUERIES, catalog.ORACLES
 
 
 @pytest.mark.parametrize("name", sorted(QUERIES))
@@ -16,6 +18,7 @@ def test_query(spark, oracle, name):
 
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
+    assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())
 
 
 def test_entry(spark):
