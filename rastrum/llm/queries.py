@@ -5,10 +5,12 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from . import chat, mixing, topk
 from . import token_counts as tc
 from . import token_files as tf
-from .common import table
+from .common import table, written
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -34,6 +36,38 @@ def tokenizer_path(name: str = BYTE_BPE) -> str:
     return public_tokenizers.path(name)
 
 
+OP1_SQL = r"""
+WITH d AS (SELECT doc_id, source, CAST(len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS BIGINT) AS size, md5(coalesce(CAST(doc_id AS VARCHAR), '')) AS o FROM documents),
+s AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM d GROUP BY source),
+r AS (SELECT *, row_number() OVER (ORDER BY source NULLS LAST) AS rank FROM s),
+w AS (SELECT *, CASE (rank - 1) % 3 WHEN 0 THEN 3.0::DOUBLE WHEN 1 THEN 1.0::DOUBLE ELSE 2.0::DOUBLE END AS w, (rank - 1) % 3 AS kind, 2.0::DOUBLE * source_size AS most FROM r),
+u AS (SELECT *, most / w AS ratio, sum(most) OVER o AS filled, sum(w) OVER o AS w_sum, 1.5::DOUBLE * sum(source_size) OVER () AS due, sum(w) OVER () AS all_w
+      FROM w WINDOW o AS (ORDER BY most / w, rank)),
+l AS (SELECT *, (due - (filled - most)) / (all_w - (w_sum - w)) AS level FROM u),
+f AS (SELECT arg_min(level, rank_in_order) AS level FROM (SELECT *, row_number() OVER (ORDER BY ratio, rank) AS rank_in_order FROM l) WHERE ratio > level),
+t AS (SELECT source, source_size, kind, CASE WHEN f.level IS NULL THEN most ELSE least(most, w * f.level) END AS target FROM w, f),
+c AS (SELECT d.*, t.source_size, t.target, t.kind, CAST(round(t.target) AS BIGINT) AS goal,
+      CAST(sum(size) OVER (PARTITION BY d.source ORDER BY o, doc_id ROWS UNBOUNDED PRECEDING) - size AS BIGINT) AS start FROM d JOIN t ON d.source IS NOT DISTINCT FROM t.source),
+p AS (SELECT *, greatest(0, least(size, goal - start)) AS first_words, greatest(0, least(size, goal - source_size - start)) AS second_words,
+      (start + greatest(0, least(size, goal - start)) / 2) / goal AS spent FROM c)
+SELECT doc_id, size, source_size, target, CAST(first_words + second_words AS BIGINT) AS taken,
+  CASE WHEN first_words = 0 THEN NULL
+       WHEN kind = 0 THEN round(least(1, 2 * (spent * 1.25) / (2 + sqrt(greatest(4 - 3 * (spent * 1.25), 0)))), 6)
+       WHEN kind = 1 THEN round(least(1, 2 * spent / 2), 6)
+       WHEN spent * 1.125 <= 0.375 THEN round(2 * (spent * 1.125) / (0.5 + sqrt(greatest(0.25 + 2 * (spent * 1.125), 0))), 6)
+       ELSE round(least(1, 0.5 + 2 * (spent * 1.125 - 0.375) / (1 + sqrt(greatest(1 + 4 * (spent * 1.125 - 0.375), 0)))), 6) END AS position
+FROM p
+"""
+
+
+@register("op1_curriculum_mix", OP1_SQL)
+def op1_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``position`` is where the document is first taken; rows come in that order."""
+    mixed = mixing.mix(table(spark, sf_dir, "documents"))
+    rows = mixed.select("doc_id", "size", "source_size", "target", "taken", F.round(F.get("copies", F.lit(0))["position"], 6).alias("position"))
+    return mixing.by_position(rows, "doc_id")
+
+
 @register("op2_token_files")
 def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tf.token_files(table(spark, sf_dir, "documents"), tokenizer_path(), END_ID, BYTE_BPE_IDS)
@@ -42,3 +76,54 @@ def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("op3_token_counts")
 def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
+
+
+def _escaped_sql(column: str) -> str:
+    angle = f"regexp_replace({column}, '<(\\\\*)(/?s>|\\|im_(?:start|end)\\|>|\\|endoftext\\|>)', '<\\\\\\1\\2', 'g')"
+    return f"regexp_replace({angle}, '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g')"
+
+
+OP9_SQL = f"""
+WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+  UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]')
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn NULLS FIRST, role, text)) AS turns_sha256,
+  CAST(coalesce(sum(length(text)) FILTER (role = 'assistant'), 0) AS BIGINT) AS loss_chars,
+  sha256(coalesce(string_agg(text, '' ORDER BY turn NULLS FIRST, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+  CAST(sum(12 + length(replace(replace({_escaped_sql("role")}, '%', '%25'), chr(10), '%0A')) + 1 + length({_escaped_sql("text")}) + 11) AS BIGINT) AS formatted_chars
+FROM c GROUP BY conv_id
+"""
+
+
+@register("op9_chat_format", OP9_SQL)
+def op9_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations of a user's and then an assistant's turn come as prompt and completion, the others
+    as messages; both layouts go by their fingerprints into the same turns."""
+    odd = "</s>[INST] ok [/INST]"
+    planted = spark.range(2).select(F.lit(-1).cast("bigint").alias("conv_id"), F.col("id").alias("turn"),
+                                    F.when(F.col("id") == 0, "user").otherwise("assistant").alias("role"), F.lit(odd).alias("text"))
+    rows = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text").unionByName(planted)
+    said = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("content"))
+    talks = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(said)).alias("said"))
+    pair = (F.size("said") == 2) & (F.get("said", F.lit(0))["role"] == "user") & (F.get("said", F.lit(1))["role"] == "assistant")
+    records = talks.select("conv_id", F.struct(
+        F.when(pair, F.get("said", F.lit(0))["content"]).alias("prompt"), F.when(pair, F.get("said", F.lit(1))["content"]).alias("completion"),
+        F.when(~pair, F.transform("said", lambda m: F.struct(m["role"].alias("role"), m["content"].alias("content")))).alias("messages")).alias("record"))
+    files = written(chat.with_template(chat.canonical(records)).select("conv_id", "layout", "segments"), "chat")
+    return chat.digest(files, "conv_id")
+
+
+TOP_K = 5
+OP10_SQL = """
+WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(256 * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+  WHERE embedding IS NOT NULL AND len(embedding) > 0 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, c.vec_id, CAST(list_sum(list_transform(list_zip(q.v, c.v), lambda p: p[1] * p[2])) AS BIGINT) AS score
+  FROM v q JOIN v c ON q.vec_id <> c.vec_id WHERE q.vec_id % 50 = 0),
+r AS (SELECT query_id, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS INTEGER) AS rank, vec_id, score FROM s)
+SELECT * FROM r WHERE rank <= 5
+"""
+
+
+@register("op10_exact_topk", OP10_SQL)
+def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
+    return topk.top_k(vectors, F.col("id") % 50 == 0, TOP_K)
