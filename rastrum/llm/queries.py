@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, topk
+from . import chat, mixing, quality, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -78,6 +78,17 @@ def op3_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return tc.token_counts(table(spark, sf_dir, "documents"), tokenizer_path(), TOKEN_LIMIT)
 
 
+QUALITY_CUT = 0.3
+
+
+@register("op4_rule_quality")
+def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = quality.learn(docs, table(spark, sf_dir, "labels"), "quality", held_out=0)
+    return quality.scored(docs, model).select("row.doc_id", "score").select(
+        "doc_id", quality.kept_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
+
+
 def _escaped_sql(column: str) -> str:
     angle = f"regexp_replace({column}, '<(\\\\*)(/?s>|\\|im_(?:start|end)\\|>|\\|endoftext\\|>)', '<\\\\\\1\\2', 'g')"
     return f"regexp_replace({angle}, '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g')"
