@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, topk
+from . import chat, mixing, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -89,6 +89,16 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.kept_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+REPEAT_BYTES = 400
+
+
+@register("op7_suffix_repeats")
+def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    done = repeats.without_repeats(table(spark, sf_dir, "documents"), REPEAT_BYTES)
+    removed = F.aggregate("spans", F.lit(0).cast("bigint"), lambda a, s: a + s["end"] - s["start"])
+    return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def _escaped_sql(column: str) -> str:
     angle = f"regexp_replace({column}, '<(\\\\*)(/?s>|\\|im_(?:start|end)\\|>|\\|endoftext\\|>)', '<\\\\\\1\\2', 'g')"
     return f"regexp_replace({angle}, '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g')"
