@@ -44,23 +44,24 @@ U = np.uint64
 
 class PrefixHash:
     """Polynomial hashes of every prefix of a buffer, modulo two primes; any part of the buffer gets
-    its hash from two prefixes, shifted to one common power."""
+    its hash from two prefixes, divided by the power of its start, so equal parts of different
+    buffers have equal hashes."""
 
-    powers: dict[int, np.ndarray] = {}
+    powers: dict[tuple[int, int], np.ndarray] = {}
 
     def __init__(self, data: np.ndarray):
         n = len(data)
-        self.n, self.sums, self.shift = n, [], []
+        self.sums, self.shift = [], []
         for p, b in zip(PRIMES, BASES, strict=True):
             power = self._powers(p, b, n + 1)
             s = np.zeros(n + 1, U)
             np.cumsum((data.astype(U) + U(1)) * power[:n] % U(p), out=s[1:])
             self.sums.append(s)
-            self.shift.append(power)
+            self.shift.append(self._powers(p, pow(b, -1, p), n + 1))
 
     @classmethod
     def _powers(cls, p: int, b: int, n: int) -> np.ndarray:
-        have = cls.powers.get(p)
+        have = cls.powers.get((p, b))
         if have is None or len(have) < n:
             size = max(n, 1 << 20)
             have = np.ones(size, U)
@@ -69,12 +70,12 @@ class PrefixHash:
                 step = min(done, size - done)
                 have[done:done + step] = have[:step] * U(pow(b, done, p)) % U(p)
                 done += step
-            cls.powers[p] = have
+            cls.powers[p, b] = have
         return have
 
     def of(self, start: np.ndarray, end: np.ndarray) -> np.ndarray:
         """One 62-bit number for each part start..end."""
-        a, b = (((s[end] - s[start]) % U(p)) * w[self.n - start] % U(p) for s, w, p in zip(self.sums, self.shift, PRIMES, strict=True))
+        a, b = (((s[end] - s[start]) % U(p)) * w[start] % U(p) for s, w, p in zip(self.sums, self.shift, PRIMES, strict=True))
         return (a << U(31)) | b
 
 
