@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, mixing, quality, repeats, topk
+from . import chat, decontam, mixing, neardup, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -89,6 +89,17 @@ def op4_rule_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
         "doc_id", quality.kept_out("doc_id", 0).alias("held_out"), "score", (F.col("score") >= QUALITY_CUT).cast("int").alias("predicted"))
 
 
+@register("op5_qgram_passages")
+def op5_qgram_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents that hold a benchmark passage, with the item: clean documents have no row."""
+    return decontam.matches(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+@register("op6_dart_minhash")
+def op6_dart_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return neardup.near_classes(table(spark, sf_dir, "documents"))
+
+
 REPEAT_BYTES = 400
 
 
