@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, mixing, neardup, quality, repeats, topk
+from . import chat, decontam, language_model, mixing, neardup, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -110,6 +110,12 @@ def op7_suffix_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
     return done.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("bigint").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
 
 
+@register("op8_log_bilinear")
+def op8_log_bilinear(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scores = language_model.language_scores(table(spark, sf_dir, "documents"), held_out=1)
+    return scores.withColumn("held_out", quality.kept_out("doc_id", 1))
+
+
 def _escaped_sql(column: str) -> str:
     angle = f"regexp_replace({column}, '<(\\\\*)(/?s>|\\|im_(?:start|end)\\|>|\\|endoftext\\|>)', '<\\\\\\1\\2', 'g')"
     return f"regexp_replace({angle}, '\\[(\\\\*)(/?INST\\])', '[\\\\\\1\\2', 'g')"
