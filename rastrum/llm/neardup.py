@@ -150,8 +150,9 @@ def distinct_texts(docs: DataFrame) -> DataFrame:
     others = [c for c in docs.columns if c not in ("text", "doc_id")]
     row = F.struct("doc_id", *others)
     keyed = docs.select(row.alias("row"), F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
-    once = keyed.groupBy("key").agg(F.count("*").alias("n"), F.min("row").alias("row"), F.any_value("text").alias("text"))
-    return written(once.withColumn("id", F.monotonically_increasing_id()), "texts")
+    first = F.min(F.struct(F.col("row.doc_id").isNull().alias("none"), "row")).alias("first")
+    once = keyed.groupBy("key").agg(F.count("*").alias("n"), first, F.any_value("text").alias("text"))
+    return written(once.select("key", "n", "first.row", "text").withColumn("id", F.monotonically_increasing_id()), "texts")
 
 
 def banded(texts: DataFrame, by_count: bool, bands: int, rows: int) -> DataFrame:
