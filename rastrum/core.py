@@ -64,16 +64,3 @@ def fits(df: DataFrame, rows: int | None = None) -> bool:
     """True when df has at most ``rows`` rows, found by reading no more than one row beyond it."""
     limit = rows or conf_int(df.sparkSession, BROADCAST_ROWS_KEY, 200_000)
     return df.limit(limit + 1).count() <= limit
-
-
-def small_side(df: DataFrame, rows: int | None = None) -> DataFrame:
-    """Broadcast df only when its checked size allows it; otherwise leave the join to Spark."""
-    return F.broadcast(df) if fits(df, rows) else df
-
-
-def estimated_bytes(df: DataFrame) -> int | None:
-    """Catalyst's size estimate of a plan, without running anything; None when it has none."""
-    try:
-        return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    except Exception:  # no classic plan behind the frame
-        return None

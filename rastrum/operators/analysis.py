@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Mapping, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..core import any_row, checkpointed, r6, small_side
+from ..core import any_row, checkpointed, r6
 from ..scale import exact_quantiles, ranked
 from ..sources.tables import METHODS
 
@@ -31,7 +34,7 @@ def enrich_results(results: DataFrame, plans: DataFrame, images: DataFrame) -> D
     """Results with their plan's dataset scope and their image's category."""
     p = plans.select("plan_id", "dataset_id", "dataset_version", F.col("split").alias("dataset_split"))
     i = images.select("image_id", "anomaly_type", "image_outcome")
-    out = results.join(small_side(p), "plan_id", "left").join(i, "image_id", "left")
+    out = results.join(p, "plan_id", "left").join(i, "image_id", "left")
     return out.withColumn("clean_artefact_type",
                           F.when(F.col("image_outcome") == "no_anomaly", F.col("anomaly_type")).otherwise(""))
 
@@ -160,7 +163,7 @@ def category_summary(df: DataFrame) -> DataFrame:
         *[r6(_mean_when(positive(), f"top_{k}_hit")).alias(f"top_{k}_proposal_recall") for k in (1, 3, 5, 8)])
     med = (exact_quantiles(done.where(positive()), keys, rank, {"median_first_true_anomaly_rank": 0.5})
            .withColumn("median_first_true_anomaly_rank", r6("median_first_true_anomaly_rank")))
-    return base.join(small_side(med), keys, "left")
+    return base.join(med, keys, "left")
 
 
 def outcome_summary(df: DataFrame) -> DataFrame:
@@ -317,31 +320,43 @@ def bootstrap_audit(paired: DataFrame, metric: str) -> DataFrame:
                          F.when(ok, "None").otherwise("Undefined metric or ineligible clean image").alias("exclusion_reason"))
 
 
-def draw_index(b: Column, j: Column, n: Column, seed: int) -> Column:
-    """Pseudo-random row number for draw j of replicate b: congruential steps that stay below 2^63."""
-    m = 2147483647
-    x = (j * 16807 + b * 48271 + seed * 69621 + 1) % m
+DRAW_MODULUS = 2147483647
+#: a draw at or above the k-th step makes a row count more than k times: the Poisson law of mean one
+POISSON_STEPS = tuple(int(DRAW_MODULUS * sum(math.exp(-1) / math.factorial(i) for i in range(k + 1))) for k in range(10))
+
+
+def draws(b: np.ndarray, u: np.ndarray, seed: int) -> np.ndarray:
+    """How often row u counts in replicate b: congruential steps that stay below 2^63, then Poisson."""
+    m = DRAW_MODULUS
+    x = (u % m * 16807 + u // m * 40692 + b * 48271 + seed * 69621 + 1) % m
     x = (x * 48271 + 11) % m
     x = (x * (x % 65521 + 7) + 13) % m
     x = (x * 69621 + b + 17) % m
-    return x % n
+    return np.searchsorted(np.array(POISSON_STEPS), x, side="right")
 
 
-def bootstrap_means(df: DataFrame, value: str, samples: int, seed: int, block: int = 10_000) -> DataFrame:
-    """Mean of every bootstrap replicate: draw j of replicate b takes row ``draw_index(b, j)``.
+def bootstrap_means(df: DataFrame, value: str, samples: int, seed: int) -> DataFrame:
+    """Mean of every bootstrap replicate, each row counting as often as its Poisson draw says.
 
-    Rows get a dense position and draws meet them in an equi-join; the sums combine map-side.
-    Draws are generated in blocks so no row ever holds n items.
+    A task keeps one sum and one count a replicate and adds its rows up as matrices of bounded
+    size, so no draw is ever a row; what is exchanged is ``samples`` rows a task.
     """
     vals = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
     rows = ranked(vals, [], [("v", True)], "pos").select("v", (F.col("pos") - 1).alias("u"))
-    n = vals.agg(F.count("*").alias("n"))
-    spark = df.sparkSession
-    blocks = (spark.range(0, samples, 1, min(samples, 4 * spark.sparkContext.defaultParallelism)).withColumnRenamed("id", "b").crossJoin(F.broadcast(n))  # one row
-              .select("b", "n", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("n") - 1) / block))).alias("k")).where("n > 0"))
-    j = F.explode(F.sequence(F.col("k") * block, F.least((F.col("k") + 1) * block, F.col("n")) - 1)).alias("j")
-    draws = blocks.select("b", "n", j).select("b", "n", draw_index(F.col("b"), F.col("j"), F.col("n"), seed).alias("u"))
-    return draws.join(rows, "u").groupBy("b", "n").agg((F.sum("v") / F.col("n")).alias("m"))
+
+    def add(batches):
+        b = np.arange(samples, dtype=np.int64)[:, None]
+        total, times = np.zeros(samples), np.zeros(samples, np.int64)
+        for batch in batches:
+            v, u = batch.column("v").to_numpy(), batch.column("u").to_numpy()
+            for i in range(0, len(v), 1000):
+                w = draws(b, u[None, i:i + 1000], seed)
+                total += w @ v[i:i + 1000]
+                times += w.sum(axis=1)
+        yield pa.RecordBatch.from_arrays([pa.array(b.ravel()), pa.array(total), pa.array(times)], ["b", "s", "w"])
+
+    parts = rows.mapInArrow(add, "b long, s double, w long")
+    return parts.groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0").select("b", (F.col("s") / F.col("w")).alias("m"))
 
 
 def bootstrap_ci(df: DataFrame, value: str, samples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:

@@ -25,8 +25,7 @@ def star_edges(df: DataFrame, node: str, keys: Sequence[str]) -> DataFrame:
     return out
 
 
-def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", name: str = "component",
-                         max_rounds: int = 60) -> DataFrame:
+def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node", name: str = "component") -> DataFrame:
     """Label every node with the smallest node it is connected to.
 
     Each round hooks the current root of a node to the smallest grandparent across its edges and
@@ -37,7 +36,7 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
     touched = both.select(F.col("src").alias("id")).distinct()
     # nodes without an edge keep themselves and never enter the loop
     f = checkpointed(touched.select("id", F.col("id").alias("f")))
-    for _ in range(max_rounds):
+    while True:
         gp = f.alias("a").join(f.alias("b"), F.col("a.f") == F.col("b.id")).select(
             F.col("a.id").alias("id"), F.col("a.f").alias("f"), F.col("b.f").alias("g"))
         near = (both.join(gp.select(F.col("id").alias("dst"), "g"), "dst").groupBy("src").agg(F.min("g").alias("m")))
@@ -50,7 +49,5 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
         f = new.select("id", "f")
         if not changed:
             break
-    else:
-        raise RuntimeError("component labels did not settle")
     return (nodes.join(f.withColumnRenamed("id", node), node, "left")
             .withColumn(name, F.coalesce("f", F.col(node))).drop("f"))

@@ -429,7 +429,7 @@ def candidate_evidence(masks: DataFrame, maps: DataFrame, reference: float, heig
                                  F.when(F.col("hl") > 0, F.col("hi") / F.col("hl")).otherwise(0.0).alias("local_agreement"))
 
 
-def suppress_overlaps(boxes: DataFrame, by: str = "image_id", rounds: int = 60) -> DataFrame:
+def suppress_overlaps(boxes: DataFrame, by: str = "image_id") -> DataFrame:
     """Greedy suppression without collecting a group: a box that beats all undecided rivals is kept,
     its rivals fall, and the rest goes round again - the same result as one sequential sweep.
 
@@ -448,7 +448,7 @@ def suppress_overlaps(boxes: DataFrame, by: str = "image_id", rounds: int = 60)
     edges = checkpointed(j.where(clash & better).select(by, F.col("l_box_id").alias("win"), F.col("r_box_id").alias("lose")))
     key = [by, "box_id"]
     state = checkpointed(b.select(*key).withColumn("kept", F.lit(None).cast("boolean")))
-    for _ in range(rounds):
+    while True:  # each round settles the best undecided box of every image at least
         open_ = state.where("kept is null").select(*key)
         live = edges.join(open_.withColumnRenamed("box_id", "win"), [by, "win"], "left_semi").join(open_.withColumnRenamed("box_id", "lose"), [by, "lose"], "left_semi")
         keep = open_.join(live.select(by, F.col("lose").alias("box_id")).distinct(), key, "left_anti")
@@ -457,7 +457,6 @@ def suppress_overlaps(boxes: DataFrame, by: str = "image_id", rounds: int = 60)
         state = checkpointed(state.join(news, key, "left").select(*key, F.coalesce("kept", "n").alias("kept")))
         if state.where("kept is null").limit(1).isEmpty():
             return state
-    raise RuntimeError("suppression did not settle")
 
 
 # ---- edges and region contrast ----------------------------------------------------------------

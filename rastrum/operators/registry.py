@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..core import any_row, small_side
+from ..core import any_row
 from ..functions.exprs import outcome_of, stem, suffix, unsafe_path
 from .overlap import duplicate_lookup
 
@@ -73,7 +73,7 @@ def registry_scan(images: DataFrame, dataset_id: str | None = None) -> DataFrame
 def register_dataset(datasets: DataFrame, incoming: DataFrame, overwrite: bool = False) -> DataFrame:
     """The registry after registration; an existing (id, version) is refused unless overwritten."""
     key = ["dataset_id", "dataset_version"]
-    new = small_side(incoming.select(*key))
+    new = incoming.select(*key)
     if not overwrite and any_row(datasets.join(new, key, "left_semi")):
         raise ValueError("dataset id and version already exist")
     return datasets.join(new, key, "left_anti").unionByName(incoming.select(*datasets.columns))
@@ -100,7 +100,9 @@ def ingest_manifest(files: DataFrame, meta: dict[str, str]) -> DataFrame:
                         outcome_of(F.col("anomaly_type")).alias("image_outcome"), F.lit("unassigned").alias("split"),
                         F.when(F.coalesce(F.col("anomaly_type"), F.lit("")) != "", F.concat(F.lit("template:"), "anomaly_type")).otherwise("").alias("template_group_id"),
                         *[F.lit(v).alias(k) for k, v in meta.items()])
-    return duplicate_lookup(rows)
+    # only an opened image has a perceptual hash
+    opened = F.col("corruption_status").isin("valid", "extreme resolution")
+    return duplicate_lookup(rows.withColumn("perceptual_hash", F.when(opened, F.col("perceptual_hash"))))
 
 
 def read_files(spark: SparkSession, path: str, glob: str = "*") -> DataFrame:
@@ -154,7 +156,7 @@ def yolo_rows(files: DataFrame) -> DataFrame:
     """(image_id, valid, classes) from YOLO text: integer class, coordinates within [0, 1]."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda v: F.length(v) > 0)
     parts = F.transform(lines, lambda v: F.split(F.trim(v), r"\s+"))
-    nums = lambda p: F.transform(F.slice(p, 2, 10000), lambda v: v.try_cast("double"))
+    nums = lambda p: F.transform(F.slice(p, 2, F.greatest(F.size(p) - 1, F.lit(0))), lambda v: v.try_cast("double"))
     ok = F.forall(parts, lambda p: F.try_element_at(p, F.lit(1)).try_cast("int").isNotNull() & (F.size(p) > 1)
                   & F.forall(nums(p), lambda v: F.coalesce((v >= 0) & (v <= 1), F.lit(False))))
     return files.select("image_id", *[c for c in files.columns if c == "part"], ((F.col("width") > 0) & (F.col("height") > 0) & ok).alias("valid"), F.transform(parts, lambda p: p[0]).alias("classes"))
@@ -193,7 +195,7 @@ def voc_rows(files: DataFrame) -> DataFrame:
 def csv_rows(files: DataFrame) -> DataFrame:
     """CSV with header ``x1,y1,x2,y2,class``: at least one row, every box ordered and inside."""
     lines = F.filter(F.split("text", r"\r?\n"), lambda v: F.length(v) > 0)
-    body = F.transform(F.slice(lines, 2, 1_000_000), lambda v: F.from_csv(v, F.lit("x1 double, y1 double, x2 double, y2 double, class string")))
+    body = F.transform(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), lambda v: F.from_csv(v, F.lit("x1 double, y1 double, x2 double, y2 double, class string")))
     ok = (F.size(body) > 0) & F.forall(body, lambda r: _box_ok(r["x1"], r["y1"], r["x2"], r["y2"]))
     return files.select("image_id", *[c for c in files.columns if c == "part"], ok.alias("valid"), F.transform(body, lambda r: F.coalesce(r["class"], F.lit("unknown"))).alias("classes"))
 
@@ -289,7 +291,7 @@ def set_split_eligible(images: DataFrame, ids: DataFrame, eligible: bool) -> Dat
 def backfill(images: DataFrame, datasets: DataFrame) -> DataFrame:
     """Fill columns added later: version, duplicate type, outcome, template and source groups."""
     newest = latest_metadata(datasets).select("dataset_id", F.col("dataset_version").alias("__v"))
-    j = images.join(small_side(newest), "dataset_id", "left")
+    j = images.join(newest, "dataset_id", "left")
     e = lambda c: F.coalesce(F.col(c), F.lit("")) == ""
     kind = (F.when(F.col("duplicate_status") == "exact duplicate", "exact image duplicate").when(F.col("duplicate_status") == "possible near duplicate", "near duplicate").otherwise("unique"))
     return (j.withColumn("dataset_version", F.when(e("dataset_version"), F.coalesce("__v", F.lit(""))).otherwise(F.col("dataset_version")))
@@ -319,7 +321,7 @@ def path_prefix_join(paths: DataFrame, rules: DataFrame, role: str) -> DataFrame
     parts = F.split("stored_path", "/")
     lead = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
     unsafe = F.array_contains(F.split(F.regexp_replace("stored_path", r"\\", "/"), "/"), "..") | (F.col("stored_path") == "")
-    hits = (paths.select("stored_path", F.explode(F.array_distinct(lead)).alias("stored_prefix")).join(small_side(rules), "stored_prefix")
+    hits = (paths.select("stored_path", F.explode(F.array_distinct(lead)).alias("stored_prefix")).join(rules, "stored_prefix")
             .groupBy("stored_path").agg(F.count(F.when(F.col("role") == role, 1)).alias("own"), F.count(F.when(F.col("role") != role, 1)).alias("other"),
                                         F.max(F.when(F.col("role") == role, F.struct("stored_prefix", "target"))).alias("rule")))
     j = paths.join(hits, "stored_path", "left")

@@ -23,9 +23,11 @@ SPLITS = ("train", "validation", "test")
 IDENTITY_KEYS = ("sha256_hash", *GROUP_FIELDS.values())
 
 
-def identity_components(images: DataFrame, keys: Sequence[str] = IDENTITY_KEYS, perceptual: bool = True) -> DataFrame:
-    """Images with the smallest image id they are tied to by content, groups or near-equal hashes."""
+def identity_components(images: DataFrame, keys: Sequence[str] = IDENTITY_KEYS, perceptual: bool = True, extra: DataFrame | None = None) -> DataFrame:
+    """Images with the smallest image id they are tied to by content, groups, near-equal hashes or ``extra`` edges."""
     edges = star_edges(images, "image_id", keys)
+    if extra is not None:
+        edges = edges.unionByName(extra)
     if perceptual:
         edges = edges.unionByName(star_edges(images, "image_id", ["perceptual_hash"]))
         rep = images.where("perceptual_hash is not null").groupBy(F.col("perceptual_hash").alias("h")).agg(F.min("image_id").alias("rep"))
@@ -36,6 +38,14 @@ def identity_components(images: DataFrame, keys: Sequence[str] = IDENTITY_KEYS,
     return connected_components(nodes, edges).select(F.col("node").alias("image_id"), F.col("component").alias("group_key"))
 
 
+def near_edges(images: DataFrame) -> DataFrame:
+    """Edges that keep near duplicates together: to the image each was matched with, and within their shared group."""
+    near = images.where(F.col("duplicate_type") == "near duplicate")
+    canonical = near.where("canonical_image_id is not null").select(F.col("image_id").alias("src"), F.col("canonical_image_id").alias("dst"))
+    both = canonical.join(images.select(F.col("image_id").alias("dst")), "dst", "left_semi")
+    return both.select("src", "dst").unionByName(star_edges(near, "image_id", ["duplicate_group_id"]))
+
+
 def split_groups(images: DataFrame, components: DataFrame) -> DataFrame:
     """One row per identity group: size, and the outcome and category of its smallest image."""
     j = images.join(components, "image_id")
@@ -126,7 +136,7 @@ def prepare_split(images: DataFrame, ratios: Sequence[float] = (0.7, 0.15, 0.15)
                   override_leakage: bool = False, override_composition: bool = False, check: bool = True) -> DataFrame:
     """Images with their new split: identity groups stay whole; leaks and unsafe tests are refused."""
     ok = eligible(images)
-    comp = identity_components(ok, perceptual=False)
+    comp = identity_components(ok, perceptual=False, extra=near_edges(ok))
     groups = split_groups(ok, comp)
     assigned = balanced_split(groups, override_composition) if mode == "Balanced Synthetic Benchmark" else share_split(groups, ["outcome", "category"], ratios, seed)
     new = comp.join(assigned.select("group_key", F.col("split").alias("__s")), "group_key").select("image_id", "__s")

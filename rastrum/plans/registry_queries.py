@@ -36,7 +36,17 @@ _SFX = "CASE image_id%11 WHEN 0 THEN '.gif' WHEN 1 THEN '.JPG' ELSE '.png' END"
 _CAT = "CASE image_id%7 WHEN 0 THEN 'thin_crack' WHEN 1 THEN 'normal_texture' WHEN 2 THEN '' ELSE 'pitting_cluster' END"
 
 
-@query("s04_ingest_manifest", "manifest", f""", f AS (SELECT *, 'in/doc_'||image_id||{_SFX} AS fname, {_CAT} AS cat FROM manifest)
+_OPENED = "perceptual_hash AS seen, CASE WHEN file_size>0 AND image_id%11<>0 AND image_id%13<>0 THEN perceptual_hash END AS perceptual_hash"
+
+
+@query("s04_ingest_manifest", "images", f""", o AS (SELECT * EXCLUDE (perceptual_hash), {_OPENED} FROM images), ov AS (SELECT DISTINCT perceptual_hash AS h FROM o WHERE perceptual_hash IS NOT NULL),
+ oc AS (SELECT sha256_hash, min(image_id) AS first_copy FROM o GROUP BY 1), oh AS (SELECT perceptual_hash AS h, min(image_id) AS m FROM o GROUP BY 1),
+ onear AS (SELECT a.h AS perceptual_hash, min(m) AS first_near FROM ov a JOIN ov b ON bit_count(xor(a.h,b.h))<=3 JOIN oh ON b.h=oh.h GROUP BY 1),
+ om AS (SELECT o.*, CASE WHEN first_copy<image_id THEN 'exact image duplicate' WHEN first_near<image_id THEN 'near duplicate' ELSE 'unique' END AS duplicate_type,
+  CASE WHEN first_copy<image_id THEN first_copy WHEN first_near<image_id THEN first_near END AS canonical_image_id,
+  CASE WHEN first_copy<image_id THEN 'sha256:'||sha256_hash WHEN first_near<image_id THEN 'near:'||first_near ELSE '' END AS duplicate_group_id,
+  NOT first_copy<image_id AS split_eligible FROM o LEFT JOIN oc USING (sha256_hash) LEFT JOIN onear USING (perceptual_hash)),
+ f AS (SELECT *, 'in/doc_'||image_id||{_SFX} AS fname, {_CAT} AS cat FROM om)
  SELECT image_id, substr(sha256_hash,1,12)||'_doc_'||image_id||{_SFX} AS stored_filename, lower(substr({_SFX},2)) AS file_format, CASE WHEN file_size=0 THEN 'zero-byte' WHEN image_id%11=0 THEN 'unsupported format'
    WHEN image_id%13=0 THEN 'corrupt' WHEN width<8 OR height<8 THEN 'extreme resolution' ELSE 'valid' END AS corruption_status,
   CASE WHEN cat IN ('thin_crack','pitting_cluster') THEN 'anomaly_present' WHEN cat<>'' THEN 'no_anomaly' ELSE '' END AS image_outcome, CASE WHEN cat<>'' THEN 'template:'||cat ELSE '' END AS template_group_id,
@@ -103,10 +113,10 @@ def _(t):
     return ok.select("event_id", F.lit(True).alias("accepted")).unionByName(bad.select("event_id", F.lit(False).alias("accepted")))
 
 
-@query("s25_hash_manifest_build", "images", "SELECT original_filename AS path, file_size, sha256_hash AS sha256 FROM images")
+@query("s25_hash_manifest_build", "", "SELECT 'doc_'||doc_id||'.png' AS path, CAST(strlen(text) AS BIGINT) AS file_size, sha256(text) AS sha256 FROM documents")
 def _(t):
     d = t.read("documents")  # the file body is the document text
-    return d.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".png")).alias("path"), F.length("text").cast("bigint").alias("file_size"), F.sha2("text", 256).alias("sha256"))
+    return d.select(F.concat(F.lit("doc_"), "doc_id", F.lit(".png")).alias("path"), F.octet_length("text").cast("bigint").alias("file_size"), F.sha2("text", 256).alias("sha256"))
 
 
 _PATH = "CASE WHEN image_id%23=0 THEN '../'||original_filename ELSE original_filename END"

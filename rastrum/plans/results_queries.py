@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from ..core import r6
 from ..operators import analysis as an
+from ..scale import ranked
 from ..sources.tables import METHODS
 from .registry import query
 
@@ -69,13 +70,12 @@ def _(t):
     return an.column_view(t.scope, "essential")
 
 
-@query("w15_result_sort", "scope", """SELECT result_id, row_number() OVER (ORDER BY proposal_recall DESC NULLS LAST, result_id DESC) AS pos FROM scope
-  QUALIFY pos<=500""")
+@query("w15_result_sort", "scope", """SELECT result_id, row_number() OVER (ORDER BY proposal_recall DESC NULLS LAST, result_id DESC) AS pos FROM scope""")
 def _(t):
-    top = an.result_sort(t.scope, "proposal_recall", "result_id").limit(500)  # the feature is a page of sorted rows
-    from pyspark.sql import Window
-    w = Window.orderBy(F.col("proposal_recall").desc_nulls_last(), F.col("result_id").desc())
-    return top.withColumn("pos", F.row_number().over(w).cast("bigint")).select("result_id", "pos")
+    rows = t.scope.select("result_id", "proposal_recall")
+    n = rows.agg(F.count("*").alias("n"))  # one row
+    up = ranked(rows, [], [("proposal_recall", True), ("result_id", True)], "up")  # places from the end
+    return up.crossJoin(F.broadcast(n)).select("result_id", (F.col("n") + 1 - F.col("up")).alias("pos"))
 
 
 _SUM = """round(avg(CASE WHEN proposal_recall IS NOT NULL THEN CAST(top_1_hit AS INT) END),6) AS top_1_proposal_recall,
@@ -229,14 +229,14 @@ def _(t):
     return an.interpretation(paired(t))
 
 
-@query("a22_bootstrap_ci", "scope", PAIRED + """, v AS (SELECT difference_proposal_precision AS v, row_number() OVER (ORDER BY difference_proposal_precision)-1 AS u
+@query("a22_bootstrap_ci", "scope", PAIRED + f""", v AS (SELECT difference_proposal_precision AS v, row_number() OVER (ORDER BY difference_proposal_precision)-1 AS u
    FROM paired WHERE difference_proposal_precision IS NOT NULL), nn AS (SELECT count(*) AS n FROM v),
- d0 AS (SELECT b, n, (j*16807+b*48271+42*69621+1)%2147483647 AS x FROM nn, range(200) r(b), range((SELECT n FROM nn)) s(j)), d1 AS (SELECT b, n, (x*48271+11)%2147483647 AS x FROM d0), d2 AS (SELECT b, n, (x*(x%65521+7)+13)%2147483647 AS x FROM d1),
- d AS (SELECT b, ((x*69621+b+17)%2147483647)%n AS u FROM d2),
- m AS (SELECT b, avg(v) AS m FROM d JOIN v USING (u) GROUP BY b)
+ d0 AS (SELECT b, v, (u%2147483647*16807+u//2147483647*40692+b*48271+42*69621+1)%2147483647 AS x FROM v, range(1000) r(b)), d1 AS (SELECT b, v, (x*48271+11)%2147483647 AS x FROM d0), d2 AS (SELECT b, v, (x*(x%65521+7)+13)%2147483647 AS x FROM d1),
+ d3 AS (SELECT b, v, (x*69621+b+17)%2147483647 AS x FROM d2), d AS (SELECT b, v, {" + ".join(f"CAST(x>={c} AS BIGINT)" for c in an.POISSON_STEPS)} AS w FROM d3),
+ m AS (SELECT b, sum(w*v)/sum(w) AS m FROM d GROUP BY b HAVING sum(w)>0)
  SELECT (SELECT n FROM nn) AS n, round(quantile_cont(m, 0.025),6) AS ci_low, round(quantile_cont(m, 0.975),6) AS ci_high FROM m""")
 def _(t):
-    return an.bootstrap_ci(paired(t), "difference_proposal_precision", samples=200, seed=42)
+    return an.bootstrap_ci(paired(t), "difference_proposal_precision", samples=1000, seed=42)
 
 
 @query("a24_bootstrap_audit", "scope", PAIRED + f"""SELECT experiment_id, experiment_version, image_id, difference_mean_iou IS NOT NULL AND {POS} AS eligible,

@@ -10,12 +10,15 @@ from .registry_queries import REASONS, candidates, reasons
 KEYS = ["sha256_hash", "template_group_id", "group_id"]
 
 
-def comp_sql(src: str, name: str, perceptual: bool) -> str:
+def comp_sql(src: str, name: str, perceptual: bool, keys: list[str] = KEYS, near: bool = False) -> str:
     """CTEs labelling each image of ``src`` with the smallest image it is tied to."""
-    edges = " UNION ".join(f"SELECT a.image_id AS s, b.image_id AS d FROM {src} a JOIN (SELECT {k}, min(image_id) AS image_id FROM {src} WHERE {k}<>'' GROUP BY 1) b USING ({k})" for k in KEYS)
+    edges = " UNION ".join(f"SELECT a.image_id AS s, b.image_id AS d FROM {src} a JOIN (SELECT {k}, min(image_id) AS image_id FROM {src} WHERE {k}<>'' GROUP BY 1) b USING ({k})" for k in keys)
     if perceptual:
         edges += (f" UNION SELECT a.image_id, b.m FROM {src} a JOIN (SELECT perceptual_hash, min(image_id) AS m FROM {src} GROUP BY 1) b USING (perceptual_hash)"
                   f" UNION SELECT a.m, b.m FROM (SELECT perceptual_hash AS h, min(image_id) AS m FROM {src} GROUP BY 1) a JOIN (SELECT perceptual_hash AS h, min(image_id) AS m FROM {src} GROUP BY 1) b ON bit_count(xor(a.h,b.h))<=3")
+    if near:
+        edges += (f" UNION SELECT a.image_id, b.image_id FROM {src} a JOIN {src} b ON a.canonical_image_id=b.image_id WHERE a.duplicate_type='near duplicate'"
+                  f" UNION SELECT a.image_id, b.m FROM {src} a JOIN (SELECT duplicate_group_id, min(image_id) AS m FROM {src} WHERE duplicate_type='near duplicate' GROUP BY 1) b USING (duplicate_group_id) WHERE a.duplicate_type='near duplicate'")
     return f""", {name}_e AS (SELECT s, d FROM ({edges}) WHERE s<>d UNION SELECT d, s FROM ({edges}) WHERE s<>d),
  {name}_r(node, lab) AS (SELECT image_id, image_id FROM {src} UNION SELECT e.d, r.lab FROM {name}_r r JOIN {name}_e e ON e.s=r.node WHERE r.lab<e.d),
  {name} AS (SELECT node AS image_id, min(lab) AS group_key FROM {name}_r GROUP BY 1)"""
@@ -26,8 +29,8 @@ def _(t):
     return sp.identity_components(t.images, KEYS)
 
 
-def groups_sql(ratios=(0.7, 0.15, 0.15), seed=42):
-    return (", ok AS (SELECT * FROM manifest WHERE corruption_status='valid' AND split_eligible)" + comp_sql("ok", "comp", False) +
+def groups_sql(ratios=(0.7, 0.15, 0.15), seed=42, src="manifest", **how):
+    return (f", ok AS (SELECT * FROM {src} WHERE corruption_status='valid' AND split_eligible)" + comp_sql("ok", "comp", False, **how) +
             f""", g AS (SELECT group_key, count(*) AS size, arg_min(CASE WHEN image_outcome='' THEN 'unknown' ELSE image_outcome END, image_id) AS outcome, arg_min(anomaly_type, image_id) AS category FROM ok JOIN comp USING (image_id) GROUP BY 1),
  a0 AS (SELECT *, (sum(size) OVER (PARTITION BY outcome, category ORDER BY CAST('0x'||substr(md5('{seed}:'||group_key),1,12) AS BIGINT), group_key ROWS UNBOUNDED PRECEDING)-size/2.0)/sum(size) OVER (PARTITION BY outcome, category) AS mid FROM g),
  assigned AS (SELECT group_key, size, outcome, category, CASE WHEN mid<{ratios[0]} THEN 'train' WHEN mid<{ratios[0] + ratios[1]} THEN 'validation' ELSE 'test' END AS split FROM a0) """)
@@ -56,12 +59,14 @@ def _(t):
     return sp.balanced_split(_groups(t), mapping=_MAP)
 
 
-_NEW = groups_sql() + ", newm AS (SELECT m.* REPLACE (coalesce(a.split, m.split) AS split) FROM manifest m LEFT JOIN comp USING (image_id) LEFT JOIN assigned a USING (group_key)) "
+_FINE = "fine AS (SELECT * REPLACE (source_group_id||':'||(image_id//25) AS source_group_id) FROM manifest)"
+_NEW = ", " + _FINE + groups_sql(src="fine", keys=[*KEYS, "source_group_id"], near=True) + ", newm AS (SELECT m.* REPLACE (coalesce(a.split, m.split) AS split) FROM fine m LEFT JOIN comp USING (image_id) LEFT JOIN assigned a USING (group_key)) "
 
 
 def _new(t):
-    # the declared source is too coarse a group here (20 values), so it is not an identity key
-    return sp.prepare_split(t.manifest.withColumn("source_group_id", F.lit("")), check=False)
+    # the tables' sources are 20 values for all rows; a source here is one of their batches of 25
+    fine = t.manifest.withColumn("source_group_id", F.concat("source_group_id", F.lit(":"), F.floor(F.col("image_id") / 25).cast("string")))
+    return sp.prepare_split(fine, override_composition=True)
 
 
 @query("g05_prepare_split", "manifest", _NEW + "SELECT image_id, split FROM newm")

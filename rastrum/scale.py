@@ -12,7 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .core import HOT_ROWS_KEY, any_row, checkpointed, conf_int, estimated_bytes
+from .core import HOT_ROWS_KEY, any_row, checkpointed, conf_int
 
 Order = tuple[str, bool]  # (column, ascending)
 
@@ -22,11 +22,8 @@ def hot_limit(df: DataFrame) -> int:
 
 
 def has_hot_group(df: DataFrame, by: Sequence[str], limit: int | None = None) -> bool:
-    """Does a group exceed the limit? A plan too small for that by Catalyst's estimate is not counted."""
+    """Does a group exceed the limit? Counted, since estimates know nothing of exploded rows."""
     limit = limit or hot_limit(df)
-    size = estimated_bytes(df)
-    if size is not None and size < limit * 32:
-        return False
     if not by:
         return df.limit(limit + 1).count() > limit
     return any_row(df.groupBy(*by).count().where(F.col("count") > limit))
@@ -69,7 +66,7 @@ def running_sums(df: DataFrame, by: Sequence[str], order: Sequence[Order], sums:
     if not hot:
         w = Window.partitionBy(*by).orderBy(*_order(order)).rowsBetween(Window.unboundedPreceding, 0)
         return df.select("*", *[F.sum(e).over(w).alias(n) for n, e in sums.items()])
-    pieces = int(min(1000, max(8, df.count() // limit + 1)))
+    pieces = max(8, df.count() // limit + 1)
     cut = with_ranges(df, order, pieces, "__range")
     for n, e in sums.items():
         cut = cut.withColumn(f"__in_{n}", e)
@@ -126,11 +123,16 @@ def exact_quantiles(df: DataFrame, by: Sequence[str], value: str, probs: dict[st
 
 def ordered_hash(df: DataFrame, by: Sequence[str], order: Sequence[Order], row_hash: Column, name: str,
                  fan: int = 4096, levels: int = 4) -> DataFrame:
-    """SHA-256 over rows in order, as a tree of fixed fan-out so no task reads a whole group."""
+    """SHA-256 over rows in order, as a tree of fixed fan-out so no task reads a whole group.
+
+    The tree has ``levels`` levels, and more where a group has more than fan ** levels rows.
+    """
     by = list(by)
     pos = ranked(df.withColumn("__h", row_hash), by, order, "__pos")
     cur = pos.select(*by, (F.col("__pos") - 1).alias("__i"), "__h")
-    for _ in range(levels):
+    level = 0
+    while level < levels or any_row(cur.where("__i > 0")):
+        level += 1
         cur = (cur.groupBy(*by, F.floor(F.col("__i") / fan).alias("__p"))
                .agg(F.sha2(F.array_join(F.transform(
                    F.array_sort(F.collect_list(F.struct("__i", "__h"))), lambda s: s["__h"]), ","), 256).alias("__h"))

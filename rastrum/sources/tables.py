@@ -10,7 +10,6 @@ from functools import cached_property
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..core import checkpointed
 from ..scale import ranked
 
 METHODS = ("contour-only baseline", "fixed-threshold baseline", "multi-scale fused method", "refined contextual method")
@@ -123,11 +122,11 @@ class Tables:
         j = d.join(l.select("doc_id", "toxic"), "doc_id", "left")
         sha = F.sha2(F.col("text"), 256)
         outcome = F.when(F.col("toxic") == 1, "anomaly_present").when(F.col("toxic") == 0, "no_anomaly").otherwise("")
-        # the manifest is what ingestion stores: texts are read and hashed once, all else reads the manifest
-        return checkpointed(j.select(
+        # lazy: a query reads and hashes only what it asks for; loops cut their own lineage
+        return j.select(
             F.col("doc_id").alias("image_id"), F.concat(F.lit("d"), F.col("doc_id") % 2).alias("dataset_id"),
             F.lit("v1").alias("dataset_version"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".png")).alias("original_filename"),
-            sha.alias("sha256_hash"), text_dhash(F.col("text")).alias("perceptual_hash"),
+            sha.alias("sha256_hash"), F.when(F.col("n_chars") > 0, text_dhash(F.col("text"))).alias("perceptual_hash"),  # only an opened file has one
             F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 == 7, "validation").otherwise("test").alias("split"),
             F.col("lang").alias("anomaly_type"), outcome.alias("image_outcome"),
             F.col("source").alias("source_group_id"),
@@ -136,7 +135,7 @@ class Tables:
             F.when(F.col("doc_id") % 3 == 0, "unique").otherwise("").alias("duplicate_status"),
             (1 + F.col("n_chars") % 97).alias("width"), (1 + F.col("n_chars") % 89).alias("height"),
             F.col("n_chars").alias("file_size"),
-            F.when(F.col("n_chars") == 0, "zero-byte").otherwise("valid").alias("corruption_status")))
+            F.when(F.col("n_chars") == 0, "zero-byte").otherwise("valid").alias("corruption_status"))
 
     # ---- reviews: one row per user and method ------------------------------------------------
     @cached_property
@@ -254,7 +253,7 @@ SQL = {
       CASE WHEN i.image_outcome='no_anomaly' THEN i.anomaly_type ELSE '' END AS clean_artefact_type
       FROM results r LEFT JOIN plans p USING (plan_id) LEFT JOIN result_images i USING (image_id))""",
     "images": """images AS (SELECT doc_id AS image_id, 'd'||(doc_id%2) AS dataset_id, 'v1' AS dataset_version,
-      'doc_'||doc_id||'.png' AS original_filename, sha256(text) AS sha256_hash, perceptual_hash,
+      'doc_'||doc_id||'.png' AS original_filename, sha256(text) AS sha256_hash, CASE WHEN n_chars>0 THEN perceptual_hash END AS perceptual_hash,
       CASE WHEN doc_id%10<7 THEN 'train' WHEN doc_id%10=7 THEN 'validation' ELSE 'test' END AS split, lang AS anomaly_type,
       CASE WHEN toxic=1 THEN 'anomaly_present' WHEN toxic=0 THEN 'no_anomaly' ELSE '' END AS image_outcome, source AS source_group_id,
       CASE WHEN doc_id%3=0 THEN 't:'||substr(sha256(text),1,8) ELSE '' END AS template_group_id,
