@@ -623,3 +623,77 @@ def coherence(labelled: DataFrame, height: int, width: int) -> DataFrame:
     heat = 1 - F.least(F.col("sd") / 90, F.lit(1.0))
     single = 1.0 / F.least(F.greatest(F.coalesce("peaks", F.lit(1)), F.lit(1)), F.lit(5))
     return j.select(*key, "area", solidity.alias("solidity"), heat.alias("heat_consistency"), single.alias("peak_score"), ((1.0 + solidity + heat + single) / 4).alias("coherence"))
+
+
+# ---- specular highlights ------------------------------------------------------------------------
+# Thresholds, scales and weights of the optical score.
+SPECULAR = {"bright": 0.88, "high": 0.82, "pale": 0.22, "chroma": 75.0, "spread": 64.0, "slope": 128.0}
+OPTICAL_WEIGHTS = {"bright_low_saturation": 0.22, "high_value": 0.12, "low_saturation": 0.12, "channel_similarity": 0.12, "low_chroma": 0.12,
+                   "intensity_smoothness": 0.10, "low_entropy": 0.08, "brightness_contrast": 0.07, "compactness": 0.05}
+SPECULAR_RULE = {"penalty_weight": 0.65, "rejection": 0.50, "structure": 0.42, "safeguard": 0.2, "most_safeguard": 0.95, "most_penalty": 0.85}
+
+
+def _unit(c: Column) -> Column:
+    return F.greatest(F.lit(0.0), F.least(F.lit(1.0), c))
+
+
+def specular_evidence(df: DataFrame, regions: DataFrame, metrics: DataFrame, height: int, width: int, radius: int = 2, ids: Sequence[str] = ("image_id", "label")) -> DataFrame:
+    """How much each region looks like a reflection, and what speaks for a crack or pits instead.
+
+    ``df``: image_id, y, x, b, gg, r, gray; ``regions``: ids, y, x; ``metrics``: ids, entropy,
+    boundary_smoothness, geometric_irregularity, scale_agreement, local_texture_contrast, component_count.
+    The core of a region is its erosion where at least eight pixels are left, else all of it; the
+    aspect is that of its upright box. One stencil pass and one join bring the pixels together.
+    """
+    ids = list(ids)
+    key = [*ids, "y", "x"]
+    n = neighbours(df.select(*PIXEL, "b", "gg", "r", "gray"), "gray")
+    gx, gy = kernel(SOBEL_X), kernel(SOBEL_Y)
+    hs, la = hsv(F.col("b"), F.col("gg"), F.col("r")), lab(F.col("b"), F.col("gg"), F.col("r"))
+    pixels = n.select(*PIXEL, F.col("gray").cast("double").alias("gray"), F.sqrt(gx * gx + gy * gy).alias("slope"), (hs["v"] / 255.0).alias("value"), (hs["s"] / 255.0).alias("sat"),
+                      (F.greatest("b", "gg", "r") - F.least("b", "gg", "r")).alias("range"), F.sqrt(F.pow(la["a"] - 128, 2) + F.pow(la["bb"] - 128, 2)).alias("chroma"))
+    core = erode(regions.select(*key), square(1), height, width, ids).withColumn("core", F.lit(True))
+    inside = regions.select(*key).join(core, key, "left").select(*key, F.lit(True).alias("inside"), F.coalesce("core", F.lit(False)).alias("core"))
+    ring = context_ring(regions, radius, height, width, ids).select(*key, F.lit(False).alias("inside"), F.lit(False).alias("core"))
+    px = inside.unionByName(ring).join(pixels, PIXEL)
+    own = lambda f, c, on="inside": f(F.when(F.col(on), c))
+    share = lambda c: own(F.avg, c.cast("double"))
+    g = px.groupBy(*ids).agg(
+        share((F.col("value") > SPECULAR["bright"]) & (F.col("sat") < SPECULAR["pale"])).alias("bright_low_saturation"), share(F.col("value") > SPECULAR["high"]).alias("high_value"),
+        own(F.avg, F.col("sat")).alias("sat"), own(F.avg, F.col("range")).alias("range"), own(F.avg, F.col("chroma")).alias("chroma"), own(F.avg, F.col("value")).alias("mean_value"),
+        own(F.stddev_pop, F.col("gray")).alias("spread"), F.avg(F.when(~F.col("inside"), F.col("gray"))).alias("around"), own(F.count, F.lit(1)).alias("area"), own(F.count, F.lit(1), "core").alias("core_area"),
+        own(F.stddev_pop, F.col("gray"), "core").alias("core_spread"), own(F.avg, F.col("slope"), "core").alias("core_slope"), own(F.avg, F.col("slope")).alias("all_slope"),
+        (own(F.max, F.col("x")) - own(F.min, F.col("x")) + 1).alias("w"), (own(F.max, F.col("y")) - own(F.min, F.col("y")) + 1).alias("h"))
+    c = F.col
+    j = g.join(metrics, ids)
+    cored = c("core_area") >= 8
+    j = j.withColumns({
+        "low_saturation": 1 - c("sat"), "channel_similarity": 1 - c("range") / 255, "low_chroma": 1 - F.least(c("chroma") / SPECULAR["chroma"], F.lit(1.0)),
+        "intensity_smoothness": 1 - F.least(c("spread") / SPECULAR["spread"], F.lit(1.0)), "low_entropy": 1 - F.least(c("entropy"), F.lit(1.0)),
+        "brightness_contrast": _unit(c("mean_value") - F.coalesce(c("around") / 255, c("mean_value"))), "compactness": _unit(0.55 * c("boundary_smoothness") + 0.45 * (1 - c("geometric_irregularity"))),
+        "core_texture": F.least(F.when(cored, c("core_spread")).otherwise(c("spread")) / SPECULAR["spread"], F.lit(1.0)),
+        "core_gradient": F.least(F.when(cored, c("core_slope")).otherwise(c("all_slope")) / SPECULAR["slope"], F.lit(1.0)),
+        "aspect": F.greatest(c("w") / c("h"), c("h") / c("w")), "occupancy": c("area") / (c("w") * c("h"))})
+    optical = F.lit(0.0)
+    for name, weight in OPTICAL_WEIGHTS.items():
+        optical = optical + weight * c(name)
+    j = j.withColumn("structural_strength", _unit(F.greatest("core_texture", "core_gradient", "geometric_irregularity")))
+    gate = _unit(0.55 * c("mean_value") + 0.45 * c("high_value"))
+    elongation, thin = _unit((c("aspect") - 2.5) / 5), _unit((0.42 - c("occupancy")) / 0.32)
+    return j.select(
+        *ids, _unit(_unit(optical) * (0.30 + 0.70 * gate) * (0.65 + 0.35 * (1 - c("structural_strength")))).alias("specular_likelihood"), "structural_strength",
+        _unit(F.greatest(elongation, 0.65 * elongation + 0.35 * thin) * (0.65 + 0.35 * c("scale_agreement"))).alias("crack_safeguard"),
+        _unit(F.greatest(_unit((c("component_count") - 1) / 4), c("geometric_irregularity") * F.greatest("core_texture", "local_texture_contrast"))).alias("pitting_safeguard"))
+
+
+def specular_decision(evidence: DataFrame, crack_weight: float = 0.9, pitting_weight: float = 0.9) -> DataFrame:
+    """Add the effective likelihood, the penalty on a score, the safeguard at work and the decision."""
+    c, rule = F.col, SPECULAR_RULE
+    guard = F.least(F.greatest(crack_weight * c("crack_safeguard"), pitting_weight * c("pitting_safeguard")), F.lit(rule["most_safeguard"]))
+    e = evidence.withColumn("effective_specular_likelihood", c("specular_likelihood") * (1 - guard))
+    e = e.withColumn("penalty", F.least(c("effective_specular_likelihood") * rule["penalty_weight"], F.lit(rule["most_penalty"])))
+    rejected = (c("effective_specular_likelihood") >= rule["rejection"]) & (c("structural_strength") < rule["structure"])
+    which = (F.when((c("crack_safeguard") >= c("pitting_safeguard")) & (c("crack_safeguard") > rule["safeguard"]), "crack")
+             .when(c("pitting_safeguard") > rule["safeguard"], "pitting").otherwise("none"))
+    return e.select("*", which.alias("safeguard"), F.when(rejected, "rejected").when(c("penalty") > 0.01, "penalized").otherwise("retained").alias("decision"),
+                    F.when(rejected, "high_specular_likelihood").alias("reason"))

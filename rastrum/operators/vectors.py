@@ -27,17 +27,32 @@ def fit_memory(vectors: DataFrame, clean: Column) -> DataFrame:
     return vectors.where(clean).select("vec_id", "embedding")
 
 
+#: most bytes of one matrix of distances
+BLOCK_BYTES = 32_000_000
+
+
 def _near_numpy(ids: np.ndarray, bank: np.ndarray, k: int):
+    squares = (bank * bank).sum(axis=1)[None, :]
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
-            for lo in range(0, len(b), 256):
-                part = b.iloc[lo:lo + 256]
+            step = max(1, BLOCK_BYTES // (8 * len(bank)))
+            for lo in range(0, len(b), step):
+                part = b.iloc[lo:lo + step]
                 q = np.stack(part["embedding"].to_numpy()).astype("float64")
-                d = np.sqrt(((q[:, None, :] - bank[None, :, :]) ** 2).sum(axis=2))
+                norms = (q * q).sum(axis=1)[:, None] + squares
+                near = norms - 2 * (q @ bank.T)  # squared distances up to rounding
                 take = min(k, bank.shape[0])
-                order = np.lexsort((np.broadcast_to(ids, d.shape), d), axis=1)[:, :take]
-                yield pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), take), "vec_id": ids[order].ravel(),
-                                    "distance": np.take_along_axis(d, order, axis=1).ravel(), "rank": np.tile(np.arange(1, take + 1), len(part))})
+                cut = np.partition(near, take - 1, axis=1)[:, take - 1] + 1e-9 * norms.max(axis=1)
+                out_ids, out_d = [], []
+                for i in range(len(q)):  # the few that can be among the first are measured exactly
+                    some = np.flatnonzero(near[i] <= cut[i])
+                    d = np.sqrt(((q[i] - bank[some]) ** 2).sum(axis=1))
+                    best = np.lexsort((ids[some], d))[:take]
+                    out_ids.append(ids[some[best]])
+                    out_d.append(d[best])
+                yield pd.DataFrame({"query_id": np.repeat(part["vec_id"].to_numpy(), take), "vec_id": np.concatenate(out_ids),
+                                    "distance": np.concatenate(out_d), "rank": np.tile(np.arange(1, take + 1), len(part))})
     return run
 
 

@@ -415,3 +415,46 @@ def _(t):
     lab = labels(t).join(bgr(t).select("image_id", "y", "x", F.col("gray").cast("double").alias("v")), ["image_id", "y", "x"])
     c = ra.coherence(checkpointed(lab), H, W)
     return c.select("image_id", "label", "area", *[r6(x).alias(x) for x in ("solidity", "heat_consistency", "peak_score", "coherence")])
+
+
+_SPEC_METRICS = ("entropy", "boundary_smoothness", "geometric_irregularity", "scale_agreement", "local_texture_contrast", "component_count")
+_U = "greatest(0.0,least(1.0,{}))".format
+
+
+def _specular_sql() -> str:
+    """The same measures in SQL: pixels by region and ring, then one row a region."""
+    ring = f"(SELECT * FROM {_dil('raster_truth', ra.ellipse(2))} ANTI JOIN {_dil('raster_truth', ra.square(1))} USING (image_id,y,x))"
+    guard = "least(greatest(0.9*crack_safeguard,0.9*pitting_safeguard),0.95)"
+    optical = " + ".join(f"{w}*{n}" for n, w in ra.OPTICAL_WEIGHTS.items())
+    lin = lambda c: f"CASE WHEN {c}/255.0>0.04045 THEN pow(({c}/255.0+0.055)/1.055,2.4) ELSE {c}/255.0/12.92 END"
+    root = lambda c: f"CASE WHEN {c}>0.008856 THEN pow({c},1.0/3) ELSE 7.787*{c}+16.0/116 END"
+    return G + f""", core AS {_ero('raster_truth', ra.square(1))}, ring AS {ring}, mg AS MATERIALIZED {_MAG},
+ ln AS (SELECT *, greatest(b,gg,r)/255.0 AS val, CASE WHEN greatest(b,gg,r)=0 THEN 0.0 ELSE (greatest(b,gg,r)-least(b,gg,r))/CAST(greatest(b,gg,r) AS DOUBLE) END AS sat, greatest(b,gg,r)-least(b,gg,r) AS rg,
+   {lin('r')} AS lr, {lin('gg')} AS lg, {lin('b')} AS lb FROM gy),
+ xyz AS (SELECT *, (0.412453*lr+0.357580*lg+0.180423*lb)/0.950456 AS cx, 0.212671*lr+0.715160*lg+0.072169*lb AS cy, (0.019334*lr+0.119193*lg+0.950227*lb)/1.088754 AS cz FROM ln),
+ chr AS (SELECT *, sqrt(pow(500*(({root('cx')})-({root('cy')})),2)+pow(200*(({root('cy')})-({root('cz')})),2)) AS chroma FROM xyz),
+ al AS (SELECT t.image_id, t.y, t.x, true AS ins, c.image_id IS NOT NULL AS cor FROM raster_truth t LEFT JOIN core c USING (image_id,y,x) UNION ALL SELECT image_id, y, x, false, false FROM ring),
+ q AS (SELECT al.*, c.val, c.sat, c.rg, c.chroma, c.gray, mg.m FROM al JOIN chr c USING (image_id,y,x) JOIN mg USING (image_id,y,x)),
+ a AS (SELECT image_id, avg(CAST(val>0.88 AND sat<0.22 AS INT)) FILTER (ins) AS bright_low_saturation, avg(CAST(val>0.82 AS INT)) FILTER (ins) AS high_value, 1-avg(sat) FILTER (ins) AS low_saturation, 1-avg(rg) FILTER (ins)/255 AS channel_similarity,
+   1-least(avg(chroma) FILTER (ins)/75,1.0) AS low_chroma, avg(val) FILTER (ins) AS mean_value, stddev_pop(gray) FILTER (ins) AS spread, avg(gray) FILTER (NOT ins) AS around, count(*) FILTER (ins) AS area, count(*) FILTER (cor) AS ca,
+   stddev_pop(gray) FILTER (cor) AS cs, avg(m) FILTER (cor) AS cm, avg(m) FILTER (ins) AS am, max(x) FILTER (ins)-min(x) FILTER (ins)+1 AS w, max(y) FILTER (ins)-min(y) FILTER (ins)+1 AS h FROM q GROUP BY 1),
+ mt AS (SELECT image_id, (image_id%10)/10.0 AS entropy, (image_id%7)/7.0 AS boundary_smoothness, (image_id%5)/8.0 AS geometric_irregularity, 0.75 AS scale_agreement, (image_id%4)/5.0 AS local_texture_contrast, 1+image_id%3 AS component_count FROM a),
+ f AS (SELECT *, 1-least(spread/64,1.0) AS intensity_smoothness, 1-least(entropy,1.0) AS low_entropy, {_U("mean_value-coalesce(around/255,mean_value)")} AS brightness_contrast, {_U("0.55*boundary_smoothness+0.45*(1-geometric_irregularity)")} AS compactness,
+   least((CASE WHEN ca>=8 THEN cs ELSE spread END)/64,1.0) AS core_texture, least((CASE WHEN ca>=8 THEN cm ELSE am END)/128,1.0) AS core_gradient, greatest(w/CAST(h AS DOUBLE),h/CAST(w AS DOUBLE)) AS aspect, area/CAST(w*h AS DOUBLE) AS occupancy FROM a JOIN mt USING (image_id)),
+ s AS (SELECT *, {_U("greatest(core_texture,core_gradient,geometric_irregularity)")} AS structural_strength, {_U("(aspect-2.5)/5")} AS el, {_U("(0.42-occupancy)/0.32")} AS th FROM f),
+ k AS (SELECT image_id, {_U(_U(optical) + "*(0.30+0.70*" + _U("0.55*mean_value+0.45*high_value") + ")*(0.65+0.35*(1-structural_strength))")} AS specular_likelihood, structural_strength,
+   {_U("greatest(el,0.65*el+0.35*th)*(0.65+0.35*scale_agreement)")} AS crack_safeguard, {_U("greatest(" + _U("(component_count-1)/4.0") + ",geometric_irregularity*greatest(core_texture,local_texture_contrast))")} AS pitting_safeguard FROM s),
+ e AS (SELECT *, specular_likelihood*(1-{guard}) AS eff FROM k)
+ SELECT image_id, round(specular_likelihood,6) AS specular_likelihood, round(structural_strength,6) AS structural_strength, round(crack_safeguard,6) AS crack_safeguard, round(pitting_safeguard,6) AS pitting_safeguard,
+   round(least(eff*0.65,0.85),6) AS penalty, CASE WHEN crack_safeguard>=pitting_safeguard AND crack_safeguard>0.2 THEN 'crack' WHEN pitting_safeguard>0.2 THEN 'pitting' ELSE 'none' END AS safeguard,
+   CASE WHEN eff>=0.5 AND structural_strength<0.42 THEN 'rejected' WHEN least(eff*0.65,0.85)>0.01 THEN 'penalized' ELSE 'retained' END AS decision FROM e"""
+
+
+@query("r25_specular_evidence", "raster_truth", _specular_sql())
+def _(t):
+    k = F.col("image_id")
+    metrics = t.raster_truth.select("image_id").distinct().select(
+        "image_id", ((k % 10) / 10.0).alias("entropy"), ((k % 7) / 7.0).alias("boundary_smoothness"), ((k % 5) / 8.0).alias("geometric_irregularity"),
+        F.lit(0.75).alias("scale_agreement"), ((k % 4) / 5.0).alias("local_texture_contrast"), (1 + k % 3).alias("component_count"))
+    e = ra.specular_decision(ra.specular_evidence(bgr(t), t.raster_truth, metrics, H, W, ids=["image_id"]))
+    return e.select("image_id", *[r6(c).alias(c) for c in ("specular_likelihood", "structural_strength", "crack_safeguard", "pitting_safeguard", "penalty")], "safeguard", "decision")
