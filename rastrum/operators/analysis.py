@@ -78,6 +78,7 @@ def numeric_ranges(df: DataFrame, ranges: Mapping[str, tuple[float | None, float
 def quick_predicates(experiment: str = "", image: str = "") -> dict[str, Column]:
     rank = F.col("first_true_anomaly_proposal_rank")
     cat, out, method = F.col("anomaly_type"), F.col("image_outcome"), F.col("method")
+    # Names of the quick filters.
     return {
         "Current selected experiment": F.col("experiment_id") == experiment,
         "SYN-BALANCED-001": F.col("experiment_id") == "SYN-BALANCED-001",
@@ -235,6 +236,7 @@ def _label(positive_row: Column) -> tuple[Column, Column]:
     ctx, fus = has(primary, "contextual better"), has(primary, "fused better")
     lctx, lfus = has(local, "contextual better"), has(local, "fused better")
     none = F.size(primary) == 0
+    # Labels and reasons of a comparison.
     undefined = "incomparable because metric is undefined"
     label = (F.when(none, undefined).when(ctx & ~fus, "contextual better").when(fus & ~ctx, "fused better")
              .when(ctx & fus, undefined).otherwise("equal"))
@@ -303,6 +305,7 @@ def interpretation(paired: DataFrame) -> DataFrame:
                    n(positive() & (F.col("difference_mean_iou") > 0)).alias("localised"),
                    n(F.col("outcome_label") == "equal").alias("ties"), n(positive() & changed).alias("detection_changed"),
                    n(positive()).alias("anomaly_images"), n(clean()).alias("clean_images"))
+    # The two sentences of an interpretation.
     none = F.format_string("No measurable improvement was observed under the current benchmark; primary outcomes were equal on %d images.", "ties")
     some = F.format_string(
         "Contextual refinement improved localisation IoU on %d of %d eligible anomaly images and false-alarm suppression on %d of %d clean "

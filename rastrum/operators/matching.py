@@ -18,6 +18,7 @@ PRIMARY_IOU = 0.25
 IOU_THRESHOLDS = (0.10, 0.25, 0.50)
 TOP_K = (1, 3, 5, 8)
 SLACK = 1e-12
+# Decision reasons.
 MATCHED = "matched_primary_mask_iou_at_or_above_threshold"
 NO_TRUTH = "unmatched_clean_image_has_no_truth_instances"
 COMPETITION = "unmatched_one_to_one_competition"

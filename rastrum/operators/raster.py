@@ -596,10 +596,13 @@ def _hull_area(points: list[tuple[float, float]]) -> float:
     return abs(sum(a[0] * b[1] - b[0] * a[1] for a, b in zip(ring, ring[1:] + ring[:1]))) / 2
 
 
-def hull_areas(labelled: DataFrame, buckets: int = 64) -> DataFrame:
-    """Hull area per region from the ends of its rows: two points per row reach Python, not the pixels."""
+def hull_areas(labelled: DataFrame, rows: int = 100_000) -> DataFrame:
+    """Hull area per region from the ends of its rows: two points per row reach Python, not the pixels.
+
+    Regions are dealt into as many groups as hold about ``rows`` rows each."""
     import pandas as pd
     ends = labelled.groupBy("image_id", "label", "y").agg(F.min("x").alias("a"), F.max("x").alias("b"))
+    buckets = max(64, ends.count() // rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
         out = [(i, l, _hull_area([p for y, a, b in zip(g["y"], g["a"], g["b"]) for p in ((a, y), (b, y))])) for (i, l), g in pdf.groupby(["image_id", "label"])]
@@ -610,19 +613,24 @@ def hull_areas(labelled: DataFrame, buckets: int = 64) -> DataFrame:
 def coherence(labelled: DataFrame, height: int, width: int) -> DataFrame:
     """Connectedness, solidity, heat consistency and single-peakedness of regions, and their mean.
 
-    ``labelled``: image_id, label, y, x, v (heat). Regions come from component labelling, so
-    connectedness is one.
+    ``labelled``: image_id, label, y, x, v (heat). A region may have several parts, as a union of
+    masks has; connectedness is the share of its largest one.
     """
     key = ["image_id", "label"]
+    pixels = height * width
+    parts = label_components(labelled.select((F.col("image_id") * pixels + F.col("label")).alias("image_id"), "y", "x"), height, width)
+    largest = (parts.groupBy("image_id", "label").agg(F.count("*").alias("part")).groupBy("image_id").agg(F.max("part").alias("part"))
+               .select(F.floor(F.col("image_id") / pixels).alias("image_id"), (F.col("image_id") % pixels).alias("label"), "part"))
     g = labelled.groupBy(*key).agg(F.count("*").alias("area"), F.stddev_pop("v").alias("sd"))
     q = exact_quantiles(labelled, key, "v", {"p85": 0.85})
     top = labelled.join(q, key).where(F.col("v") >= F.col("p85"))
     peaks = label_components(top.select(*PIXEL), height, width).withColumnRenamed("label", "peak").join(labelled.select(*PIXEL, "label"), PIXEL).groupBy(*key).agg(F.count_distinct("peak").alias("peaks"))
-    j = g.join(hull_areas(labelled), key).join(peaks, key, "left")
+    j = g.join(largest, key).join(hull_areas(labelled), key).join(peaks, key, "left")
+    connected = F.col("part") / F.col("area")
     solidity = F.least(F.col("area") / F.greatest(F.col("hull_area"), F.lit(1.0)), F.lit(1.0))
     heat = 1 - F.least(F.col("sd") / 90, F.lit(1.0))
     single = 1.0 / F.least(F.greatest(F.coalesce("peaks", F.lit(1)), F.lit(1)), F.lit(5))
-    return j.select(*key, "area", solidity.alias("solidity"), heat.alias("heat_consistency"), single.alias("peak_score"), ((1.0 + solidity + heat + single) / 4).alias("coherence"))
+    return j.select(*key, "area", connected.alias("connectedness"), solidity.alias("solidity"), heat.alias("heat_consistency"), single.alias("peak_score"), ((connected + solidity + heat + single) / 4).alias("coherence"))
 
 
 # ---- specular highlights ------------------------------------------------------------------------

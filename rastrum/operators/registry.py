@@ -131,16 +131,23 @@ MEMBER = T.StructType([T.StructField("archive", T.StringType()), T.StructField("
 def zip_expand(archives: DataFrame) -> DataFrame:
     """Members of each archive as rows; folders, empty and parent-escaping members are dropped."""
     def expand(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        waiting, size = [], 0
         for batch in batches:
             for path, data in zip(batch["path"], batch["content"]):
                 with zipfile.ZipFile(io.BytesIO(data)) as z:
-                    for m in z.infolist():  # one member in memory at a time
+                    for m in z.infolist():
                         parts = m.filename.split("/")
                         if m.is_dir() or not m.file_size or ".." in parts or not parts[-1]:
                             continue
                         dot = parts[-1].rfind(".")
                         kind = "image" if dot > 0 and parts[-1][dot:].lower() in IMAGE_SUFFIXES else "annotation"
-                        yield pd.DataFrame([(path, parts[-1], kind, m.file_size, z.read(m))], columns=MEMBER.names)
+                        if waiting and size + m.file_size > 16_000_000:  # members go on in frames of bounded size
+                            yield pd.DataFrame(waiting, columns=MEMBER.names)
+                            waiting, size = [], 0
+                        waiting.append((path, parts[-1], kind, m.file_size, z.read(m)))
+                        size += m.file_size
+        if waiting:
+            yield pd.DataFrame(waiting, columns=MEMBER.names)
     return archives.select("path", "content").mapInPandas(expand, MEMBER)
 
 

@@ -133,6 +133,7 @@ ACTIONS = {
     "pitting": ["Pit depth measurement", "Ultrasonic thickness measurement", "Corrosion protection review"],
     "surface_anomaly": ["Visual reinspection", "Surface cleaning before re-evaluation"],
 }
+# The closing recommendations.
 ESCALATE = "Restrict service or escalate to certified marine/structural inspector before continued operation."
 FOLLOW_UP = "Schedule follow-up inspection and compare with maintenance history."
 MONITOR = "Document condition and monitor during the next planned inspection interval."

@@ -414,7 +414,7 @@ def _(t):
 def _(t):
     lab = labels(t).join(bgr(t).select("image_id", "y", "x", F.col("gray").cast("double").alias("v")), ["image_id", "y", "x"])
     c = ra.coherence(checkpointed(lab), H, W)
-    return c.select("image_id", "label", "area", *[r6(x).alias(x) for x in ("solidity", "heat_consistency", "peak_score", "coherence")])
+    return c.select("image_id", "label", "area", *[r6(x).alias(x) for x in ("connectedness", "solidity", "heat_consistency", "peak_score", "coherence")])
 
 
 _SPEC_METRICS = ("entropy", "boundary_smoothness", "geometric_irregularity", "scale_agreement", "local_texture_contrast", "component_count")

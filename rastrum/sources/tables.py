@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from ..scale import ranked
 
+# Method names.
 METHODS = ("contour-only baseline", "fixed-threshold baseline", "multi-scale fused method", "refined contextual method")
 BOX_ORDER = [("score", False), ("l_linenumber", True), ("l_partkey", True), ("l_suppkey", True), ("l_shipdate", True)]
 

@@ -16,6 +16,14 @@ def test_query(spark, oracle, name):
     assert ok, msg
 
 
+#: what SQL cannot say; tests/test_raster.py holds these against hand-made rasters and brute force
+NO_SQL = {"r22_coherence", "r24_mask_stability", "r30_extract_feature_maps"}
+
+
+def test_only_these_have_no_oracle():
+    assert set(QUERIES) - set(ORACLES) == NO_SQL
+
+
 def test_oracles_belong_to_queries():
     assert set(ORACLES) <= set(QUERIES)
     assert set(QUERIES) <= set(entry.queries()) and set(entry.oracle_sql()) <= set(entry.queries())

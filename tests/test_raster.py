@@ -1,4 +1,5 @@
 """Hand-made rasters for the operators that have no SQL oracle."""
+import numpy as np
 from pyspark.sql import functions as F
 
 from rastrum.operators import raster
@@ -31,3 +32,69 @@ def test_feature_maps_cover_the_frame(spark):
     assert f.count() == 64
     lo, hi = f.agg(F.min("strength"), F.max("strength")).first()
     assert (lo, hi) == (0.0, 255.0)
+
+
+def brute_parts(cells):
+    """8-connected parts of a set of (y, x)."""
+    left, out = set(cells), []
+    while left:
+        todo, part = [left.pop()], set()
+        while todo:
+            y, x = todo.pop()
+            part.add((y, x))
+            near = {(y + a, x + b) for a in (-1, 0, 1) for b in (-1, 0, 1)} & left
+            left -= near
+            todo += near
+        out.append(part)
+    return out
+
+
+def test_coherence_against_brute_force(spark):
+    rng = np.random.default_rng(4)
+    rows, want = [], {}
+    for image in range(12):
+        cells = {(int(y), int(x)) for y, x in rng.integers(0, 12, (30, 2))}
+        heat = {c: float(rng.integers(0, 256)) for c in cells}
+        rows += [(image, 7, y, x, heat[y, x]) for y, x in cells]
+        v = np.array(list(heat.values()))
+        peaks = len(brute_parts([c for c in cells if heat[c] >= np.percentile(v, 85)]))
+        area = raster._hull_area(list(cells))
+        connected = max(map(len, brute_parts(cells))) / len(cells)
+        parts = (connected, min(len(cells) / max(area, 1), 1.0), 1 - min(v.std() / 90, 1.0), 1 / min(max(peaks, 1), 5))
+        want[image] = (*parts, sum(parts) / 4)
+    df = spark.createDataFrame(rows, "image_id bigint, label bigint, y bigint, x bigint, v double")
+    got = {r["image_id"]: tuple(r[c] for c in ("connectedness", "solidity", "heat_consistency", "peak_score", "coherence")) for r in raster.coherence(df, 12, 12).collect()}
+    assert got.keys() == want.keys() and all(np.allclose(got[i], want[i]) for i in want)
+
+
+def test_highlight_crack_and_pits(spark):
+    """A smooth bright disc looks specular; a thin dark line and scattered spots are safeguarded."""
+    def evidence(fn, region, **metrics):
+        n = 48
+        df = spark.createDataFrame([(1, y, x, *[fn(y, x)] * 4) for y in range(n) for x in range(n)], "image_id bigint, y bigint, x bigint, b bigint, gg bigint, r bigint, gray bigint")
+        reg = spark.createDataFrame([(1, y, x) for y in range(n) for x in range(n) if region(y, x)], "image_id bigint, y bigint, x bigint")
+        base = {"entropy": 0.0, "boundary_smoothness": 0.9, "geometric_irregularity": 0.1, "scale_agreement": 0.75, "local_texture_contrast": 0.0, "component_count": 1} | metrics
+        m = spark.createDataFrame([(1, *base.values())], "image_id bigint, " + ", ".join(f"{k} {'bigint' if k == 'component_count' else 'double'}" for k in base))
+        return raster.specular_decision(raster.specular_evidence(df, reg, m, n, n, 2, ["image_id"])).first()
+    disc = lambda y, x: (y - 24) ** 2 + (x - 24) ** 2 <= 100
+    line = lambda y, x: y == x or y == x + 1
+    bright = evidence(lambda y, x: 250 if disc(y, x) else 90, disc)
+    dark = evidence(lambda y, x: (30 + 70 * ((y + x) % 2)) if disc(y, x) else 90, disc)
+    crack = evidence(lambda y, x: 20 if 22 <= y <= 23 else 120, lambda y, x: 22 <= y <= 23)
+    pits = evidence(lambda y, x: 40 if disc(y, x) else 120, disc, component_count=5)
+    assert bright["specular_likelihood"] > 0.8 and bright["decision"] == "rejected" and bright["reason"] == "high_specular_likelihood"
+    assert dark["specular_likelihood"] < 0.3 and crack["crack_safeguard"] > 0.8 and crack["safeguard"] == "crack" and pits["pitting_safeguard"] >= 0.5
+
+
+def test_chain_of_overlapping_boxes_settles(spark):
+    """Each box overlaps the next and scores less: every other one stays."""
+    boxes = spark.createDataFrame([(1, i, float(1000 - i), 6 * i, 0, 6 * i + 10, 10) for i in range(24)], "image_id bigint, box_id bigint, score double, x1 bigint, y1 bigint, x2 bigint, y2 bigint")
+    kept = {r["box_id"] for r in raster.suppress_overlaps(boxes).where("kept").collect()}
+    assert kept == set(range(0, 24, 2))
+
+
+def test_long_annotation_lines_are_checked_to_the_end(spark):
+    from rastrum.operators.registry import yolo_rows
+
+    files = spark.createDataFrame([(1, "0 " + "0.5 " * 12_000 + "7.0", 10, 10), (2, "0 " + "0.5 " * 12_000, 10, 10)], "image_id bigint, text string, width bigint, height bigint")
+    assert {r["image_id"]: r["valid"] for r in yolo_rows(files).collect()} == {1: False, 2: True}
