@@ -5,7 +5,7 @@ suffixes of all texts would move every byte many times over; equal strings can b
 far fewer suffixes:
 
 1. Each window of ``length`` bytes picks an anchor in it: its leftmost smallest hash of ``GRAM``
-   bytes. Equal windows pick the same anchor at the same place, about one byte in 170 is an anchor.
+   bytes. Equal windows pick the same anchor at the same place, about one byte in 140 is an anchor.
 2. An anchor's context is all that its windows can hold. Anchors with equal grams and equal contexts
    form one class; a class of two makes all its windows repeat and needs no text.
 3. Only grams that occur in several contexts are sorted: one context per class is fetched, and the
@@ -30,15 +30,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import partitions, record, written
 
-GRAM = 64
+GRAM = 128
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 1299721)
-MOST_CONTEXTS = 50_000
+MOST_CONTEXTS = 6_000
 U = np.uint64
 
 
@@ -127,7 +127,7 @@ def anchors(data: np.ndarray, ends: np.ndarray, length: int) -> tuple[np.ndarray
     return number[first], at, grams[at], at - starts[last], at - starts[first]
 
 
-def _buffers(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+def _buffers(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
     """(first row, bytes, ends) of runs of rows of about ``most`` bytes."""
     column = batch.column("text").cast(pa.large_binary())
     offsets = np.frombuffer(column.buffers()[1], np.int64, len(column) + 1, 8 * column.offset)
@@ -140,16 +140,16 @@ def _buffers(batch: pa.RecordBatch, most: int = 4_000_000) -> Iterator[tuple[int
         row = stop
 
 
-ANCHORS = "key string, at long, gram long, context long, near int, far int"
+ANCHORS = "id long, at long, gram long, context long, near int, far int"
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Anchors of (key, text) rows; ``context`` is the hash of all that its windows can hold."""
-    schema = pa.schema([("key", pa.string()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("near", pa.int32()), ("far", pa.int32())])
+    """Anchors of (id, text) rows; ``context`` is the hash of all that its windows can hold."""
+    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("near", pa.int32()), ("far", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = batch.column("key")
+            ids = batch.column("id")
             for row, data, ends in _buffers(batch):
                 number, at, gram, near, far = anchors(data, ends, length)
                 if not len(at):
@@ -157,9 +157,9 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                 begin = ends[number] - np.diff(ends, prepend=0)[number]
                 left, right = np.maximum(begin, at - (length - GRAM)), np.minimum(ends[number], at + length)
                 context = mixed(PrefixHash(data).of(left, right) * U(1 << 20) + (at - left).astype(U) * U(1 << 10) + (right - at).astype(U))
-                yield record(schema, key=keys.take(pa.array(row + number)), at=at - begin, gram=gram.view(np.int64), context=context.view(np.int64), near=near, far=far)
+                yield record(schema, id=ids.take(pa.array(row + number)), at=at - begin, gram=gram.view(np.int64), context=context.view(np.int64), near=near, far=far)
 
-    return texts.select("key", "text").mapInArrow(find, ANCHORS)
+    return texts.select("id", "text").mapInArrow(find, ANCHORS)
 
 
 def suffix_order(hashes: PrefixHash, starts: np.ndarray, ends: np.ndarray, data: np.ndarray, group: np.ndarray) -> np.ndarray:
@@ -273,7 +273,7 @@ def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
             for c in waiting:
                 waiting[c].append(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
             blobs += batch.column("bytes").to_pylist()
-            if len(blobs) >= 30_000:
+            if len(blobs) >= MOST_CONTEXTS:
                 gram = np.concatenate(waiting["gram"])
                 rows = int(np.searchsorted(gram, gram[-1], side="left"))  # the last gram may go on
                 if rows:
@@ -286,7 +286,7 @@ def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def _context_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """Fetch the contexts of ``wanted`` (key, at, gram, context, near, far)."""
+    """Fetch what the windows of ``wanted`` (id, at, gram, context, near, far) hold."""
     schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("inside", pa.int32()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -294,12 +294,12 @@ def _context_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFram
             # one row per text at a time: the contexts of a text are not more than a few times its size
             for text, places in zip(batch.column("text"), batch.column("places").to_pylist(), strict=True):
                 data = text.as_py().encode()
-                left = [max(0, p["at"] - (length - GRAM)) for p in places]
+                left = [p["at"] - p["far"] for p in places]
                 yield record(schema, **{c: [p[c] for p in places] for c in ("gram", "context", "near", "far")}, inside=[p["at"] - a for p, a in zip(places, left, strict=True)],
-                             bytes=[data[a:p["at"] + length] for p, a in zip(places, left, strict=True)])
+                             bytes=[data[a:p["at"] - p["near"] + length] for p, a in zip(places, left, strict=True)])
 
-    places = wanted.groupBy("key").agg(F.collect_list(F.struct("at", "gram", "context", "near", "far")).alias("places")).withColumnRenamed("key", "p_key")
-    both = texts.join(places, F.col("key") == F.col("p_key")).select("text", "places")
+    places = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "gram", "context", "near", "far")).alias("places")).withColumnRenamed("id", "p_id")
+    both = texts.join(places, F.col("id") == F.col("p_id")).select("text", "places")
     return both.mapInArrow(cut, "gram long, context long, inside int, near int, far int, bytes binary")
 
 
@@ -322,25 +322,26 @@ def _counted_ranges(contexts: DataFrame, length: int) -> DataFrame:
 
 
 def repeated_spans(texts: DataFrame, length: int, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
-    """(key, spans): byte ranges (start, end) of distinct (key, text) rows covered by windows that occur
-    again in them or another text, as an array in no order; keys without any are absent."""
+    """(id, spans): byte ranges (start, end) of distinct (id, text) rows covered by windows that occur
+    again in them or another text, as an array in no order; ids without any are absent."""
     rows = written(anchor_rows(texts, length), "anchors")
-    one = F.struct("key", "at", "near", "far")
-    classes = written(rows.groupBy("gram", "context").agg(F.count("*").alias("n"), F.min(one).alias("one")), "classes")
-    grams = classes.groupBy("gram").agg(F.count("*").alias("contexts"), F.sum("n").alias("anchors")).where("anchors > 1")
-    c = classes.join(grams.withColumnRenamed("gram", "g"), F.col("gram") == F.col("g")).drop("g")
-    c = written(c, "repeated-grams")
-    wanted = c.where("contexts > 1").select("one.key", "one.at", "gram", "context", "one.near", "one.far", "contexts")
-    usual = _sorted_ranges(_context_bytes(texts, wanted.where(F.col("contexts") <= most_contexts).drop("contexts"), length), length)
-    hot = _counted_ranges(_context_bytes(texts, wanted.where(F.col("contexts") > most_contexts).drop("contexts"), length), length) if not c.where(F.col("contexts") > most_contexts).isEmpty() else None
-    ranges = (usual if hot is None else usual.unionByName(hot)).select(F.col("gram").alias("g"), F.col("context").alias("x"), "low", "high")
+    of_gram = Window.partitionBy("gram")
+    classes = rows.groupBy("gram", "context").agg(F.count("*").alias("n")).withColumns(
+        {"contexts": F.count("*").over(of_gram), "anchors": F.sum("n").over(of_gram)}).where("anchors > 1")
+    classes = written(classes.select(F.col("gram").alias("g"), F.col("context").alias("x"), "n", "contexts"), "classes")
+    again = written(rows.join(classes, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("x"))).drop("g", "x"), "repeated")
+    one = F.min(F.struct("id", "at", "near", "far")).alias("one")
+    wanted = again.where("contexts > 1").groupBy("gram", "context", "contexts").agg(one).select("one.*", "gram", "context", "contexts")
+    usual, hot = wanted.where(F.col("contexts") <= most_contexts), wanted.where(F.col("contexts") > most_contexts)
+    ranges = written(_sorted_ranges(_context_bytes(texts, usual, length), length), "ranges")
+    if not hot.isEmpty():
+        ranges = ranges.unionByName(written(_counted_ranges(_context_bytes(texts, hot, length), length), "hot-ranges"))
+    found = ranges.where("low >= 0").select(F.col("gram").alias("g"), F.col("context").alias("x"), "low", "high")
     # a class of two repeats in all its windows, another where a neighbour was found
-    known = c.join(ranges, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("x")), "left").where((F.col("n") > 1) | (F.col("low") >= 0)).select(
-        F.col("gram").alias("g"), F.col("context").alias("x"), (F.col("n") > 1).alias("all"), "low", "high")
-    hit = rows.join(known, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("x")))
-    low, high = F.when(F.col("all"), F.col("near")).otherwise(F.col("low")), F.when(F.col("all"), F.col("far")).otherwise(F.col("high"))
-    spans = hit.select("key", F.struct((F.col("at") - high).alias("start"), (F.col("at") - low + length).alias("end")).alias("span"))
-    return spans.groupBy("key").agg(F.collect_list("span").alias("spans"))
+    whole = again.where("n > 1").select("id", "at", F.col("near").alias("low"), F.col("far").alias("high"))
+    part = again.where("n = 1").join(found, (F.col("gram") == F.col("g")) & (F.col("context") == F.col("x"))).select("id", "at", "low", "high")
+    spans = whole.unionByName(part).select("id", F.struct((F.col("at") - F.col("high")).alias("start"), (F.col("at") - F.col("low") + length).alias("end")).alias("span"))
+    return spans.groupBy("id").agg(F.collect_list("span").alias("spans"))
 
 
 def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
@@ -357,9 +358,10 @@ def merged_spans(spans: list[tuple[int, int]]) -> list[tuple[int, int]]:
 def without_repeats(docs: DataFrame, length: int, most_contexts: int = MOST_CONTEXTS) -> DataFrame:
     """doc_id, n_bytes, spans (removed runs in order) and kept (the remaining bytes) of each document."""
     keyed = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).withColumn("key", F.sha2("text", 256))
-    texts = written(keyed.groupBy("key").agg(F.count("*").alias("n"), F.any_value("text").alias("text")), "texts")
+    texts = keyed.groupBy("key").agg(F.count("*").alias("n"), F.any_value("text").alias("text"))
+    texts = written(texts.withColumn("id", F.monotonically_increasing_id()), "texts")
     long_enough = texts.where(F.octet_length("text") >= length)
-    spans = repeated_spans(long_enough, length, most_contexts).withColumnRenamed("key", "s_key")
+    spans = repeated_spans(long_enough.select("id", "text"), length, most_contexts).withColumnRenamed("id", "s_id")
     schema = pa.schema([("key", pa.string()), ("n_bytes", pa.int64()), ("spans", pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))), ("kept", pa.binary())])
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -378,7 +380,7 @@ def without_repeats(docs: DataFrame, length: int, most_contexts: int = MOST_CONT
                 out["kept"].append(b"".join(data[a:b] for a, b in zip(edges[::2], edges[1::2], strict=True)))
             yield record(schema, **out)
 
-    done = texts.join(spans, F.col("key") == F.col("s_key"), "left").select("key", "n", "text", "spans").mapInArrow(
+    done = texts.join(spans, F.col("id") == F.col("s_id"), "left").select("key", "n", "text", "spans").mapInArrow(
         keep, "key string, n_bytes long, spans array<struct<start:long,end:long>>, kept binary")
     done = done.withColumnRenamed("key", "d_key")
     return keyed.select("doc_id", "key").join(done, F.col("key") == F.col("d_key")).select("doc_id", "n_bytes", "spans", "kept")
