@@ -7,11 +7,14 @@ of each coordinate is its signature there. Two texts agree in a coordinate with
 their weighted Jaccard similarity. Only darts up to a rank of about k ln k over the total weight are
 thrown, more where a coordinate is still open, so the cost is near max(shingles, k ln k).
 
-Signatures are cut into bands; texts that share a band meet. They are not paired with each other:
-each is compared with the bucket's hub (a different one in each band), and texts that are not like
-the hub are dealt with again under further hubs until every text of the bucket has been like one or
-been one itself; each hub is compared with all texts of its bucket. The similarity of a pair is taken
-from the full shingle sets. Classes are the connected components of the links.
+Signatures are cut into bands; texts that share a band meet in a bucket. They are not paired with each
+other: each is compared with the bucket's hub, its most central text, the one that shares most buckets
+with most texts. In a group of edited copies that is the text they come from, which is nearer to each of
+them than they are to each other. Texts in another class than their hub go on to the most central text
+among themselves, and once more (``PASSES``), so the pairs are at most ``PASSES`` a text and band. The
+similarity of a pair is taken from the full shingle sets; classes are the connected components of the links.
+What this leaves out are links of texts that are like none of their buckets' hubs: more passes find
+more of them; comparing all pairs would make groups cost their square (see the README for figures).
 
 Equal texts are one text with a count from the start. What is exchanged is hashes, ids and the sets
 of texts that met another.
@@ -39,6 +42,7 @@ from .repeats import PrefixHash, U, _buffers, mixed
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 22, 6
+PASSES = 3
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -102,7 +106,7 @@ def _darts(items: np.ndarray, weights: np.ndarray, low: float, high: float, k: i
             break
         first, last = int(math.floor(low * width)), int(math.ceil(high * width))
         cells = np.arange(first, last, dtype=np.uint64)
-        cell = mixed(mixed(items[own] + U(strip) * U(0xD6E8FEB86659FD93))[:, None] + cells[None, :] * U(0x9E3779B97F4A7C15))
+        cell = mixed(mixed(items[own] + U(strip * 0xD6E8FEB86659FD93 & 0xFFFFFFFFFFFFFFFF))[:, None] + cells[None, :] * U(0x9E3779B97F4A7C15))
         n = np.searchsorted(_CDF, (cell >> U(11)).astype(float) * 2.0 ** -53, side="right").ravel()
         at = np.repeat(np.arange(n.size), n)
         if not len(at):
@@ -200,35 +204,48 @@ def similarity(by_count: bool):
     return least / (total("a") + total("b") - least)
 
 
-def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def _compared(meeting: DataFrame, sets: DataFrame, by_count: bool) -> DataFrame:
+    """(id, hub, similarity) of the distinct pairs in (id, hub) rows."""
+    pairs = meeting.where("id <> hub").select("id", "hub").distinct()
+    a = sets.select(F.col("id").alias("a_id"), F.struct("shingles", "weights").alias("a"))
+    b = sets.select(F.col("id").alias("b_id"), F.struct("shingles", "weights").alias("b"))
+    met = pairs.join(a, F.col("id") == F.col("a_id")).join(b, F.col("hub") == F.col("b_id"))
+    return written(met.select("id", "hub", similarity(by_count).alias("similarity")), "compared")
+
+
+def _with_hubs(members: DataFrame) -> DataFrame:
+    """Each (id, band, bucket, centrality) with the most central text of its bucket."""
+    hubs = members.groupBy("band", "bucket").agg(F.max(F.struct("centrality", "id")).alias("m"), F.count("*").alias("n")).where("n > 1").select(
+        F.col("band").alias("b"), F.col("bucket").alias("k"), F.col("m.id").alias("hub"))
+    return written(members.join(hubs, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).select("id", "band", "bucket", "centrality", "hub"), "meeting")
+
+
+def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, bands: int = BANDS, rows: int = ROWS, passes: int = PASSES) -> DataFrame:
     """(id, hub, similarity) of distinct texts found alike."""
-    spark = texts.sparkSession
     rows_of = written(banded(texts, by_count, bands, rows), "bands")
-    shared = rows_of.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("bucket").alias("k"))
-    members = written(rows_of.join(shared, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).select("id", "band", "bucket"), "members")
-    sets = written(shingle_sets(texts.join(members.select(F.col("id").alias("m_id")).distinct(), F.col("id") == F.col("m_id"), "left_semi"), by_count), "sets")
-    found = spark.createDataFrame([], "id long, hub long, similarity double")
-    open_, checked = members, None
-    while not open_.isEmpty():
-        # of the texts still open in a bucket, one becomes its hub; all texts of the bucket are compared with it
-        hubs = open_.groupBy("band", "bucket").agg(F.min(F.struct(F.xxhash64("id", "band").alias("h"), F.col("id").alias("hub"))).alias("m")).select(
-            F.col("band").alias("b"), F.col("bucket").alias("k"), F.col("m.hub").alias("hub"))
-        meeting = written(members.join(hubs, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).select("id", "band", "bucket", "hub"), "meeting")
-        pairs = meeting.where("id <> hub").select(F.least("id", "hub").alias("x"), F.greatest("id", "hub").alias("y")).distinct()
-        if checked is not None:
-            pairs = pairs.join(checked.select("x", "y"), ["x", "y"], "left_anti")
-        a = sets.select(F.col("id").alias("a_id"), F.struct("shingles", "weights").alias("a"))
-        b = sets.select(F.col("id").alias("b_id"), F.struct("shingles", "weights").alias("b"))
-        met = pairs.join(a, F.col("x") == F.col("a_id")).join(b, F.col("y") == F.col("b_id"))
-        new = written(met.select("x", "y", similarity(by_count).alias("similarity")), "compared")
-        checked = new if checked is None else written(checked.unionByName(new), "checked")
-        alike = checked.where(F.col("similarity") >= least).select(F.col("x").alias("p"), F.col("y").alias("q"))
-        still = open_.alias("o").join(meeting.alias("m"), ["id", "band", "bucket"]).where("id <> hub").withColumns(
-            {"x": F.least("id", "hub"), "y": F.greatest("id", "hub")})
-        still = still.join(alike, (F.col("x") == F.col("p")) & (F.col("y") == F.col("q")), "left_anti")
-        open_ = written(still.select("id", "band", "bucket"), "open")
-    if checked is not None:
-        found = checked.where(F.col("similarity") >= least).select(F.col("x").alias("id"), F.col("y").alias("hub"), "similarity")
+    shared = rows_of.groupBy("band", "bucket").agg(F.count("*").alias("n")).where("n > 1").select(F.col("band").alias("b"), F.col("bucket").alias("k"), "n")
+    met = written(rows_of.join(shared, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).select("id", "band", "bucket", "n"), "members")
+    # the text that edited copies come from shares more buckets with more of them than they do
+    central = met.groupBy("id").agg(F.sum("n").alias("centrality")).withColumnRenamed("id", "c_id")
+    members = met.join(central, F.col("id") == F.col("c_id")).select("id", "band", "bucket", "centrality")
+    sets = written(shingle_sets(texts.join(central.select(F.col("c_id").alias("m_id")), F.col("id") == F.col("m_id"), "left_semi"), by_count), "sets")
+    found = None
+    for step in range(passes):
+        meeting = _with_hubs(members)
+        alike = _compared(meeting, sets, by_count).where(F.col("similarity") >= least)
+        found = alike if found is None else found.unionByName(alike)
+        if step + 1 == passes:
+            break
+        if step == 0:  # texts that are in the hub's class by any way need no other hub
+            nodes = meeting.select("id").distinct()
+            class_of = connected_components(nodes, alike.select(F.col("id").alias("src"), F.col("hub").alias("dst")), node="id", name="class")
+            mine = class_of.select(F.col("id").alias("x_id"), F.col("class").alias("own"))
+            theirs = class_of.select(F.col("id").alias("y_id"), F.col("class").alias("other"))
+            members = meeting.join(mine, F.col("id") == F.col("x_id")).join(theirs, F.col("hub") == F.col("y_id")).where("own <> other").select("id", "band", "bucket", "centrality")
+        else:
+            done = alike.select(F.col("id").alias("x_id"), F.col("hub").alias("y_id"))
+            members = meeting.where("id <> hub").join(done, (F.col("id") == F.col("x_id")) & (F.col("hub") == F.col("y_id")), "left_anti").select("id", "band", "bucket", "centrality")
+        members = written(members, "open")
     return found
 
 
