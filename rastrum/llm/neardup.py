@@ -36,7 +36,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
-from .common import record, written
+from .common import having_ids, record, written
 from .repeats import PrefixHash, U, _buffers, mixed
 
 WORDS = 5
@@ -228,7 +228,7 @@ def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, b
     # the text that edited copies come from shares more buckets with more of them than they do
     central = met.groupBy("id").agg(F.sum("n").alias("centrality")).withColumnRenamed("id", "c_id")
     members = met.join(central, F.col("id") == F.col("c_id")).select("id", "band", "bucket", "centrality")
-    sets = written(shingle_sets(texts.join(central.select(F.col("c_id").alias("m_id")), F.col("id") == F.col("m_id"), "left_semi"), by_count), "sets")
+    sets = written(shingle_sets(having_ids(texts.select("id", "text"), central.select(F.col("c_id").alias("id"))), by_count), "sets")
     found = None
     for step in range(passes):
         meeting = _with_hubs(members)
@@ -271,5 +271,5 @@ def one_of_each(docs: DataFrame, **how) -> DataFrame:
     texts = distinct_texts(docs)
     classes = text_classes(texts, **how).withColumnRenamed("id", "c_id")
     order = F.struct(F.col("row.doc_id").isNull().alias("none"), F.col("row.doc_id").alias("doc_id"), "id")
-    kept = texts.select("id", "row").join(classes, F.col("id") == F.col("c_id")).groupBy("component").agg(F.min(order).alias("best")).select(F.col("best.id").alias("k_id"))
-    return texts.join(kept, F.col("id") == F.col("k_id"), "left_semi").select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
+    kept = texts.select("id", "row").join(classes, F.col("id") == F.col("c_id")).groupBy("component").agg(F.min(order).alias("best")).select("best.id")
+    return having_ids(texts, kept).select(*[F.col("text") if c == "text" else F.col(f"row.`{c}`") for c in docs.columns])
