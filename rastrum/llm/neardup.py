@@ -11,10 +11,9 @@ Signatures are cut into bands; texts that share a band meet in a bucket. They ar
 other: each is compared with the bucket's hub, its most central text, the one that shares most buckets
 with most texts. In a group of edited copies that is the text they come from, which is nearer to each of
 them than they are to each other. Texts in another class than their hub go on to the most central text
-among themselves, and once more (``PASSES``), so the pairs are at most ``PASSES`` a text and band. The
-similarity of a pair is taken from the full shingle sets; classes are the connected components of the links.
-What this leaves out are links of texts that are like none of their buckets' hubs: more passes find
-more of them; comparing all pairs would make groups cost their square (see the README for figures).
+among themselves, ``PASSES`` times and on while a pass settles a tenth of its rows. Texts that are open then
+are compared exactly, by their rare shingles (``_alike_across``), so no link is left out for being in a late
+cluster. The similarity of a pair is taken from the full shingle sets; classes are the connected components of the links.
 
 Equal texts are one text with a count from the start. What is exchanged is hashes, ids and the sets
 of texts that met another.
@@ -32,7 +31,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import connected_components
@@ -43,6 +42,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 22, 6
 PASSES = 3
+MOST_TEXTS = 4_096
 _CDF = np.cumsum([math.exp(-1) / math.factorial(i) for i in range(20)])
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -220,6 +220,46 @@ def _with_hubs(members: DataFrame) -> DataFrame:
     return written(members.join(hubs, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k"))).select("id", "band", "bucket", "centrality", "hub"), "meeting")
 
 
+def _classes(nodes: DataFrame, alike: DataFrame) -> DataFrame:
+    return connected_components(nodes, alike.select(F.col("id").alias("src"), F.col("hub").alias("dst")), node="id", name="class")
+
+
+def _unmet(met: DataFrame, waiting: DataFrame, sets: DataFrame, found: DataFrame, least: float, by_count: bool) -> DataFrame:
+    """(id, hub, similarity) of all alike pairs of ``waiting`` texts that are in different classes so far.
+
+    Shingles are ordered by how many texts have them. Two texts can only be alike if the first shingle they
+    share leaves enough weight from there on in both; only pairs with such a shingle are compared."""
+    class_of = _classes(met.select("id").distinct(), found)
+    texts = written(waiting.join(class_of, "id").select("id", "class", F.lit(True).alias("open")), "waiting")
+    return _alike_across(texts, sets, least, by_count)
+
+
+def _alike_across(texts: DataFrame, sets: DataFrame, least: float, by_count: bool) -> DataFrame:
+    """(id, hub, similarity) of all alike pairs of (id, class, open) texts in different classes, one of them open."""
+    each = sets.join(texts.withColumnRenamed("id", "t_id"), F.col("id") == F.col("t_id"))
+    if by_count:
+        total = F.aggregate("weights", F.lit(0).cast("long"), lambda t, w: t + w)
+        each = each.select("id", "class", "open", total.alias("total"), F.explode(F.arrays_zip("shingles", "weights")).alias("z")).select("id", "class", "open", "total", F.col("z.shingles").alias("shingle"), F.col("z.weights").cast("long").alias("w"))
+    else:
+        each = each.select("id", "class", "open", F.size("shingles").cast("long").alias("total"), F.explode("shingles").alias("shingle"), F.lit(1).cast("long").alias("w"))
+    # a shingle of one class, or of no open text, is in no pair that is looked for: it comes first in the order and is left out
+    known = each.groupBy("shingle").agg(F.count("*").alias("n"), F.min("class").alias("c"), F.max("class").alias("d"), F.max("open").alias("o")).where("c <> d and o").select(F.col("shingle").alias("s"), "n")
+    kept = each.join(known, F.col("shingle") == F.col("s"))
+    rest = F.sum("w").over(Window.partitionBy("id").orderBy(F.desc("n"), F.desc("shingle")))
+    # a shingle of many texts is dealt out in squares of texts, not brought into one task
+    cut = (F.col("n") / MOST_TEXTS).cast("int") + 1
+    own = F.pmod(F.xxhash64("id"), F.col("cut")).cast("int")
+    first = written(kept.withColumn("rest", rest).where(F.col("rest") >= least * F.col("total") - 1e-6).withColumn("cut", cut).select(
+        "id", "class", "open", "total", "shingle", "rest", "cut", own.alias("own")), "first-shingles")
+    others = F.explode(F.sequence(F.lit(0), F.col("cut") - 1)).alias("other")
+    a = first.where("open").select(F.col("id").alias("a_id"), F.col("class").alias("a_class"), F.col("total").alias("a_total"), F.col("rest").alias("a_rest"), F.col("shingle").alias("a_s"), F.col("own").alias("a_x"), others)
+    b = first.select(F.col("id").alias("b_id"), F.col("class").alias("b_class"), F.col("open").alias("b_open"), F.col("total").alias("b_total"), F.col("rest").alias("b_rest"), F.col("shingle").alias("b_s"), F.col("own").alias("b_y"), others.alias("b_other"))
+    enough = F.least("a_rest", "b_rest") >= least / (1 + least) * (F.col("a_total") + F.col("b_total")) - 1e-6
+    once = ~F.col("b_open") | (F.col("a_id") < F.col("b_id"))
+    pairs = a.join(b, (F.col("a_s") == F.col("b_s")) & (F.col("a_x") == F.col("b_other")) & (F.col("other") == F.col("b_y")) & (F.col("a_class") != F.col("b_class")) & once & enough)
+    return _compared(pairs.select(F.col("a_id").alias("id"), F.col("b_id").alias("hub")), sets, by_count).where(F.col("similarity") >= least)
+
+
 def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, bands: int = BANDS, rows: int = ROWS, passes: int = PASSES) -> DataFrame:
     """(id, hub, similarity) of distinct texts found alike."""
     rows_of = written(banded(texts, by_count, bands, rows), "bands")
@@ -229,16 +269,13 @@ def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, b
     central = met.groupBy("id").agg(F.sum("n").alias("centrality")).withColumnRenamed("id", "c_id")
     members = met.join(central, F.col("id") == F.col("c_id")).select("id", "band", "bucket", "centrality")
     sets = written(shingle_sets(having_ids(texts.select("id", "text"), central.select(F.col("c_id").alias("id"))), by_count), "sets")
-    found = None
-    for step in range(passes):
+    found, step, rows_open = None, 0, 0
+    while True:
         meeting = _with_hubs(members)
         alike = _compared(meeting, sets, by_count).where(F.col("similarity") >= least)
         found = alike if found is None else found.unionByName(alike)
-        if step + 1 == passes:
-            break
         if step == 0:  # texts that are in the hub's class by any way need no other hub
-            nodes = meeting.select("id").distinct()
-            class_of = connected_components(nodes, alike.select(F.col("id").alias("src"), F.col("hub").alias("dst")), node="id", name="class")
+            class_of = _classes(meeting.select("id").distinct(), alike)
             mine = class_of.select(F.col("id").alias("x_id"), F.col("class").alias("own"))
             theirs = class_of.select(F.col("id").alias("y_id"), F.col("class").alias("other"))
             members = meeting.join(mine, F.col("id") == F.col("x_id")).join(theirs, F.col("hub") == F.col("y_id")).where("own <> other").select("id", "band", "bucket", "centrality")
@@ -246,7 +283,11 @@ def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, b
             done = alike.select(F.col("id").alias("x_id"), F.col("hub").alias("y_id"))
             members = meeting.where("id <> hub").join(done, (F.col("id") == F.col("x_id")) & (F.col("hub") == F.col("y_id")), "left_anti").select("id", "band", "bucket", "centrality")
         members = written(members, "open")
-    return found
+        step, before, rows_open = step + 1, rows_open, members.count()
+        # more hubs only where they settle much: what is open after them is compared exactly
+        if not rows_open or step >= passes and rows_open > 0.9 * before:
+            break
+    return found.unionByName(_unmet(met, members.select("id").distinct(), sets, found, least, by_count)) if rows_open else found
 
 
 def text_classes(texts: DataFrame, **how) -> DataFrame:

@@ -3,6 +3,7 @@ import itertools
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastrum.llm import neardup as n
 from tests.llm.cases import BASE, no_docs, odd_docs, prose, real_docs
@@ -91,6 +92,29 @@ def test_two_groups_in_one_bucket(spark):
     assert got == want
 
 
+def classes(docs, **how):
+    out = collections.defaultdict(list)
+    for r in n.near_classes(docs, **how).collect():
+        out[r["class_id"]].append(r["doc_id"])
+    return sorted(sorted(v) for v in out.values())
+
+
+@pytest.mark.parametrize("most,by_count", [(n.MOST_TEXTS, False), (3, False), (n.MOST_TEXTS, True)])
+def test_many_groups_in_one_bucket(spark, monkeypatch, most, by_count):
+    """Later groups of a bucket, after the passes over hubs, are found too."""
+    monkeypatch.setattr(n, "banded", lambda texts, *_: texts.select("id", F.lit(0).alias("band"), F.lit(0).cast("long").alias("bucket")))
+    monkeypatch.setattr(n, "MOST_TEXTS", most)
+    base, rows = prose(1, 200).split(), []
+    for g in range(14):
+        own = base.copy()
+        own[10 * g + 20:10 * g + 40] = prose(50 + g, 20).split()
+        rows += [(3 * g + i, " ".join([*own[:-1], f"x{g}{i}"])) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    want = sorted(sorted(m) for m in brute(rows))
+    assert len(want) == 14
+    assert classes(docs, by_count=by_count) == want
+
+
 def test_by_count(spark):
     a = "one two three four five " * 10
     b = "one two three four five " * 12
