@@ -11,9 +11,10 @@ Signatures are cut into bands; texts that share a band meet in a bucket. They ar
 other: each is compared with the bucket's hub, its most central text, the one that shares most buckets
 with most texts. In a group of edited copies that is the text they come from, which is nearer to each of
 them than they are to each other. Texts in another class than their hub go on to the most central text
-among themselves, ``PASSES`` times and on while a pass settles a tenth of its rows. Texts that are open then
-are compared exactly, by their rare shingles (``_alike_across``), so no link is left out for being in a late
-cluster. The similarity of a pair is taken from the full shingle sets; classes are the connected components of the links.
+among themselves, ``PASSES`` times and on while a pass settles a tenth of its rows. What is then in
+different classes of one bucket is compared exactly, by rare shingles (``_alike_across``), so no link is left
+out for being in a late cluster or for leading to a text that a hub has settled. The similarity of a pair is
+taken from the full shingle sets; classes are the connected components of the links.
 
 Equal texts are one text with a count from the start. What is exchanged is hashes, ids and the sets
 of texts that met another.
@@ -224,13 +225,20 @@ def _classes(nodes: DataFrame, alike: DataFrame) -> DataFrame:
     return connected_components(nodes, alike.select(F.col("id").alias("src"), F.col("hub").alias("dst")), node="id", name="class")
 
 
-def _unmet(met: DataFrame, waiting: DataFrame, sets: DataFrame, found: DataFrame, least: float, by_count: bool) -> DataFrame:
-    """(id, hub, similarity) of all alike pairs of ``waiting`` texts that are in different classes so far.
+def _unmet(met: DataFrame, sets: DataFrame, found: DataFrame, least: float, by_count: bool) -> DataFrame:
+    """(id, hub, similarity) of all alike pairs of texts that share a bucket and are in different classes so far.
+
+    Texts that a hub has settled stay partners for the others of their buckets. Of two classes in a bucket
+    one is not its largest: the texts of that one are open, and are compared with all of mixed buckets.
 
     Shingles are ordered by how many texts have them. Two texts can only be alike if the first shingle they
     share leaves enough weight from there on in both; only pairs with such a shingle are compared."""
     class_of = _classes(met.select("id").distinct(), found)
-    texts = written(waiting.join(class_of, "id").select("id", "class", F.lit(True).alias("open")), "waiting")
+    placed = written(met.select("id", "band", "bucket").join(class_of, "id"), "placed")
+    mixed_ones = placed.groupBy("band", "bucket", "class").agg(F.count("*").alias("n")).groupBy("band", "bucket").agg(F.max(F.struct("n", "class")).alias("m"), F.count("*").alias("k")).where("k > 1").select(
+        F.col("band").alias("b"), F.col("bucket").alias("k"), F.col("m.class").alias("largest"))
+    held = placed.join(mixed_ones, (F.col("band") == F.col("b")) & (F.col("bucket") == F.col("k")))
+    texts = written(held.groupBy("id", "class").agg(F.max(F.col("class") != F.col("largest")).alias("open")), "mixed")
     return _alike_across(texts, sets, least, by_count)
 
 
@@ -287,7 +295,7 @@ def links(texts: DataFrame, least: float = SIMILARITY, by_count: bool = False, b
         # more hubs only where they settle much: what is open after them is compared exactly
         if not rows_open or step >= passes and rows_open > 0.9 * before:
             break
-    return found.unionByName(_unmet(met, members.select("id").distinct(), sets, found, least, by_count)) if rows_open else found
+    return found.unionByName(_unmet(met, sets, found, least, by_count)) if rows_open or step > 1 else found
 
 
 def text_classes(texts: DataFrame, **how) -> DataFrame:

@@ -115,6 +115,25 @@ def test_many_groups_in_one_bucket(spark, monkeypatch, most, by_count):
     assert classes(docs, by_count=by_count) == want
 
 
+def test_chain_to_a_settled_text(spark, monkeypatch):
+    """C is like B alone, and B is settled by the hub of the big group around A in all buckets they share."""
+    a = prose(1, 200).split()
+    b = [*a[:50], *prose(2, 10).split(), *a[60:]]
+    c = [*b[:100], *prose(3, 10).split(), *b[110:]]
+    rows = [(i, " ".join([*a[:-1], f"x{i}"])) for i in range(12)] + [(20, " ".join(b)), (21, " ".join(c))]
+    near_a = F.col("text").contains(" ".join(a[48:62]))
+    one = F.lit(0).cast("long").alias("bucket")
+
+    def banded(texts, *_):
+        """All texts are in one bucket and those around A in another, so that one of them is the hub."""
+        return texts.select("id", F.lit(0).alias("band"), one).unionByName(texts.where(near_a).select("id", F.lit(1).alias("band"), one))
+
+    monkeypatch.setattr(n, "banded", banded)
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(brute(rows)) == 1 and len(brute([rows[0], rows[13]])) == 2
+    assert classes(docs) == [sorted(r[0] for r in rows)]
+
+
 def test_by_count(spark):
     a = "one two three four five " * 10
     b = "one two three four five " * 12
