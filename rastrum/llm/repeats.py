@@ -17,7 +17,9 @@ far fewer suffixes:
 
 Equal texts are one text with a count, so a group of copies is worked on once. Grams meet in the
 task of their hash; a gram with more than ``MOST_CONTEXTS`` different contexts is not brought into one
-task but has its windows counted by their hashes in a grouped aggregation, which gives the same answer.
+task but has its windows counted by their digests in a grouped aggregation, which gives the same answer.
+Contexts and counted windows are told apart by cryptographic digests of 128 bits, as equal texts are by
+theirs of 256; what prefix hashes find in the sort is checked byte by byte.
 
 Defined cases: a null text counts as empty; texts shorter than ``length`` keep all; windows may
 overlap themselves within one text; repeated rows are copies of each other; a null id is an id like
@@ -27,6 +29,7 @@ any other; other columns are ignored; an empty table gives an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from hashlib import blake2b
 
 import numpy as np
 import pyarrow as pa
@@ -140,12 +143,17 @@ def _buffers(batch: pa.RecordBatch, most: int = 1_000_000) -> Iterator[tuple[int
         row = stop
 
 
-ANCHORS = "id long, at long, gram long, context long, near int, far int"
+ANCHORS = "id long, at long, gram long, context binary, near int, far int"
+
+
+def digest(data: bytes) -> bytes:
+    """128 bits that stand for the bytes where no byte check follows: no two different strings with one are known."""
+    return blake2b(data, digest_size=16).digest()
 
 
 def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
-    """Anchors of (id, text) rows; ``context`` is the hash of all that its windows can hold."""
-    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.int64()), ("near", pa.int32()), ("far", pa.int32())])
+    """Anchors of (id, text) rows; ``context`` is the digest of all that its windows can hold."""
+    schema = pa.schema([("id", pa.int64()), ("at", pa.int64()), ("gram", pa.int64()), ("context", pa.binary()), ("near", pa.int32()), ("far", pa.int32())])
 
     def find(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -156,8 +164,9 @@ def anchor_rows(texts: DataFrame, length: int) -> DataFrame:
                     continue
                 begin = ends[number] - np.diff(ends, prepend=0)[number]
                 left, right = np.maximum(begin, at - (length - GRAM)), np.minimum(ends[number], at + length)
-                context = mixed(PrefixHash(data).of(left, right) * U(1 << 20) + (at - left).astype(U) * U(1 << 10) + (right - at).astype(U))
-                yield record(schema, id=ids.take(pa.array(row + number)), at=at - begin, gram=gram.view(np.int64), context=context.view(np.int64), near=near, far=far)
+                raw = data.tobytes()
+                context = [digest((p - a).to_bytes(8, "little") + raw[a:b]) for a, p, b in zip(left.tolist(), at.tolist(), right.tolist(), strict=True)]
+                yield record(schema, id=ids.take(pa.array(row + number)), at=at - begin, gram=gram.view(np.int64), context=context, near=near, far=far)
 
     return texts.select("id", "text").mapInArrow(find, ANCHORS)
 
@@ -244,34 +253,36 @@ def repeated_range(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, at: n
     return low, high
 
 
-CLASS_RANGE = "gram long, context long, low int, high int"
+CLASS_RANGE = "gram long, context binary, low int, high int"
 
 
 def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
     """Suffix-sort the contexts of each gram, many grams at a time."""
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("low", pa.int32()), ("high", pa.int32())])
+    schema = pa.schema([("gram", pa.int64()), ("context", pa.binary()), ("low", pa.int32()), ("high", pa.int32())])
 
-    def solve(rows: dict[str, np.ndarray], blobs: list[bytes]) -> pa.RecordBatch:
+    def solve(rows: dict[str, np.ndarray], contexts: list[bytes], blobs: list[bytes]) -> pa.RecordBatch:
         lengths = np.array([len(b) for b in blobs], np.int64)
         ends = np.cumsum(lengths)
         starts = ends - lengths
         low, high = repeated_range(np.frombuffer(b"".join(blobs), np.uint8), starts, ends, starts + rows["inside"], rows["near"], rows["far"], rows["gram"], length)
-        return record(schema, gram=rows["gram"], context=rows["context"], low=low, high=high)
+        return record(schema, gram=rows["gram"], context=contexts, low=low, high=high)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        waiting: dict[str, list] = {c: [] for c in ("gram", "context", "inside", "near", "far")}
+        waiting: dict[str, list] = {c: [] for c in ("gram", "inside", "near", "far")}
+        keys: list[bytes] = []
         blobs: list[bytes] = []
 
         def flush(rows: int) -> pa.RecordBatch:
             whole = {c: np.concatenate(v) for c, v in waiting.items()}
-            out = solve({c: v[:rows] for c, v in whole.items()}, blobs[:rows])
+            out = solve({c: v[:rows] for c, v in whole.items()}, keys[:rows], blobs[:rows])
             waiting.update({c: [v[rows:]] for c, v in whole.items()})
-            del blobs[:rows]
+            del keys[:rows], blobs[:rows]
             return out
 
         for batch in batches:
             for c in waiting:
                 waiting[c].append(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
+            keys += batch.column("context").to_pylist()
             blobs += batch.column("bytes").to_pylist()
             if len(blobs) >= MOST_CONTEXTS:
                 gram = np.concatenate(waiting["gram"])
@@ -287,7 +298,7 @@ def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
 
 def _context_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
     """Fetch what the windows of ``wanted`` (id, at, gram, context, near, far) hold."""
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("inside", pa.int32()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
+    schema = pa.schema([("gram", pa.int64()), ("context", pa.binary()), ("inside", pa.int32()), ("near", pa.int32()), ("far", pa.int32()), ("bytes", pa.binary())])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -300,22 +311,21 @@ def _context_bytes(texts: DataFrame, wanted: DataFrame, length: int) -> DataFram
 
     places = wanted.groupBy("id").agg(F.collect_list(F.struct("at", "gram", "context", "near", "far")).alias("places")).withColumnRenamed("id", "p_id")
     both = texts.join(places, F.col("id") == F.col("p_id")).select("text", "places")
-    return both.mapInArrow(cut, "gram long, context long, inside int, near int, far int, bytes binary")
+    return both.mapInArrow(cut, "gram long, context binary, inside int, near int, far int, bytes binary")
 
 
 def _counted_ranges(contexts: DataFrame, length: int) -> DataFrame:
-    """The same ranges by counting window hashes, for grams with too many contexts for one task."""
-    schema = pa.schema([("gram", pa.int64()), ("context", pa.int64()), ("d", pa.int32()), ("window", pa.int64())])
+    """The same ranges by counting the digests of windows, for grams with too many contexts for one task."""
+    schema = pa.schema([("gram", pa.int64()), ("context", pa.binary()), ("d", pa.int32()), ("window", pa.binary())])
 
     def hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for row in batch.to_pylist():
-                data = np.frombuffer(row["bytes"], np.uint8)
-                d = np.arange(row["near"], row["far"] + 1)
-                begin = row["inside"] - d
-                yield record(schema, gram=[row["gram"]] * len(d), context=[row["context"]] * len(d), d=d, window=PrefixHash(data).of(begin, begin + length).view(np.int64))
+                data, d = row["bytes"], np.arange(row["near"], row["far"] + 1)
+                begin = (row["inside"] - d).tolist()
+                yield record(schema, gram=[row["gram"]] * len(d), context=[row["context"]] * len(d), d=d, window=[digest(data[a:a + length]) for a in begin])
 
-    rows = written(contexts.mapInArrow(hashes, "gram long, context long, d int, window long"), "windows")
+    rows = written(contexts.mapInArrow(hashes, "gram long, context binary, d int, window binary"), "windows")
     again = rows.groupBy("gram", "window").agg(F.count("*").alias("n")).where("n > 1").select(F.col("gram").alias("g"), F.col("window").alias("w"))
     found = rows.join(again, (F.col("gram") == F.col("g")) & (F.col("window") == F.col("w")))
     return found.groupBy("gram", "context").agg(F.min("d").alias("low"), F.max("d").alias("high"))

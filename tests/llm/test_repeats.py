@@ -76,3 +76,19 @@ def test_windows_have_anchors_that_depend_on_content_alone():
     assert sum(f - n + 1 for f, n in zip(far, near)) == len(a) - 399
     inner = {int(g) for g, p in zip(gram, at) if 300 + 400 <= p < 1500 - 400}
     assert inner and inner <= {int(g) for g in R.anchors(b, np.array([len(b)]), 400)[2]}
+
+
+@pytest.mark.parametrize("most", [R.MOST_CONTEXTS, 1])
+def test_colliding_prefix_hashes_remove_nothing(spark, monkeypatch, most):
+    """Different contexts and windows of one gram stay different where their prefix hashes are equal."""
+    base = R.PrefixHash
+
+    class Weak(base):
+        def of(self, start, end):
+            return base.of(self, start, end) & np.uint64(3)
+
+    passage = prose(11, 100)[:300]
+    rows = [(i, prose(100 + i, 90) + passage + prose(200 + i, 90)) for i in range(30)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    monkeypatch.setattr(R, "PrefixHash", Weak)
+    assert got(docs, 400, most_contexts=most) == brute(rows, 400)
