@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, decontam, language_model, mixing, neardup, quality, repeats, topk
+from . import chat, conversation_repair, decontam, language_model, mixing, neardup, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -165,3 +165,58 @@ SELECT * FROM r WHERE rank <= 5
 def op10_exact_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     vectors = topk.integer_vectors(table(spark, sf_dir, "embeddings"), "vec_id", "embedding")
     return topk.top_k(vectors, F.col("id") % 50 == 0, TOP_K)
+
+
+def _step_sql(state: str, cost: str, letter: str, said: str = "''") -> str:
+    return f"{{'c': {state}.c + {cost}, 'a': {state}.a || '{letter}', 'r': {state}.r || {said}}}"
+
+
+_FAR_SQL = "{'c': 1000000000000::BIGINT, 'a': '', 'r': ''}"
+_KEPT_SQL, _USER_SQL, _ASSISTANT_SQL = (f"chr(10) || {role} || ':' || r.text" for role in ("r.role", "'user'", "'assistant'"))
+
+
+def _keep_sql(state: str, initial: str) -> str:
+    return f"CASE WHEN r.stays AND r.initial = '{initial}' THEN {_step_sql(state, 'r.more', 'K', _KEPT_SQL)} ELSE {_FAR_SQL} END"
+
+
+def _rerole_sql(state: str, said: str) -> str:
+    return f"CASE WHEN r.stays THEN {_step_sql(state, '1 + r.more', 'R', said)} ELSE {_FAR_SQL} END"
+
+
+_INSERTED_SQL = "SELECT conv_id, i, z, s, u, least(a, {to_a}) AS a FROM (SELECT conv_id, i, z, s, least(u, {to_u}) AS u, a FROM {walk})"
+
+
+def _inserted_sql(walk: str) -> str:
+    user, assistant = "chr(10) || 'user:'", "chr(10) || 'assistant:'"
+    return _INSERTED_SQL.format(walk=walk, to_a=_step_sql("u", "5", "I", assistant), to_u=", ".join(_step_sql(x, "5", "I", user) for x in "zsa"))
+
+
+OP11_SQL = f"""
+WITH RECURSIVE k AS (SELECT *, concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS key FROM conversations),
+crc AS (SELECT key, 0 AS i, 4294967295::BIGINT AS x FROM (SELECT DISTINCT key FROM k)
+  UNION ALL SELECT key, i + 1, list_reduce(list_prepend(xor(x, ascii(key[i + 1])::BIGINT), range(8)), lambda y, bit: CASE WHEN y & 1 = 1 THEN xor(y >> 1, 3988292384::BIGINT) ELSE y >> 1 END) FROM crc WHERE i < length(key)),
+kinds AS (SELECT key, xor(x, 4294967295::BIGINT) % 20 AS kind FROM crc WHERE i = length(key)),
+d AS (SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE coalesce(role, ' ') END AS role,
+    CASE WHEN kind = 1 THEN '' WHEN kind = 2 THEN regexp_replace(coalesce(text, ' '), '[.!?]', '', 'g') ELSE coalesce(text, ' ') END AS text,
+    unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy FROM k JOIN kinds USING (key) WHERE kind <> 0),
+o AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i,
+    regexp_extract(text, '([^\x20\x09-\x0D])[\x20\x09-\x0D]*$', 1) AS ending FROM d),
+f AS (SELECT *, CASE WHEN ending = '' THEN 'blank' WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate' WHEN ending NOT IN ('.', '!', '?') THEN 'truncated' ELSE '' END AS fault,
+    lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) || left(role, 1) AS pair FROM o),
+r AS (SELECT *, fault IN ('', 'truncated') AS stays, CASE WHEN fault = 'truncated' THEN 5 ELSE 0 END AS more, left(role, 1) AS initial FROM f),
+counts AS (SELECT conv_id, CAST(coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS BIGINT) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate,
+    count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal, count(*) AS n FROM f GROUP BY conv_id),
+walk AS (SELECT conv_id, 0::BIGINT AS i, {{'c': 0::BIGINT, 'a': '', 'r': ''}} AS z, {_FAR_SQL} AS s, {_FAR_SQL} AS u, {_FAR_SQL} AS a FROM counts
+  UNION ALL SELECT w.conv_id, r.i, {_step_sql("w.z", "2", "D")}, least({_step_sql("w.s", "2", "D")}, {_keep_sql("w.z", "s")}),
+    least({_step_sql("w.u", "2", "D")}, {", ".join(_rerole_sql(x, _USER_SQL) + ", " + _keep_sql(x, "u") for x in ("w.z", "w.s", "w.a"))}),
+    least({_step_sql("w.a", "2", "D")}, {_rerole_sql("w.u", _ASSISTANT_SQL)}, {_keep_sql("w.u", "a")})
+  FROM ({_inserted_sql("walk")}) w JOIN r ON r.conv_id IS NOT DISTINCT FROM w.conv_id AND r.i = w.i + 1),
+best AS (SELECT e.conv_id, least(e.z, e.a) AS b FROM ({_inserted_sql("walk")}) e JOIN counts c ON c.conv_id IS NOT DISTINCT FROM e.conv_id AND c.n = e.i)
+SELECT a.conv_id, {", ".join(f"coalesce({c}, 0) AS {c}" for c in ("gaps", "blank", "duplicate", "truncated", "illegal"))}, CAST(coalesce(b.c, 0) AS BIGINT) AS cost, coalesce(b.a, '') AS audit, sha256(coalesce(substr(b.r, 2), '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON counts.conv_id IS NOT DISTINCT FROM a.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM a.conv_id
+"""
+
+
+@register("op11_conversation_repair", OP11_SQL)
+def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
