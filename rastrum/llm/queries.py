@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation_repair, decontam, language_model, mixing, neardup, quality, repeats, topk
+from . import chat, conversation_repair, decontam, language_model, mixing, neardup, phrases, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -220,3 +220,25 @@ FROM (SELECT DISTINCT conv_id FROM conversations) a LEFT JOIN counts ON counts.c
 @register("op11_conversation_repair", OP11_SQL)
 def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
+
+
+PHRASES_A_LANGUAGE = 2000
+OP13_SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda w: w <> '') AS w FROM d),
+g AS (SELECT lang, list_slice(w, i, i + m - 1) AS g, m FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m))),
+f AS (SELECT lang, g, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
+cuts AS (SELECT c.lang, c.g, c.a, k.k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score FROM f c JOIN (SELECT unnest([1, 2, 3]) AS k) k ON k.k < c.m
+  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k.k + 1:c.m] WHERE c.m > 1),
+s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
+inside AS (SELECT DISTINCT c.lang, list_slice(c.g, b.first, b.first + e.size - 1) AS g, c.a FROM f c, (SELECT unnest([2, 3]) AS size) e, (SELECT unnest([1, 2, 3]) AS first) b WHERE e.size < c.m AND b.first + e.size - 1 <= c.m),
+kept AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.g = s.g AND 100::HUGEINT * i.a >= 80::HUGEINT * s.a)),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
+SELECT o.lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n.n, score FROM o JOIN n USING (lang) WHERE rank <= {PHRASES_A_LANGUAGE}
+"""
+
+
+@register("op13_phrase_collocations", OP13_SQL)
+def op13_phrase_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return phrases.collocations(table(spark, sf_dir, "documents"), PHRASES_A_LANGUAGE)
