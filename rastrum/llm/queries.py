@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat, conversation_repair, decontam, language_model, mixing, neardup, phrases, quality, repeats, topk
+from . import chat, conversation_repair, decontam, embedding_dedup, language_model, mixing, neardup, phrases, quality, repeats, topk
 from . import token_counts as tc
 from . import token_files as tf
 from .common import table, written
@@ -222,20 +222,43 @@ def op11_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversation_repair.repair_report(table(spark, sf_dir, "conversations"))
 
 
+NEAR_COSINE = 0.93
+NEAR_RECALL = 0.999
+OP12_SQL = f"""
+WITH RECURSIVE e AS (SELECT row_number() OVER () AS i, vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings),
+ok AS (SELECT * FROM e WHERE label IS NOT NULL AND v IS NOT NULL AND len(v) > 0 AND len(list_filter(v, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(v, lambda x: x <> 0)) > 0),
+links AS (SELECT a.i, b.i AS j, b.vec_id FROM ok a JOIN ok b ON a.label = b.label AND len(a.v) = len(b.v) AND a.i <> b.i WHERE list_cosine_similarity(a.v, b.v) >= {NEAR_COSINE}),
+reach AS (SELECT i, i AS j FROM ok UNION SELECT r.i, l.j FROM reach r JOIN links l ON l.i = r.j),
+parts AS (SELECT r.i, min(e.vec_id) AS component_id FROM reach r JOIN e ON e.i = r.j GROUP BY r.i),
+n AS (SELECT i, count(*) AS n_links FROM links GROUP BY i)
+SELECT e.vec_id, coalesce(n.n_links, 0) AS n_links, CASE WHEN parts.i IS NULL THEN e.vec_id ELSE parts.component_id END AS component_id,
+  coalesce(e.vec_id = CASE WHEN parts.i IS NULL THEN e.vec_id ELSE parts.component_id END, false) AS kept
+FROM e LEFT JOIN n USING (i) LEFT JOIN parts USING (i)
+"""
+
+
+@register("op12_embedding_near_dedup", OP12_SQL)
+def op12_embedding_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.near_duplicates(table(spark, sf_dir, "embeddings"), threshold=NEAR_COSINE, recall=NEAR_RECALL)
+
+
 PHRASES_A_LANGUAGE = 2000
 OP13_SQL = f"""
-WITH d AS (SELECT row_number() OVER () AS doc, coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
-p AS (SELECT lang, list_filter(string_split_regex(unnest(string_split_regex(text, '[.,;:!?\x0A-\x0D]')), '[\x20\x09]+'), lambda w: w <> '') AS w FROM d),
-g AS (SELECT lang, list_slice(w, i, i + m - 1) AS g, m FROM (SELECT lang, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM p, (SELECT unnest([1, 2, 3, 4]) AS m))),
-f AS (SELECT lang, g, m, count(*) AS a FROM g GROUP BY ALL HAVING count(*) >= 30),
-n AS (SELECT lang, count(*) AS n FROM g WHERE m = 1 GROUP BY lang),
-cuts AS (SELECT c.lang, c.g, c.a, k.k, x.a AS l, y.a AS r, CAST(2000000::HUGEINT * c.a // (x.a + y.a) AS BIGINT) AS score FROM f c JOIN (SELECT unnest([1, 2, 3]) AS k) k ON k.k < c.m
-  JOIN f x ON x.lang = c.lang AND x.g = c.g[1:k.k] JOIN f y ON y.lang = c.lang AND y.g = c.g[k.k + 1:c.m] WHERE c.m > 1),
-s AS (SELECT * FROM cuts QUALIFY row_number() OVER (PARTITION BY lang, g ORDER BY score, k) = 1),
-inside AS (SELECT DISTINCT c.lang, list_slice(c.g, b.first, b.first + e.size - 1) AS g, c.a FROM f c, (SELECT unnest([2, 3]) AS size) e, (SELECT unnest([1, 2, 3]) AS first) b WHERE e.size < c.m AND b.first + e.size - 1 <= c.m),
-kept AS (SELECT * FROM s WHERE NOT EXISTS (SELECT 1 FROM inside i WHERE i.lang = s.lang AND i.g = s.g AND 100::HUGEINT * i.a >= 80::HUGEINT * s.a)),
-o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, array_to_string(g, ' ')) AS rank FROM kept)
-SELECT o.lang, rank, array_to_string(g, ' ') AS phrase, a, l, r, n.n, score FROM o JOIN n USING (lang) WHERE rank <= {PHRASES_A_LANGUAGE}
+WITH d AS (SELECT coalesce(lang, 'und') AS lang, translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS text FROM documents),
+p AS (SELECT row_number() OVER () AS piece, lang, piece_text FROM (SELECT lang, unnest(string_split_regex(text, '[.,;:!?\\x0A-\\x0D]')) AS piece_text FROM d)),
+t AS (SELECT piece, lang, unnest(list_filter(string_split(translate(piece_text, chr(9), ' '), ' '), lambda w: w <> '')) AS w, generate_subscripts(list_filter(string_split(translate(piece_text, chr(9), ' '), ' '), lambda w: w <> ''), 1) AS i FROM p),
+s4 AS (SELECT lang, w, lead(w, 1) OVER o AS w2, lead(w, 2) OVER o AS w3, lead(w, 3) OVER o AS w4 FROM t WINDOW o AS (PARTITION BY piece ORDER BY i)),
+f AS (SELECT lang, g, m, count(*) AS a FROM (SELECT lang, w AS g, 1 AS m FROM s4 UNION ALL SELECT lang, w || ' ' || w2, 2 FROM s4 WHERE w2 IS NOT NULL
+  UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3, 3 FROM s4 WHERE w3 IS NOT NULL UNION ALL SELECT lang, w || ' ' || w2 || ' ' || w3 || ' ' || w4, 4 FROM s4 WHERE w4 IS NOT NULL) GROUP BY ALL HAVING count(*) >= 30),
+n AS (SELECT lang, count(*) AS n FROM t GROUP BY lang),
+e AS (SELECT lang, g, m, a, unnest(range(1, m + 1)) AS first, string_split(g, ' ') AS q FROM f WHERE m > 1),
+part AS (SELECT lang, g, m, a, first, size, array_to_string(list_slice(q, first, first + size - 1), ' ') AS part FROM (SELECT *, unnest(range(1, m - first + 2)) AS size FROM e) WHERE size < m),
+s AS (SELECT x.lang, x.g, x.a, l.a AS l, r.a AS r, CAST(2000000::HUGEINT * x.a // (l.a + r.a) AS BIGINT) AS score FROM part x JOIN part y ON y.lang = x.lang AND y.g = x.g AND y.first = x.size + 1 AND y.size = x.m - x.size
+  JOIN f l ON l.lang = x.lang AND l.g = x.part JOIN f r ON r.lang = x.lang AND r.g = y.part WHERE x.first = 1 QUALIFY row_number() OVER (PARTITION BY x.lang, x.g ORDER BY score, x.size) = 1),
+longer AS (SELECT lang, part AS g, max(a) AS longer FROM part WHERE size > 1 GROUP BY ALL),
+kept AS (SELECT s.* FROM s LEFT JOIN longer USING (lang, g) WHERE longer IS NULL OR 100::HUGEINT * longer < 80::HUGEINT * a),
+o AS (SELECT *, row_number() OVER (PARTITION BY lang ORDER BY score DESC, a DESC, g) AS rank FROM kept)
+SELECT o.lang, rank, g AS phrase, a, l, r, n.n, score FROM o JOIN n USING (lang) WHERE rank <= {PHRASES_A_LANGUAGE}
 """
 
 
