@@ -42,6 +42,10 @@ GRAM = 128
 PRIMES = (2147483629, 2147483587)
 BASES = (1000003, 1299721)
 MOST_CONTEXTS = 6_000
+#: contexts are sorted as soon as so many bytes of them wait
+SORT_BYTES = 2_000_000
+#: rows of contexts that come to a worker at a time
+BATCH_ROWS = 500
 U = np.uint64
 
 
@@ -271,6 +275,7 @@ def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
         waiting: dict[str, list] = {c: [] for c in ("gram", "inside", "near", "far")}
         keys: list[bytes] = []
         blobs: list[bytes] = []
+        held = 0
 
         def flush(rows: int) -> pa.RecordBatch:
             whole = {c: np.concatenate(v) for c, v in waiting.items()}
@@ -279,16 +284,18 @@ def _sorted_ranges(contexts: DataFrame, length: int) -> DataFrame:
             del keys[:rows], blobs[:rows]
             return out
 
-        for batch in batches:
+        for batch in (b.slice(i, BATCH_ROWS) for b in batches for i in range(0, len(b), BATCH_ROWS)):
             for c in waiting:
                 waiting[c].append(batch.column(c).to_numpy(zero_copy_only=False).astype(np.int64))
             keys += batch.column("context").to_pylist()
             blobs += batch.column("bytes").to_pylist()
-            if len(blobs) >= MOST_CONTEXTS:
+            held += sum(map(len, blobs[-len(batch):]))
+            if held >= SORT_BYTES:
                 gram = np.concatenate(waiting["gram"])
                 rows = int(np.searchsorted(gram, gram[-1], side="left"))  # the last gram may go on
                 if rows:
                     yield flush(rows)
+                    held = sum(map(len, blobs))
         if blobs:
             yield flush(len(blobs))
 
