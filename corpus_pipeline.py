@@ -17,7 +17,9 @@ from rastrum.llm.queries import BYTE_BPE_IDS, END_ID, QUALITY_CUT, tokenizer_pat
 def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the rule ensemble accepts."""
     model = quality.learn(docs, table(spark, sf_dir, "labels"), "quality")
-    return quality.scored(docs, model).where(F.col("score") >= QUALITY_CUT).select("row.*")
+    # a filter is not pushed below a generator, so the statistics are not copied into its conditions
+    scores = quality.scored(docs, model).select("row", F.explode(F.array("score")).alias("score"))
+    return scores.where(F.col("score") >= QUALITY_CUT).select("row.*")
 
 
 def one_per_class(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -43,3 +43,14 @@ def test_stages_take_odd_rows(spark):
 def test_run_is_stable(spark):
     a, b = (sorted(map(tuple, cp.run(spark, SMALL).collect())) for _ in range(2))
     assert a == b and len(a) > 100
+
+
+def test_statistics_are_computed_once(spark):
+    docs, labels = (spark.read.parquet(f"{SMALL}/{t}.parquet") for t in ("documents", "labels"))
+
+    def copies(df):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        return plan.count("split("), plan.count("array_distinct"), plan.count("regexp_count")
+
+    scores = quality.scored(docs, quality.learn(docs, labels, "quality")).select("row.doc_id", "score")
+    assert copies(cp.keep_quality(spark, docs, SMALL)) <= copies(scores)
