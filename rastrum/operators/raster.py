@@ -579,7 +579,7 @@ def mask_stability(df: DataFrame, mask: DataFrame, v: str, height: int, width: i
     return mask.select("image_id").distinct().join(g, "image_id", "left").select("image_id", F.coalesce("stability", F.lit(1.0)).alias("stability"))
 
 
-def _hull_area(points: list[tuple[float, float]]) -> float:
+def hull_area(points: list[tuple[float, float]]) -> float:
     """Area of the convex hull (monotone chain)."""
     pts = sorted(set(points))
     if len(pts) < 3:
@@ -605,7 +605,7 @@ def hull_areas(labelled: DataFrame, rows: int = 100_000) -> DataFrame:
     buckets = max(64, ends.count() // rows)
 
     def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        out = [(i, l, _hull_area([p for y, a, b in zip(g["y"], g["a"], g["b"]) for p in ((a, y), (b, y))])) for (i, l), g in pdf.groupby(["image_id", "label"])]
+        out = [(i, l, hull_area([p for y, a, b in zip(g["y"], g["a"], g["b"]) for p in ((a, y), (b, y))])) for (i, l), g in pdf.groupby(["image_id", "label"])]
         return pd.DataFrame(out, columns=["image_id", "label", "hull_area"])
     return ends.withColumn("__b", F.pmod(F.xxhash64("image_id", "label"), F.lit(buckets))).groupBy("__b").applyInPandas(run, "image_id bigint, label bigint, hull_area double")
 

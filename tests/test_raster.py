@@ -10,8 +10,8 @@ def grid(spark, fn, n=8):
 
 
 def test_hull():
-    assert raster._hull_area([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)]) == 16
-    assert raster._hull_area([(0, 0), (1, 1), (2, 2)]) == 0
+    assert raster.hull_area([(0, 0), (4, 0), (4, 4), (0, 4), (2, 2)]) == 16
+    assert raster.hull_area([(0, 0), (1, 1), (2, 2)]) == 0
 
 
 def test_square_region_is_coherent(spark):
@@ -58,7 +58,7 @@ def test_coherence_against_brute_force(spark):
         rows += [(image, 7, y, x, heat[y, x]) for y, x in cells]
         v = np.array(list(heat.values()))
         peaks = len(brute_parts([c for c in cells if heat[c] >= np.percentile(v, 85)]))
-        area = raster._hull_area(list(cells))
+        area = raster.hull_area(list(cells))
         connected = max(map(len, brute_parts(cells))) / len(cells)
         parts = (connected, min(len(cells) / max(area, 1), 1.0), 1 - min(v.std() / 90, 1.0), 1 / min(max(peaks, 1), 5))
         want[image] = (*parts, sum(parts) / 4)
