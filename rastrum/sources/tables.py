@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..scale import ranked
+from .manifest import hashed_texts, hot_key
 
 # Method names.
 METHODS = ("contour-only baseline", "fixed-threshold baseline", "multi-scale fused method", "refined contextual method")
@@ -31,6 +32,9 @@ class Tables:
     def read(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.root}/{name}.parquet")
 
+    def hot(self, name: str, rows: DataFrame, *keys: str) -> bool:
+        return hot_key(rows, f"{self.root}/{name}.parquet", *keys)
+
     # ---- boxes: one row per line item ------------------------------------------------------
     @cached_property
     def box_rows(self) -> DataFrame:
@@ -45,7 +49,7 @@ class Tables:
 
     @cached_property
     def boxes(self) -> DataFrame:
-        return ranked(self.box_rows, ["image_id"], BOX_ORDER, "box_id")
+        return ranked(self.box_rows, ["image_id"], BOX_ORDER, "box_id", self.hot("lineitem", self.box_rows, "image_id"))
 
     @property
     def truths(self) -> DataFrame:
@@ -66,10 +70,11 @@ class Tables:
     @cached_property
     def results(self) -> DataFrame:
         li, orders = self.read("lineitem"), self.read("orders")
-        rows = ranked(li.select(
+        lines = li.select(
             F.col("l_orderkey").alias("image_id"), (F.col("l_linenumber") % 4).alias("m"), "l_returnflag",
             F.col("l_extendedprice").alias("score"), "l_linenumber", "l_partkey", "l_suppkey", "l_shipdate",
-            "l_discount", "l_tax"), ["image_id", "m"], BOX_ORDER, "rn")
+            "l_discount", "l_tax")
+        rows = ranked(lines, ["image_id", "m"], BOX_ORDER, "rn", self.hot("lineitem", lines, "image_id", "m"))
         g = rows.groupBy("image_id", "m").agg(
             F.count("*").alias("final_proposals"), F.sum((F.col("l_returnflag") == "R").cast("bigint")).alias("hits"),
             F.min(F.when(F.col("l_returnflag") == "R", F.col("rn"))).alias("rank"),
@@ -118,16 +123,14 @@ class Tables:
     # ---- image manifest: one row per document -----------------------------------------------
     @cached_property
     def images(self) -> DataFrame:
-        from ..functions.exprs import text_dhash
-        d, l = self.read("documents"), self.read("labels")
+        d, l = hashed_texts(self.spark, f"{self.root}/documents.parquet"), self.read("labels")
         j = d.join(l.select("doc_id", "toxic"), "doc_id", "left")
-        sha = F.sha2(F.col("text"), 256)
+        sha = F.col("sha256_hash")
         outcome = F.when(F.col("toxic") == 1, "anomaly_present").when(F.col("toxic") == 0, "no_anomaly").otherwise("")
-        # lazy: a query reads and hashes only what it asks for; loops cut their own lineage
         return j.select(
             F.col("doc_id").alias("image_id"), F.concat(F.lit("d"), F.col("doc_id") % 2).alias("dataset_id"),
             F.lit("v1").alias("dataset_version"), F.concat(F.lit("doc_"), F.col("doc_id"), F.lit(".png")).alias("original_filename"),
-            sha.alias("sha256_hash"), F.when(F.col("n_chars") > 0, text_dhash(F.col("text"))).alias("perceptual_hash"),  # only an opened file has one
+            "sha256_hash", "perceptual_hash",
             F.when(F.col("doc_id") % 10 < 7, "train").when(F.col("doc_id") % 10 == 7, "validation").otherwise("test").alias("split"),
             F.col("lang").alias("anomaly_type"), outcome.alias("image_outcome"),
             F.col("source").alias("source_group_id"),
@@ -142,8 +145,8 @@ class Tables:
     @cached_property
     def event_rows(self) -> DataFrame:
         e = self.read("events")
-        return ranked(e.withColumn("m", F.col("event_id") % 4).withColumnRenamed("user_id", "image_id"),
-                      ["image_id", "m"], [("ts", True), ("event_id", True)], "rn")
+        rows = e.withColumn("m", F.col("event_id") % 4).withColumnRenamed("user_id", "image_id")
+        return ranked(rows, ["image_id", "m"], [("ts", True), ("event_id", True)], "rn", self.hot("events", rows, "image_id", "m"))
 
     @cached_property
     def reviews(self) -> DataFrame:
