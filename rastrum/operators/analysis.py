@@ -338,15 +338,17 @@ def draws(b: np.ndarray, u: np.ndarray, seed: int) -> np.ndarray:
     return np.searchsorted(np.array(POISSON_STEPS), x, side="right")
 
 
-def bootstrap_means(df: DataFrame, value: str, samples: int, seed: int) -> DataFrame:
-    """Mean of every bootstrap replicate, each row counting as often as its Poisson draw says.
+def row_number_of(keys: Sequence[str]) -> Column:
+    """48 bits of a digest of a row's key: rows are told apart for the draws without being ordered or counted."""
+    return F.conv(F.substring(F.md5(F.concat_ws("|", *[F.col(k).cast("string") for k in keys])), 1, 12), 16, 10).cast("bigint")
+
+
+def bootstrap_means(rows: DataFrame, samples: int, seed: int) -> DataFrame:
+    """Mean of every bootstrap replicate of (v, u) rows, each counting as often as the Poisson draw of its number ``u`` says.
 
     A task keeps one sum and one count a replicate and adds its rows up as matrices of bounded
     size, so no draw is ever a row; what is exchanged is ``samples`` rows a task.
     """
-    vals = df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"))
-    rows = ranked(vals, [], [("v", True)], "pos").select("v", (F.col("pos") - 1).alias("u"))
-
     def add(batches):
         b = np.arange(samples, dtype=np.int64)[:, None]
         total, times = np.zeros(samples), np.zeros(samples, np.int64)
@@ -362,13 +364,13 @@ def bootstrap_means(df: DataFrame, value: str, samples: int, seed: int) -> DataF
     return parts.groupBy("b").agg(F.sum("s").alias("s"), F.sum("w").alias("w")).where("w > 0").select("b", (F.col("s") / F.col("w")).alias("m"))
 
 
-def bootstrap_ci(df: DataFrame, value: str, samples: int = 1000, seed: int = 42, confidence: float = 0.95) -> DataFrame:
-    """Percentile interval of the resampled mean; both ends null below two values."""
+def bootstrap_ci(df: DataFrame, value: str, samples: int = 1000, seed: int = 42, confidence: float = 0.95, keys: Sequence[str] = PAIR_KEYS) -> DataFrame:
+    """Percentile interval of the resampled mean; both ends null below two values. ``keys`` name a row."""
     a = (1 - confidence) / 2
-    df = checkpointed(df.select(value))  # one column, read four times
-    m = bootstrap_means(df, value, samples, seed)
-    q = exact_quantiles(m, [], "m", {"ci_low": a, "ci_high": 1 - a})
-    n = df.agg(F.count(value).alias("n"))
+    rows = checkpointed(df.where(F.col(value).isNotNull()).select(F.col(value).cast("double").alias("v"), row_number_of(keys).alias("u")))  # two numbers a row, read twice
+    means = bootstrap_means(rows, samples, seed)
+    q = means.agg(F.percentile("m", F.lit(a)).alias("ci_low"), F.percentile("m", F.lit(1 - a)).alias("ci_high"))  # ``samples`` rows
+    n = rows.agg(F.count("v").alias("n"))
     return n.join(q, F.lit(True), "left").select(
         "n", *[r6(F.when(F.col("n") >= 2, F.col(c))).alias(c) for c in ("ci_low", "ci_high")])
 

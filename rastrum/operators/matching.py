@@ -25,9 +25,9 @@ COMPETITION = "unmatched_one_to_one_competition"
 BELOW = "unmatched_primary_mask_iou_below_threshold"
 
 
-def rank_proposals(proposals: DataFrame, by: Sequence[str] = ("image_id", "method")) -> DataFrame:
-    """1-based rank: score descending, id ascending."""
-    return ranked(proposals, list(by), [("score", False), ("proposal_id", True)], "rank")
+def rank_proposals(proposals: DataFrame, by: Sequence[str] = ("image_id", "method"), hot: bool | None = None) -> DataFrame:
+    """1-based rank: score descending, id ascending. ``hot`` where it is known whether a group is large, else it is counted."""
+    return ranked(proposals, list(by), [("score", False), ("proposal_id", True)], "rank", hot)
 
 
 def image_method_base(proposals: DataFrame, truths: DataFrame, images: DataFrame, methods: DataFrame) -> DataFrame:
@@ -55,10 +55,10 @@ def first_match(pairs: DataFrame, iou: float = 0.1, overlap: float = 0.25, centr
     return seen.groupBy(*key).agg(F.first("matched_truth").alias("matched_truth"), F.max("mask_iou").alias("iou"))
 
 
-def match_permissive(proposals: DataFrame, truths: DataFrame, pairs: DataFrame, base: DataFrame, **rule) -> DataFrame:
+def match_permissive(proposals: DataFrame, truths: DataFrame, pairs: DataFrame, base: DataFrame, hot: bool | None = None, **rule) -> DataFrame:
     """The thirteen permissive outputs per (image, method)."""
     hit = first_match(pairs, **rule)
-    p = rank_proposals(proposals).join(hit, ["image_id", "method", "proposal_id"], "left")
+    p = rank_proposals(proposals, hot=hot).join(hit, ["image_id", "method", "proposal_id"], "left")
     m = F.col("matched_truth").isNotNull()
     g = p.groupBy("image_id", "method").agg(
         F.min(F.when(m, F.col("rank"))).alias("first_rank"), F.sum(m.cast("bigint")).alias("tp"),

@@ -346,12 +346,16 @@ def agglomerated(rows: DataFrame, scored: Scorer, finished: Callable[[DataFrame]
 
     ``scored(rows, changed)`` gives the pairs that may merge, of changed items only if some are named. One
     pair an image is merged in a round, so rounds are bounded by the merges of the busiest image; pairs of
-    items that did not change keep their score. ``finished`` reshapes united items. Members: image_id, item, into."""
+    items that did not change keep their score, and images without a pair leave the rounds. ``finished`` reshapes
+    united items. Members: image_id, item, into."""
     rows = checkpointed(rows.select("image_id", "item", "y", "runs", *SIZE))
     members = checkpointed(rows.select("image_id", "item", F.col("item").alias("into")).distinct())
     pairs = checkpointed(scored(rows, None).select(*PAIR))
+    settled: list[tuple[DataFrame, DataFrame]] = []
     while any_row(pairs):
         chosen = checkpointed(pairs.groupBy("image_id").agg(F.min(F.struct("left", "right")).alias("p")).select("image_id", "p.left", "p.right"))
+        settled.append(tuple(d.join(chosen.select("image_id"), "image_id", "left_anti") for d in (rows, members)))
+        rows, members = (d.join(chosen.select("image_id"), "image_id", "left_semi") for d in (rows, members))
         moved = chosen.select("image_id", F.explode(F.array("left", "right")).alias("item"), "left")
         new = union(rows.join(moved, ["image_id", "item"]).drop("item").withColumnRenamed("left", "item"), ["image_id", "item"])
         if finished is not None:
@@ -362,6 +366,8 @@ def agglomerated(rows: DataFrame, scored: Scorer, finished: Callable[[DataFrame]
         gone = moved.select("image_id", "item")
         kept = pairs.join(gone.withColumnRenamed("item", "left"), ["image_id", "left"], "left_anti").join(gone.withColumnRenamed("item", "right"), ["image_id", "right"], "left_anti")
         pairs = checkpointed(kept.select(*PAIR).unionByName(scored(rows, chosen).select(*PAIR)))
+    for r, m in settled:
+        rows, members = rows.unionByName(r), members.unionByName(m)
     return rows, members
 
 

@@ -144,7 +144,7 @@ def _(t):
   round(CASE WHEN truth_count>0 THEN coalesce(found,0)/CAST(truth_count AS DOUBLE) END,6) AS proposal_recall, round(coalesce(mi,0),6) AS mean_iou, round(coalesce(bi,0),6) AS best_iou
   FROM base LEFT JOIN g USING (image_id, method)""")
 def _(t):
-    m = mt.match_permissive(t.proposals, t.truths, pairs(t), base(t))
+    m = mt.match_permissive(t.proposals, t.truths, pairs(t), base(t), t.hot("lineitem", t.box_rows, "image_id"))
     num = ["proposal_precision", "proposal_recall", "mean_iou", "best_iou"]
     return m.select(*[c for c in m.columns if c not in num], *[r6(c).alias(c) for c in num])
 

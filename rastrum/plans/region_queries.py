@@ -105,7 +105,7 @@ def _(t):
 @query("g13_merge_similar")
 def _(t):
     """Items are single warm cells of every image's frame, whose texture and colour differ."""
-    cells = blocks(t).where(F.col("v") >= 0.16)
+    cells = blocks(t).where(F.col("v") >= 0.22)
     items = block_rows(cells.withColumn("item", (F.col("y") * 8 + F.col("x")).cast("int")))
     colour = heat(t, "b", "colour")
     texture = heat(t, "v", "v").select("image_id", "y", F.transform("v", lambda v: F.abs(v) * 500).alias("texture"))

@@ -229,7 +229,7 @@ def _(t):
     return an.interpretation(paired(t))
 
 
-@query("a22_bootstrap_ci", "scope", PAIRED + f""", v AS (SELECT difference_proposal_precision AS v, row_number() OVER (ORDER BY difference_proposal_precision)-1 AS u
+@query("a22_bootstrap_ci", "scope", PAIRED + f""", v AS (SELECT difference_proposal_precision AS v, CAST('0x'||substr(md5(experiment_id||'|'||experiment_version||'|'||image_id),1,12) AS BIGINT) AS u
    FROM paired WHERE difference_proposal_precision IS NOT NULL), nn AS (SELECT count(*) AS n FROM v),
  d0 AS (SELECT b, v, (u%2147483647*16807+u//2147483647*40692+b*48271+42*69621+1)%2147483647 AS x FROM v, range(1000) r(b)), d1 AS (SELECT b, v, (x*48271+11)%2147483647 AS x FROM d0), d2 AS (SELECT b, v, (x*(x%65521+7)+13)%2147483647 AS x FROM d1),
  d3 AS (SELECT b, v, (x*69621+b+17)%2147483647 AS x FROM d2), d AS (SELECT b, v, {" + ".join(f"CAST(x>={c} AS BIGINT)" for c in an.POISSON_STEPS)} AS w FROM d3),
