@@ -34,9 +34,9 @@ from .common import partitions, record, written
 
 LONGEST = 4
 BITS = 27
-CHUNK_BYTES = 6 << 20
-BUFFER_ROWS = 400_000
-HELD_WORDS = 300_000
+CHUNK_BYTES = 4 << 20
+BUFFER_ROWS = 250_000
+HELD_WORDS = 200_000
 HOT_PAIR = 1_000_000
 SALTS = 256
 #: Spark's xxhash64 begins with this seed
