@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 
 from ..core import checkpointed, r6
 
+from ..operators import component_tree as ct
 from ..operators import fusion as fu
 from ..operators import raster as ra
-from ..operators import vectors as ve
 from .registry import query
 
 H = W = 8
@@ -296,47 +296,56 @@ def _(t):
     return top.select("image_id", "label", "area", r6("score").alias("score"), "rank")
 
 
-CURVE = """, th AS (SELECT row_number() OVER (ORDER BY t)-1 AS k, t FROM (SELECT DISTINCT unnest(quantile_cont(v, list_transform(range(6), lambda i: i/5.0))) AS t FROM raster)), mk AS (SELECT image_id*16+k AS sid, image_id, k, y, x, v FROM raster JOIN th ON v>=t)""" + comp("mk", "c8", key="sid") + """,
- s0 AS (SELECT sid, label, count(*) AS area, max(v) AS sc, min(c8.x) AS x1, min(c8.y) AS y1, max(c8.x)+1 AS x2, max(c8.y)+1 AS y2, count(t.image_id) AS hit FROM c8 JOIN mk USING (sid,y,x) LEFT JOIN raster_truth t ON t.image_id=sid//16 AND t.y=c8.y AND t.x=c8.x GROUP BY 1,2 HAVING count(*)>=2),
- s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY sid ORDER BY sc DESC, area DESC, x1, y1, x2, y2) AS rank FROM s0) WHERE rank<=8), im AS (SELECT DISTINCT image_id, label<5 AS clean FROM raster),
- pi AS (SELECT th.k, th.t, im.clean, count(s.sid) AS n, coalesce(max(CASE WHEN hit/CAST(area+16-hit AS DOUBLE)+1e-12>=0.25 THEN 1 ELSE 0 END),0) AS m FROM th CROSS JOIN im LEFT JOIN s ON s.sid=im.image_id*16+th.k GROUP BY th.k, th.t, im.clean, im.image_id),
- cv AS (SELECT t AS threshold, sum(n) FILTER (clean)/CAST(count(*) FILTER (clean) AS DOUBLE) AS clean_fp, count(*) FILTER (clean AND n>0)/CAST(count(*) FILTER (clean) AS DOUBLE) AS clean_any, sum(m) FILTER (NOT clean)/CAST(count(*) FILTER (NOT clean) AS DOUBLE) AS sensitivity, sum(m) FILTER (NOT clean)/CAST(nullif(sum(n),0) AS DOUBLE) AS precision FROM pi GROUP BY 1) """
+# The SQL keeps an 8 x 8 mask as one number, bit y * 8 + x, and floods one component after the other.
+_LEFT, _RIGHT = (f"CAST({sum(m << 8 * y for y in range(8))} AS HUGEINT)" for m in (0b01111111, 0b11111110))  # columns that may move right, left
+_WIDE = "({c} | (({c} & " + _LEFT + ") << 1) | (({c} & " + _RIGHT + ") >> 1))"
+_GROWN = "(({w} | ({w} << 8) | ({w} >> 8)) & rem)".format(w=_WIDE.format(c="cur"))
+_LOW = "xor({0}, {0} & ({0} - 1))"
+_BIT = "(CAST(1 AS HUGEINT) << CAST(y*8+x AS INTEGER))"
+CURVE = f""", tp AS (SELECT image_id, y, x FROM raster_truth UNION SELECT image_id, y, x FROM raster WHERE image_id%3=0 AND ((label IN (5,6) AND y>=6 AND x>=4) OR (label IN (8,9) AND y<=1 AND x<=3)))""" + comp("tp", "tc") + f""",
+ vs AS (SELECT v, row_number() OVER (ORDER BY v)-1 AS r, count(*) OVER () AS n FROM raster), qp AS (SELECT i/100.0::DOUBLE*((SELECT count(*) FROM raster)-1) AS p FROM range(101) q(i)),
+ qs AS (SELECT DISTINCT a.v+(b.v-a.v)*(p-floor(p)) AS t FROM qp JOIN vs a ON a.r=floor(p) JOIN vs b ON b.r=ceil(p)), ts AS (SELECT t FROM qs UNION ALL SELECT CAST(nextafter(CAST(max(v) AS FLOAT), CAST('inf' AS FLOAT)) AS DOUBLE) FROM raster),
+ th AS (SELECT row_number() OVER (ORDER BY t DESC)-1 AS point, t FROM ts), fg AS (SELECT image_id, point, sum({_BIT}) AS m FROM raster JOIN th ON v>=t GROUP BY 1,2),
+ fl(image_id, point, rem, cur, done) AS (SELECT image_id, point, CAST(m AS HUGEINT), CAST({_LOW.format('CAST(m AS HUGEINT)')} AS HUGEINT), CAST(0 AS HUGEINT) FROM fg
+   UNION ALL SELECT image_id, point, CASE WHEN g=cur THEN xor(rem, cur) ELSE rem END, CASE WHEN g<>cur THEN g WHEN rem=cur THEN 0 ELSE {_LOW.format('(xor(rem, cur))')} END, CASE WHEN g=cur THEN cur ELSE 0 END FROM (SELECT *, {_GROWN} AS g FROM fl WHERE rem<>0)),
+ cs AS (SELECT image_id, point, done AS mask, bit_count(done) AS area, max(v) AS sc, min(x) AS x1, min(y) AS y1, max(x) AS x2, max(y) AS y2 FROM fl JOIN raster USING (image_id) WHERE done<>0 AND bit_count(done)>=2 AND (done & {_BIT})<>0 GROUP BY 1,2,3),
+ ps AS (SELECT * FROM cs QUALIFY row_number() OVER (PARTITION BY image_id, point ORDER BY sc DESC, area DESC, x1, y1, x2, y2, mask & -mask)<=8),
+ tm AS (SELECT image_id, label, CAST(sum({_BIT}) AS HUGEINT) AS tmask FROM tc GROUP BY 1,2), tn AS (SELECT image_id, count(*) AS truths, min(label) AS a, max(label) AS b FROM tm GROUP BY 1),
+ ok AS (SELECT image_id, point, mask, label FROM ps JOIN tm USING (image_id) WHERE bit_count(mask & tmask)/CAST(bit_count(mask | tmask) AS DOUBLE)+1e-12>=0.25),
+ mt AS (SELECT image_id, point, CASE WHEN count(DISTINCT label)=2 AND count(DISTINCT mask)>=2 THEN 2 ELSE 1 END AS m FROM ok GROUP BY 1,2),
+ im AS (SELECT image_id, label<5 AS clean, 'c'||(label%3) AS category, coalesce(truths,0) AS truths FROM (SELECT DISTINCT image_id, label FROM raster) LEFT JOIN tn USING (image_id)),
+ pn AS (SELECT image_id, point, count(*) AS n FROM ps GROUP BY 1,2), pi AS (SELECT th.point, th.t, im.*, coalesce(n,0) AS n, coalesce(m,0) AS m FROM th CROSS JOIN im LEFT JOIN pn ON pn.point=th.point AND pn.image_id=im.image_id LEFT JOIN mt ON mt.point=th.point AND mt.image_id=im.image_id),
+ cv AS (SELECT CAST(point AS INTEGER) AS point, t AS threshold, sum(n) FILTER (clean)/CAST(count(*) FILTER (clean) AS DOUBLE) AS clean_fp, count(*) FILTER (clean AND n>0)/CAST(count(*) FILTER (clean) AS DOUBLE) AS clean_any, sum(m) FILTER (NOT clean)/CAST(sum(truths) FILTER (NOT clean) AS DOUBLE) AS sensitivity,
+   avg(m/CAST(truths AS DOUBLE)) FILTER (NOT clean AND truths>0) AS macro_recall, count(*) FILTER (NOT clean AND m>0)/CAST(count(*) FILTER (NOT clean) AS DOUBLE) AS image_sensitivity, sum(m) FILTER (NOT clean)/CAST(nullif(sum(n),0) AS DOUBLE) AS precision, sum(n)/CAST(count(*) AS DOUBLE) AS proposals_per_image FROM pi GROUP BY 1,2) """
 
 
-def curve(t):
-    """All thresholds in one labelling run: the threshold number joins the image key."""
-    maps = t.raster.select("image_id", "label", "y", "x", "v")
-    thr = checkpointed(ve.thresholds(maps, 6).select(F.posexplode("thr").alias("k", "threshold")))  # six rows
-    sid = (F.col("image_id") * 16 + F.col("k")).alias("sid")
-    cut = maps.crossJoin(F.broadcast(thr)).where(F.col("v") >= F.col("threshold"))
-    top, pix = ra.extract_proposals(cut.select(sid, "y", "x", "v").withColumnRenamed("sid", "image_id"), F.lit(float("-inf")), H, W, minimum=2)
-    tr = t.raster_truth.withColumn("truth", F.lit(1))
-    size = t.raster_truth.groupBy("image_id").agg(F.count("*").alias("t"))
-    hit = (pix.select(F.floor(F.col("image_id") / 16).alias("im"), F.col("image_id").alias("sid"), "label", "y", "x").withColumnRenamed("im", "image_id").join(tr, ["image_id", "y", "x"], "left")
-           .groupBy("image_id", "sid", "label").agg(F.count("*").alias("a"), F.count("truth").alias("i")).join(size, "image_id", "left"))
-    ok = F.col("i") / (F.col("a") + F.col("t") - F.col("i")) + 1e-12 >= 0.25
-    per = hit.groupBy("sid").agg(F.count("*").alias("n"), F.max(F.coalesce(ok, F.lit(False)).cast("int")).alias("m"))  # one truth region per positive
-    base = maps.groupBy("image_id").agg((F.max("label") < 5).alias("clean")).crossJoin(F.broadcast(thr)).select("*", sid)
-    j = base.join(per, "sid", "left")
-    n = lambda c: F.count(F.when(c, 1))
-    z = F.coalesce("n", F.lit(0))
-    m = F.sum(F.when(~F.col("clean"), F.coalesce("m", F.lit(0))))
-    return j.groupBy("threshold").agg((F.sum(F.when(F.col("clean"), z)) / n(F.col("clean"))).alias("clean_fp"), (n(F.col("clean") & (z > 0)) / n(F.col("clean"))).alias("clean_any"),
-                                      (m / n(~F.col("clean"))).alias("sensitivity"), F.when(F.sum(z) > 0, m / F.sum(z)).alias("precision"))
+def calibration(t):
+    """Curve and categories at 101 pooled quantiles and one threshold above the maximum."""
+    second = (F.col("label").isin(5, 6) & (F.col("y") >= 6) & (F.col("x") >= 4)) | (F.col("label").isin(8, 9) & (F.col("y") <= 1) & (F.col("x") <= 3))
+    told = t.raster_truth.unionByName(t.raster.where((F.col("image_id") % 3 == 0) & second).select("image_id", "y", "x")).distinct()
+    truths = checkpointed(ra.label_components(told, H, W).withColumnRenamed("label", "truth"))
+    images = t.vectors.select(F.col("vec_id").alias("image_id"), (F.col("label") < 5).alias("clean"), F.concat(F.lit("c"), F.col("label") % 3).alias("category"))
+    return ct.calibration_points(t.raster.select("image_id", "y", "x", "v"), truths, images, minimum=2)
 
 
-_R = ["threshold", "clean_fp", "clean_any", "sensitivity", "precision"]
+_R = ["threshold", "clean_fp", "clean_any", "sensitivity", "macro_recall", "image_sensitivity", "precision", "proposals_per_image"]
 
 
-@query("v05_calibration_curve", "raster_truth", CURVE + "SELECT " + ", ".join(f"round({c},6) AS {c}" for c in _R) + " FROM cv")
+@query("v05_calibration_curve", "raster_truth", CURVE + "SELECT point, " + ", ".join(f"round({c},6) AS {c}" for c in _R) + """, NOT EXISTS (SELECT 1 FROM cv o WHERE o.clean_fp<=cv.clean_fp AND o.sensitivity>=cv.sensitivity AND (o.clean_fp<cv.clean_fp OR o.sensitivity>cv.sensitivity)) AS nondominated FROM cv""")
 def _(t):
-    return curve(t).select(*[r6(c).alias(c) for c in _R])
+    return fu.pareto(checkpointed(calibration(t)[0])).select("point", *[r6(c).alias(c) for c in _R], "nondominated")
+
+
+@query("v05_category_sensitivity", "raster_truth", CURVE + "SELECT CAST(point AS INTEGER) AS point, category, round(sum(m)/CAST(sum(truths) AS DOUBLE),6) AS sensitivity FROM pi WHERE NOT clean GROUP BY 1,2")
+def _(t):
+    return calibration(t)[1].select("point", "category", r6("sensitivity").alias("sensitivity"))
 
 
 @query("v06_calibrate", "raster_truth", CURVE + """, x AS (SELECT b, threshold AS t, max(CASE WHEN clean_fp>b THEN 1 ELSE 0 END) OVER (PARTITION BY b ORDER BY threshold DESC) AS c FROM cv, (SELECT CAST(unnest([0.25,0.5,1.0]) AS DOUBLE) AS b)),
- gx AS (SELECT b, coalesce(min(t) FILTER (c=0),(SELECT max(threshold) FROM cv)) AS t FROM x GROUP BY 1) SELECT b AS budget, round(min(t) OVER (ORDER BY b),6) AS threshold FROM gx""")
+ gx AS (SELECT b, coalesce(min(t) FILTER (c=0),(SELECT max(threshold) FROM cv)) AS t FROM x GROUP BY 1) SELECT b AS budget, round(t,6) AS threshold, round(clean_fp,6) AS clean_fp, round(clean_any,6) AS clean_any FROM (SELECT b, min(t) OVER (ORDER BY b) AS t FROM gx) JOIN cv ON cv.threshold=t""")
 def _(t):
-    return fu.first_crossing(checkpointed(curve(t))).withColumn("threshold", r6("threshold"))
+    c = checkpointed(calibration(t)[0])
+    return fu.first_crossing(c).join(F.broadcast(c), "threshold").select("budget", *[r6(m).alias(m) for m in ("threshold", "clean_fp", "clean_any")])  # a row a threshold
 
 
 _PM = """, pm AS (SELECT image_id, p AS proposal_id, y, x FROM raster, (VALUES (0),(1)) pp(p) WHERE y BETWEEN (label+p*2)%6 AND (label+p*2)%6+2 AND x BETWEEN (image_id+p)%6 AND (image_id+p)%6+2)"""
