@@ -375,29 +375,6 @@ def entropy(df: DataFrame, keys: Sequence[str], v: str, bins: int = 32) -> DataF
     return b.join(t, list(keys)).groupBy(*keys).agg((F.sum(-p * F.log2(p)) / 5.0).alias("entropy"))
 
 
-def tile_scores(df: DataFrame, v: str, height: int, width: int, sizes: Sequence[int]) -> DataFrame:
-    """Overlapping half-step tiles: mean, deviation and entropy scaled to the image, averaged per pixel.
-
-    A pixel is sent to the few tiles that cover it; tiles aggregate map-side.
-    """
-    out = None
-    for size in sizes:
-        step = max(1, size // 2)
-        def cover(c: str, n: int) -> Column:
-            last = max(n - size, 0) // step
-            return F.explode(F.sequence(F.greatest(F.ceil((F.col(c) - size + 1) / step), F.lit(0)), F.least(F.floor(F.col(c) / step), F.lit(last))))
-        t = (df.select(*PIXEL, F.col(v).alias("v")).where((F.col("y") < (max(height - size, 0) // step) * step + size) & (F.col("x") < (max(width - size, 0) // step) * step + size))
-             .withColumn("ty", cover("y", height)).withColumn("tx", cover("x", width)).withColumn("size", F.lit(size)))
-        out = t if out is None else out.unionByName(t)
-    key = ["image_id", "size", "ty", "tx"]
-    stats = out.groupBy(*key).agg(F.avg("v").alias("mean"), F.stddev_pop("v").alias("dev")).join(entropy(out, key, "v"), key)
-    feats = ["mean", "dev", "entropy"]
-    long = stats.unpivot([*key], feats, "name", "f")
-    q = exact_quantiles(long, ["image_id", "name"], "f", {"p90": 0.90, "p97": 0.97})
-    score = (long.join(q, ["image_id", "name"]).select(*key, (F.least("f", "p97") / F.greatest(F.col("p90"), F.lit(1e-6))).alias("s")).groupBy(*key).agg(F.avg("s").alias("s")))
-    return (out.select(*PIXEL, *key[1:]).join(score.withColumn("s", F.greatest(F.lit(0.0), F.least(F.lit(1.0), F.col("s")))), key).groupBy(*PIXEL).agg(F.avg("s").alias("tile_score")))
-
-
 # ---- candidates -----------------------------------------------------------------------------
 def reject_reason(minimum: int, image_area: int, largest: float = 0.85) -> Column:
     """First rule a candidate breaks, in order; null when it stays."""

@@ -7,6 +7,7 @@ from ..core import checkpointed, r6
 from ..operators import component_tree as ct
 from ..operators import fusion as fu
 from ..operators import raster as ra
+from ..operators import tiles as tl
 from .registry import query
 
 H = W = 8
@@ -22,6 +23,10 @@ def bgr(t):
     return d.withColumn("gray", ra.gray(F.col("b"), F.col("gg"), F.col("r")))
 
 
+def frames(t):
+    return t.vectors.select(F.col("vec_id").alias("image_id"), F.lit(H).alias("height"), F.lit(W).alias("width"))
+
+
 def px(df, **cols):
     return df.select("image_id", "y", "x", *[c.alias(n) for n, c in cols.items()])
 
@@ -117,13 +122,33 @@ def _(t):
     return px(d, fused=r6(F.round("fused", 9)), votes=F.col("votes").cast("bigint"), seed=F.col("seed"))
 
 
-@query("r12_tile_scores", "raster", G + """, tl AS (SELECT g.image_id, s, ty, tx, g.y, g.x, g.gray FROM gy g, (VALUES (4),(6)) s(s), range(3) a(ty), range(3) b(tx) WHERE ty*(s//2)+s<=8 AND tx*(s//2)+s<=8 AND g.y BETWEEN ty*(s//2) AND ty*(s//2)+s-1 AND g.x BETWEEN tx*(s//2) AND tx*(s//2)+s-1),
- hb AS (SELECT image_id, s, ty, tx, gray*32//256 AS b, count(*) AS n FROM tl GROUP BY 1,2,3,4,5), en AS (SELECT image_id, s, ty, tx, sum(-n/CAST(s*s AS DOUBLE)*log2(n/CAST(s*s AS DOUBLE)))/5 AS e FROM hb GROUP BY 1,2,3,4),
- st AS (SELECT image_id, s, ty, tx, avg(gray) AS m, stddev_pop(gray) AS d FROM tl GROUP BY 1,2,3,4), l AS (SELECT image_id, s, ty, tx, unnest(['m','d','e']) AS nm, unnest([m,d,e]) AS f FROM st JOIN en USING (image_id,s,ty,tx)),
- q AS (SELECT image_id, nm, quantile_cont(f,0.9) AS p90, quantile_cont(f,0.97) AS p97 FROM l GROUP BY 1,2), sc AS (SELECT image_id, s, ty, tx, least(1.0,greatest(0.0,avg(least(f,p97)/greatest(p90,1e-6)))) AS sc FROM l JOIN q USING (image_id,nm) GROUP BY 1,2,3,4)
- SELECT image_id, y, x, round(avg(sc),6) AS tile_score FROM tl JOIN sc USING (image_id,s,ty,tx) GROUP BY 1,2,3""")
+_TILE_MAPS = ["sobel", "laplacian", "edges", "texture", "colour"]
+
+
+@query("r12_tile_scores", "raster", G + f""", mp AS MATERIALIZED (SELECT gy.image_id, gy.y, gy.x, b, gg, r, gray, {SQR.format('gx.c', 'gv.c')} AS sobel, abs(l.c) AS laplacian, CASE WHEN {SQR.format('gx.c', 'gv.c')}>150 THEN 255.0 ELSE 0.0 END AS edges, abs(gray-128.0) AS texture, CAST(abs(b-r) AS DOUBLE) AS colour
+   FROM gy JOIN {_conv(ra.LAPLACE)} l USING (image_id,y,x) JOIN {_conv(ra.SOBEL_X)} gx USING (image_id,y,x) JOIN {_conv(ra.SOBEL_Y)} gv USING (image_id,y,x)), gm AS (SELECT image_id, {', '.join(f'avg({c}) AS m_{c}' for c in _TILE_MAPS)} FROM mp GROUP BY 1),
+ tl AS MATERIALIZED (SELECT mp.*, s, ty, tx, (mp.y BETWEEN ty*(s//2) AND ty*(s//2)+s-1 AND mp.x BETWEEN tx*(s//2) AND tx*(s//2)+s-1) AS ins FROM mp, (VALUES (4),(5),(7)) s(s), range(3) a(ty), range(3) b(tx)
+   WHERE ty*(s//2)<=8-s AND tx*(s//2)<=8-s AND mp.y BETWEEN (ty-1)*(s//2) AND (ty+1)*(s//2)+s-1 AND mp.x BETWEEN (tx-1)*(s//2) AND (tx+1)*(s//2)+s-1),
+ hb AS (SELECT image_id, s, ty, tx, gray//8 AS k, count(*) AS n FROM tl WHERE ins GROUP BY 1,2,3,4,5), en AS (SELECT image_id, s, ty, tx, sum(-n/CAST(s*s AS DOUBLE)*log2(n/CAST(s*s AS DOUBLE)))/5 AS e FROM hb GROUP BY 1,2,3,4),
+ st AS (SELECT image_id, s, ty, tx, {', '.join(f'avg({c}) FILTER (ins) AS {c}' for c in _TILE_MAPS)}, sqrt({'+'.join(f'(avg({c}) FILTER (ins)-avg({c}))**2' for c in ('b', 'gg', 'r'))})/45 AS cd, abs(stddev_pop(gray) FILTER (ins)-stddev_pop(gray))/35 AS dv FROM tl GROUP BY 1,2,3,4),
+ l AS (SELECT image_id, s, ty, tx, unnest(range(8)) AS nm, unnest([{', '.join(f'{c}/greatest(m_{c}*2.5,20)' for c in _TILE_MAPS)}, cd, e, dv]) AS f FROM st JOIN en USING (image_id,s,ty,tx) JOIN gm USING (image_id)),
+ q AS (SELECT image_id, nm, quantile_cont(f,0.97) AS p97 FROM l GROUP BY 1,2), lc AS (SELECT l.*, least(f,p97) AS c FROM l JOIN q USING (image_id,nm)), u AS (SELECT image_id, nm, quantile_cont(c,0.9) AS p90 FROM lc GROUP BY 1,2),
+ sc AS (SELECT image_id, s, ty, tx, least(1.0,greatest(0.0,avg(c/greatest(p90,1e-6)))) AS sc FROM lc JOIN u USING (image_id,nm) GROUP BY 1,2,3,4)
+ SELECT image_id, y, x, round(coalesce(v,0),6) AS tile_score FROM mp LEFT JOIN (SELECT image_id, y, x, avg(sc) AS v FROM tl JOIN sc USING (image_id,s,ty,tx) WHERE ins GROUP BY 1,2,3) USING (image_id,y,x)""")
+def _(t):
+    n = ra.neighbours(bgr(t), "gray")
+    gx, gy = ra.kernel(ra.SOBEL_X), ra.kernel(ra.SOBEL_Y)
+    d = n.select("image_id", "y", "x", "b", "gg", "r", "gray", F.sqrt(gx * gx + gy * gy).alias("sobel"), F.abs(ra.kernel(ra.LAPLACE)).alias("laplacian"), F.abs(F.col("gray") - 128).alias("texture"), F.abs(F.col("b") - F.col("r")).alias("colour"))
+    d = d.withColumn("edges", F.when(F.col("sobel") > 150, 255.0).otherwise(0.0))
+    return px(tl.tile_scores(d, frames(t), _TILE_MAPS, ["b", "gg", "r"], ratios=(0.5, 0.65, 0.9), least=4), tile_score=r6("tile_score"))
+
+
+@query("r12_detector_tile_scores")
 def _(t):
-    return px(ra.tile_scores(bgr(t), "gray", H, W, [4, 6]), tile_score=r6("tile_score"))
+    maps = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2)
+    lab = ra.lab(F.col("b"), F.col("g"), F.col("r"))
+    d = checkpointed(maps.select("image_id", "y", "x", "gray", *_TILE_MAPS, *[v.alias(f"lab_{k}") for k, v in lab.items()]))
+    return px(tl.tile_scores(d, frames(t), _TILE_MAPS, [f"lab_{k}" for k in lab], ratios=(0.5, 0.65, 0.9), least=4), tile_score=r6("tile_score"))
 
 
 # ---- masks --------------------------------------------------------------------------------
