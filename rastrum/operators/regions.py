@@ -136,8 +136,8 @@ def measures(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
         F.max(F.element_at("runs", -1)["b"]).alias("x2"), (F.max("y") + 1).alias("y2"))
 
 
-def parts(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
-    """Rows of the 8-connected parts of every region, with ``first`` = (y, a) of the part's first run.
+def parts(rows: DataFrame, ids: Sequence[str], diagonal: bool = True) -> DataFrame:
+    """Rows of the 8-connected (else 4-connected) parts of every region, with ``first`` = (y, a) of the part's first run.
 
     Runs that touch in neighbouring rows are edges; the smallest run of a part is its first in reading order."""
     ids = list(ids)
@@ -147,7 +147,8 @@ def parts(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
     on = F.col("y") == F.col("b_y")
     for c in ids:
         on = on & (F.col(c) == F.col(f"b_{c}"))
-    touching = F.flatten(F.transform("runs", lambda r: F.transform(F.filter("next", lambda s: (s["a"] <= r["b"]) & (r["a"] <= s["b"])), lambda s: F.struct(r["a"].alias("p"), s["a"].alias("q")))))
+    reach = 1 if diagonal else 0
+    touching = F.flatten(F.transform("runs", lambda r: F.transform(F.filter("next", lambda s: (s["a"] < r["b"] + reach) & (r["a"] < s["b"] + reach)), lambda s: F.struct(r["a"].alias("p"), s["a"].alias("q")))))
     edges = named.join(below, on).select(*ids, "y", F.explode(touching).alias("t")).select(node(F.col("y"), F.col("t.p")).alias("src"), node(F.col("y") + 1, F.col("t.q")).alias("dst"))
     runs = named.select(*ids, "y", *SIZE, F.explode("runs").alias("r")).withColumn("node", node(F.col("y"), F.col("r.a")))
     label = connected_components(runs.select("node"), edges)
@@ -155,6 +156,44 @@ def parts(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
     return found.groupBy(*ids, "first", "y", *SIZE).agg(F.array_sort(F.collect_list("r")).alias("runs")).select(*ids, "first", "y", "runs", *SIZE)
 
 
+def outer_contours(rows: DataFrame, frames: DataFrame) -> DataFrame:
+    """Rows of the outlines that face the outside, one pixel wide: pixels of an image's region next to (not just
+    diagonally) the frame's edge or background that reaches it. Outlines of holes, and regions inside holes, are left out.
+
+    ``frames``: image_id, height, width. Background is 4-connected, so its parts are those that 8-connected regions divide."""
+    none = F.expr("CAST(array() AS array<struct<a:int,b:int>>)")
+    every = frames.select("image_id", *SIZE, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("height").cast("bigint") - 1)).alias("y"))
+    back = every.join(rows.select("image_id", "y", "runs"), ["image_id", "y"], "left").withColumn("runs", holes(F.coalesce("runs", none), F.col("width")))
+    found = checkpointed(parts(back.where(F.size("runs") > 0), IMAGE, diagonal=False))
+    at_edge = (F.col("y") == 0) | (F.col("y") == F.col("height") - 1) | F.exists("runs", lambda r: (r["a"] == 0) | (r["b"] == F.col("width")))
+    outer = found.join(found.where(at_edge).select("image_id", "first").distinct(), ["image_id", "first"], "left_semi")
+    plus = F.array(*[_kernel_row(F.lit(dy), F.lit(reach)) for dy, reach in ((-1, 0), (0, 1), (1, 0))])
+    near = dilated(outer, IMAGE, plus).select("image_id", "y", F.col("runs").alias("near"))
+    width = F.col("width")
+    edge = F.when((F.col("y") == 0) | (F.col("y") == F.col("height") - 1), F.array(run(F.lit(0), width))).otherwise(F.array(run(F.lit(0), F.lit(1)), run(width - 1, width)))
+    faced = merged(F.concat(F.coalesce("near", none), edge))
+    return rows.join(near, ["image_id", "y"], "left").select("image_id", "y", common(F.col("runs"), faced).alias("runs"), *SIZE).where(F.size("runs") > 0)
+
+
+def leading_parts(rows: DataFrame, keep: int = 8) -> DataFrame:
+    """(image_id, rank, area, x1, y1, x2, y2) of the first 8-connected parts of each image's region, numbered as two-row labelling
+    meets them: by their first 2 x 2 block in reading order (no block holds two parts)."""
+    start, end = F.get("runs", 0)["a"], F.element_at("runs", -1)["b"]
+    block = F.struct(F.floor(F.col("y") / 2).alias("y"), F.floor(start / 2).alias("x"))
+    g = parts(rows, IMAGE).groupBy("image_id", "first").agg(F.min(block).alias("block"), F.sum(length(F.col("runs"))).alias("area"), F.min(start).cast("bigint").alias("x1"), F.min("y").alias("y1"), F.max(end).cast("bigint").alias("x2"), (F.max("y") + 1).alias("y2"))
+    w = Window.partitionBy("image_id").orderBy("block")
+    return g.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= keep).select("image_id", "rank", "area", "x1", "y1", "x2", "y2")
+
+
+def baseline_masks(edges: DataFrame, strength: DataFrame, frames: DataFrame, level: float = 128, keep: int = 8) -> DataFrame:
+    """(method, image_id, rank, area, x1, y1, x2, y2) of the two simple methods: outlines of the edges, and strength above a level.
+
+    ``edges``: image_id, y, x; ``strength``: image_id, y, x, v. An image without parts has no rows; null strength is not above."""
+    contour = leading_parts(outer_contours(rows_of_pixels(edges, frames), frames), keep).withColumn("method", F.lit("contour-only baseline"))
+    fixed = leading_parts(rows_of_pixels(strength.where(F.col("v") > level).select("image_id", "y", "x"), frames), keep).withColumn("method", F.lit("fixed-threshold baseline"))
+    return contour.unionByName(fixed)
+
+
 def heat_rows(pixels: DataFrame, value: str = "v") -> DataFrame:
     """(image_id, y, v): one array a row of pixels, x from 0."""
     return pixels.groupBy("image_id", "y").agg(F.transform(F.array_sort(F.collect_list(F.struct("x", F.col(value).cast("double").alias("v")))), lambda p: p["v"]).alias("v"))

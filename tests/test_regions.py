@@ -284,3 +284,40 @@ def test_merge_similar(spark, spread):
     features = heat_of(spark, texture, "texture").join(heat_of(spark, colour, "colour"), ["image_id", "y"])
     merges = check_merge(spark, masks, regions.merge_similar(rows_of(spark, masks), features), may_of, unite_of)
     assert merges > 3 and branches == {0, 1, 2}
+
+
+def outside(mask):
+    """Background that reaches the frame's edge by 4-neighbours, with a frame of background around."""
+    h, w = mask.shape
+    free = np.pad(~mask, 1, constant_values=True)
+    seen, todo = np.zeros_like(free), [(0, 0)]
+    while todo:
+        y, x = todo.pop()
+        if 0 <= y < h + 2 and 0 <= x < w + 2 and free[y, x] and not seen[y, x]:
+            seen[y, x] = True
+            todo += [(y + 1, x), (y - 1, x), (y, x + 1), (y, x - 1)]
+    return seen
+
+
+def test_baselines_of_nested_regions(spark):
+    rng = np.random.default_rng(9)
+    masks = {i: rng.random(s) < share for i, (s, share) in enumerate([((14, 17), 0.55), ((14, 17), 0.8), ((9, 9), 0.3), ((1, 6), 0.5), ((6, 1), 0.7), ((4, 4), 0.0)])}
+    nested = np.zeros((15, 15), bool)
+    for r, on in ((7, True), (6, False), (4, True), (3, False), (1, True)):  # rings in rings
+        nested[7 - r:8 + r, 7 - r:8 + r] = on
+    masks[6] = np.pad(nested, 2)
+    frames = spark.createDataFrame([(i, *m.shape) for i, m in masks.items()], "image_id bigint, height int, width int")
+    pixels = [(i, int(y), int(x)) for i, m in masks.items() for y, x in zip(*np.nonzero(m))]
+    edges = spark.createDataFrame(pixels, "image_id bigint, y bigint, x bigint")
+    strength = spark.createDataFrame([(i, y, x, 129.0 if (y + x) % 5 else 128.0) for i, y, x in pixels], "image_id bigint, y bigint, x bigint, v double")
+    want = set()
+    for i, m in masks.items():
+        o = outside(m)
+        contour = m & (o[:-2, 1:-1] | o[2:, 1:-1] | o[1:-1, :-2] | o[1:-1, 2:])
+        ys, xs = np.mgrid[:m.shape[0], :m.shape[1]]
+        for method, mask in (("contour-only baseline", contour), ("fixed-threshold baseline", m & ((ys + xs) % 5 > 0))):
+            order = sorted(parts(mask), key=lambda p: min((int(y) // 2, int(x) // 2) for y, x in zip(*np.nonzero(p))))
+            want |= {(method, i, k, int(p.sum()), *map(int, box(p))) for k, p in enumerate(order[:8], 1)}
+    got = regions.baseline_masks(edges, strength, frames).select("method", "image_id", "rank", "area", "x1", "y1", "x2", "y2").collect()
+    assert {tuple(r) for r in got} == want and len(got) == len(want)
+    assert sum(r["image_id"] == 6 and r["method"] == "contour-only baseline" for r in got) == 1  # only the outermost ring
