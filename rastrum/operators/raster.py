@@ -386,10 +386,13 @@ def reject_reason(minimum: int, image_area: int, largest: float = 0.85) -> Colum
 
 
 def funnel(candidates: DataFrame, stages: Sequence[str]) -> DataFrame:
-    """Candidates still alive after each stage and the score range, per image."""
+    """Candidates still alive after each stage and the score range, per image.
+
+    Scores are rounded as SQL rounds doubles: ten times the score to the nearest integer."""
+    r1 = lambda c: F.round(c * 10) / 10
     base = candidates.groupBy("image_id").agg(F.count("*").alias("raw"), *[F.count(F.when(F.col(s), 1)).alias(s) for s in stages],
-                                              F.round(F.min("score"), 1).alias("minimum_score"), F.round(F.max("score"), 1).alias("maximum_score"))
-    med = exact_quantiles(candidates, ["image_id"], "score", {"median_score": 0.5}).withColumn("median_score", F.round("median_score", 1))
+                                              r1(F.min("score")).alias("minimum_score"), r1(F.max("score")).alias("maximum_score"))
+    med = exact_quantiles(candidates, ["image_id"], "score", {"median_score": 0.5}).withColumn("median_score", r1(F.col("median_score")))
     return base.join(med, "image_id")
 
 
