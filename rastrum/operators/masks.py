@@ -33,12 +33,18 @@ def tiled(boxes: DataFrame, size: int = CELL) -> DataFrame:
 
 
 def box_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str], size: int = CELL,
-                 l_prefix: str = "l_", r_prefix: str = "r_") -> DataFrame:
+                 l_prefix: str = "l_", r_prefix: str = "r_", tiles: bool = True) -> DataFrame:
     """Pairs of boxes that intersect, with the intersection area, each pair once.
 
     Both sides are cut into tiles; a pair is kept only in the tile that owns the top-left corner
-    of its intersection, so no de-duplication is needed.
+    of its intersection, so no de-duplication is needed. Without ``tiles``, for groups known to be
+    small, boxes meet on ``on`` alone, which keeps the partitioning they have.
     """
+    if not tiles:
+        solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+        side = lambda d, p: d.where(solid).select(*on, *[F.col(c).alias(p + c) for c in d.columns if c not in on])
+        over = lambda a, b: F.least(F.col(f"{l_prefix}{b}"), F.col(f"{r_prefix}{b}")) - F.greatest(F.col(f"{l_prefix}{a}"), F.col(f"{r_prefix}{a}"))
+        return side(left, l_prefix).join(side(right, r_prefix), list(on)).where((over("x1", "x2") > 0) & (over("y1", "y2") > 0)).withColumn("intersection", over("x1", "x2") * over("y1", "y2"))
     lt = tiled(left, size).select(*on, "tx", "ty", *[F.col(c).alias(l_prefix + c) for c in left.columns if c not in on])
     rt = tiled(right, size).select(*on, "tx", "ty", *[F.col(c).alias(r_prefix + c) for c in right.columns if c not in on])
     j = lt.join(rt, [*on, "tx", "ty"])
@@ -96,16 +102,18 @@ def pair_matrix(proposal_runs: DataFrame, truth_runs: DataFrame) -> DataFrame:
     return j.select(*key, *_measures(i, F.col("pa"), F.col("ta")), F.coalesce("inside", F.lit(False)).alias("centroid_inside"))
 
 
-def box_pairs(proposals: DataFrame, truths: DataFrame) -> DataFrame:
-    """`pair_matrix` for rectangular masks, straight from the boxes (centroid is always inside the box)."""
-    p = proposals.select("image_id", "method", "proposal_id", "x1", "y1", "x2", "y2")
+def box_pairs(proposals: DataFrame, truths: DataFrame, tiles: bool = True, keep: Sequence[str] = ()) -> DataFrame:
+    """`pair_matrix` for rectangular masks, straight from the boxes (centroid is always inside the box).
+
+    ``keep`` names further columns of the proposals to hand on."""
+    p = proposals.select("image_id", "method", "proposal_id", "x1", "y1", "x2", "y2", *keep)
     t = truths.select("image_id", "truth_id", "x1", "y1", "x2", "y2")
-    j = box_overlaps(p, t, ["image_id"])
+    j = box_overlaps(p, t, ["image_id"], tiles=tiles)
     a = lambda s: area(*[F.col(f"{s}_{c}") for c in ("x1", "y1", "x2", "y2")])
     cx, cy = F.floor((F.col("l_x1") + F.col("l_x2") - 1) / 2), F.floor((F.col("l_y1") + F.col("l_y2") - 1) / 2)
     inside = (cx >= F.col("r_x1")) & (cx < F.col("r_x2")) & (cy >= F.col("r_y1")) & (cy < F.col("r_y2"))
     return j.select("image_id", F.col("l_method").alias("method"), F.col("l_proposal_id").alias("proposal_id"),
-                    F.col("r_truth_id").alias("truth_id"), *_measures(F.col("intersection"), a("l"), a("r")), inside.alias("centroid_inside"))
+                    F.col("r_truth_id").alias("truth_id"), *_measures(F.col("intersection"), a("l"), a("r")), inside.alias("centroid_inside"), *[F.col(f"l_{c}").alias(c) for c in keep])
 
 
 # ---- run-length code ----------------------------------------------------------------------
