@@ -3,6 +3,7 @@ import hashlib
 import random
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from rastrum.llm import repeats as R
@@ -92,3 +93,17 @@ def test_colliding_prefix_hashes_remove_nothing(spark, monkeypatch, most):
     docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
     monkeypatch.setattr(R, "PrefixHash", Weak)
     assert got(docs, 400, most_contexts=most) == brute(rows, 400)
+
+
+def test_lists_become_objects_a_few_thousand_at_a_time():
+    """Batches hold up to 10,000 texts: their places as Python objects would take many times a worker's share."""
+    rng = random.Random(9)
+    texts = ["x" * rng.choice((0, 10, 3_000_000)) for _ in range(40)] + ["y" * 50] * 3000
+    places = [None if i % 7 == 0 else [{"at": j} for j in range(rng.choice((0, 3, 9000)) if i < 40 else 14)] for i in range(3040)]
+    batch = pa.record_batch({"text": texts, "places": places}).slice(1)
+    parts = list(R._small(batch, "text", "places"))
+    assert pa.Table.from_batches(parts).equals(pa.Table.from_batches([batch]))
+    for p in parts:
+        rows = p.to_pylist()
+        assert len(rows) == 1 or sum(len(r["text"]) for r in rows) <= R.OBJECT_BYTES and sum(len(r["places"] or ()) for r in rows) <= R.OBJECTS
+    assert len(parts) < 300
