@@ -143,11 +143,12 @@ def mixed_documents(docs: DataFrame, **how) -> DataFrame:
     """The columns of ``docs``, a row for each copy the mix takes, in training order. A copy cut at the
     end of its source's target stays whole if at least half of its words are due, else it goes."""
     chosen = mix(docs, **how).select("doc_id", "text_key", F.filter("copies", lambda c: c["words"] * 2 >= F.col("size")).alias("copies"))
-    # repeated rows: the n-th row of an id and text meets the n-th set of copies
-    nth = Window.partitionBy("doc_id", "text_key").orderBy(F.lit(1))
-    left = docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key")).withColumn("nth", F.row_number().over(nth))
-    right = chosen.withColumn("nth", F.row_number().over(nth)).where(F.size("copies") > 0).select(
-        F.col("doc_id").alias("c_id"), F.col("text_key").alias("c_key"), F.col("nth").alias("c_nth"), "copies")
-    both = left.join(right, all_equal([left["doc_id"], left["text_key"], left["nth"]], [right["c_id"], right["c_key"], right["c_nth"]]))
+    # repeated rows: the n-th row of an id and text takes the n-th set of copies. Numbering, grouping and join have
+    # one set of keys, without nulls, so that the texts are dealt out once for all three
+    keys = ["id_key", "no_id", "text_key"]
+    keyed = lambda d: d.withColumns({"no_id": F.col("doc_id").isNull(), "id_key": F.coalesce("doc_id", F.lit("0").cast(docs.schema["doc_id"].dataType))})
+    left = keyed(docs.select(F.struct("*").alias("row"), "doc_id", F.xxhash64("text").alias("text_key"))).withColumn("nth", F.row_number().over(Window.partitionBy(*keys).orderBy(F.lit(1))))
+    right = keyed(chosen.where(F.size("copies") > 0)).groupBy(*keys).agg(F.collect_list("copies").alias("sets"))
+    both = left.join(right, keys).select("row", "doc_id", F.get("sets", F.col("nth") - 1).alias("copies"))
     copies = both.select("row", "doc_id", F.explode("copies").alias("c")).select("row", "doc_id", "c.position", "c.pass")
     return by_position(copies, "doc_id", "pass").select("row.*")

@@ -154,9 +154,16 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth:
             columns.setdefault(np.packbits(h).tobytes(), (rule, h))  # of equal columns the first
     if not columns:
         return base
-    rules, z = [r for r, _ in columns.values()], np.stack([h for _, h in columns.values()], axis=1).astype(float)
-    scale = z.std(axis=0)
-    centred = (z - z.mean(axis=0)) / scale
+    rules, z = [r for r, _ in columns.values()], np.empty((n, len(columns)))
+    for k, (_, h) in enumerate(columns.values()):
+        z[:, k] = h
+    columns.clear()
+    # in place and in blocks of columns: one matrix of rules is all that the driver holds
+    shift = z.mean(axis=0)
+    scale = np.concatenate([z[:, a:a + 32].std(axis=0) for a in range(0, z.shape[1], 32)])
+    z -= shift
+    z /= scale
+    centred = z
     step = 4.0 / max(np.linalg.eigvalsh(centred.T @ centred / n)[-1], 1e-9)
     w, bias, ahead, ahead_bias, t = np.zeros(z.shape[1]), base.bias, np.zeros(z.shape[1]), base.bias, 1.0
     for _ in range(rounds):  # accelerated proximal gradient
@@ -169,7 +176,7 @@ def fit(x: np.ndarray, y: np.ndarray, names: list[str], trees: int = 60, depth:
         w, bias, t = nw, nb, nt
     kept = np.flatnonzero(w)
     weight = w[kept] / scale[kept]
-    bias -= float((weight * z.mean(axis=0)[kept]).sum())
+    bias -= float((weight * shift[kept]).sum())
     return RuleModel(float(bias), tuple((tuple((names[f], a, c) for f, a, c in rules[k]), float(v)) for k, v in zip(kept, weight, strict=True)))
 
 

@@ -41,8 +41,8 @@ def connected_components(nodes: DataFrame, edges: DataFrame, node: str = "node",
             F.col("a.id").alias("id"), F.col("a.f").alias("f"), F.col("b.f").alias("g"))
         near = (both.join(gp.select(F.col("id").alias("dst"), "g"), "dst").groupBy("src").agg(F.min("g").alias("m")))
         step = gp.join(near, gp["id"] == near["src"]).select("id", "f", "g", "m")
-        proposals = (step.select(F.col("id").alias("x"), F.least("g", "m").alias("y"))
-                     .unionByName(step.select(F.col("f").alias("x"), F.col("m").alias("y"))))
+        # both proposals of a row at once: a union would plan and run the joins twice
+        proposals = step.select(F.explode(F.array(F.struct(F.col("id").alias("x"), F.least("g", "m").alias("y")), F.struct(F.col("f").alias("x"), F.col("m").alias("y")))).alias("p")).select("p.*")
         best = proposals.groupBy("x").agg(F.min("y").alias("y"))
         new = checkpointed(f.join(best, f["id"] == best["x"]).select("id", F.least("f", "y").alias("f"), F.col("f").alias("old")))
         changed = not new.where("f <> old").limit(1).isEmpty()

@@ -75,6 +75,33 @@ def test_mixed_documents_keep_columns_and_rows(spark):
     assert repeated <= 4
 
 
+def test_texts_are_dealt_out_twice_at_most(spark):
+    """Once to meet their copies, once for the order of training."""
+    old = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        exchanges, nodes = 0, [mixing.mixed_documents(real_docs(spark))._jdf.queryExecution().executedPlan().initialPlan()]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
+    while nodes:
+        node = nodes.pop()
+        wide = any(a.name() == "row" for a in (node.output().apply(i) for i in range(node.output().size())))
+        exchanges += wide and "Exchange" in node.nodeName()
+        nodes += [node.children().apply(i) for i in range(node.children().size())]
+    assert exchanges == 2
+
+
+def test_repeated_rows_take_a_set_of_copies_each(spark):
+    docs = real_docs(spark).limit(20).crossJoin(spark.range(3).select()).unionByName(real_docs(spark).limit(5))
+    chosen = mixing.mix(docs).collect()
+    want, got = defaultdict(int), defaultdict(int)
+    for r in chosen:
+        want[r["doc_id"]] += sum(2 * c["words"] >= r["size"] for c in r["copies"])
+    for r in mixing.mixed_documents(docs).collect():
+        got[r["doc_id"]] += 1
+    assert got == {k: n for k, n in want.items() if n} and max(got.values()) > 2
+
+
 def test_empty(spark):
     assert mixing.mix(no_docs(spark)).count() == 0
     assert mixing.mixed_documents(no_docs(spark)).count() == 0
