@@ -1,11 +1,13 @@
 """Small hand-made cases: assignment, thresholds at the edge, ties, metric denominators, rankings."""
 import itertools
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastrum.operators import graph, masks, matching, metrics, raster, splits
+from rastrum.operators import graph, masks, matching, metrics, raster, splits, vectors
 from rastrum.operators.matching import _best_assignment
 
 
@@ -109,6 +111,28 @@ def test_run_length_code(spark):
     assert back == {(0, 0, 3), (1, 0, 3), (2, 1, 2)}
 
 
+def test_large_banks_meet_in_blocks(spark, monkeypatch):
+    """Exact neighbours from blocks of both sides of one table, without a row for a pair."""
+    rng = np.random.default_rng(6)
+    x = np.round(rng.normal(size=(400, 3)) * 2) / 2  # many ties
+    rows = [(i, v.tolist()) for i, v in enumerate(x)]
+    v = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>")
+    monkeypatch.setattr(vectors, "QUERY_ROWS", 70)
+    monkeypatch.setattr(vectors, "BANK_ROWS", 30)
+    spark.conf.set("spark.rastrum.memoryRows", "10")
+    try:
+        near = vectors.knn(v.where("vec_id % 2 = 1"), v.where("vec_id % 2 = 0"), 4)
+        plan = near._jdf.queryExecution().executedPlan().toString()
+        got = sorted((r["query_id"], r["rank"], r["vec_id"]) for r in near.collect())
+    finally:
+        spark.conf.unset("spark.rastrum.memoryRows")
+    want = []
+    for q in range(1, 400, 2):
+        d = sorted((math.dist(x[q], x[i]), i) for i in range(0, 400, 2))[:4]
+        want += [(q, n + 1, i) for n, (_, i) in enumerate(d)]
+    assert got == sorted(want) and "Join" not in plan and "CartesianProduct" not in plan
+
+
 def test_share_split_keeps_groups_and_ratio(spark):
     g = spark.range(400).select(F.col("id").alias("group_key"), (F.col("id") % 3 + 1).alias("size"), F.lit("o").alias("outcome"), F.lit("c").alias("category"))
     got = {r["split"]: r["n"] for r in splits.share_split(g, ["outcome", "category"]).groupBy("split").agg(F.sum("size").alias("n")).collect()}
