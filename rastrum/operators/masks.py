@@ -6,13 +6,12 @@ sides into grid cells, so only shapes that share a cell ever meet - not all pair
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import area, mask_dice, mask_iou, share
-from ..scale import running_sums
 
 CELL = 16
 
@@ -117,35 +116,51 @@ def box_pairs(proposals: DataFrame, truths: DataFrame, tiles: bool = True, keep:
 
 
 # ---- run-length code ----------------------------------------------------------------------
-def rle_encode(runs: DataFrame, ids: Sequence[str], width: int, height: int) -> DataFrame:
-    """Zero-first run lengths in row order, one row per run: (ids, position, bit, length).
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is computed once, however often ``then`` names it."""
+    return F.element_at(F.transform(F.array(value), then), 1)
 
-    Runs that touch across a row end are joined, so the code equals the flat one.
-    """
-    ids = list(ids)
-    flat = runs.select(*ids, (F.col("y") * width + F.col("x0")).alias("a"), (F.col("y") * width + F.col("x1")).alias("b"))
-    from pyspark.sql import Window
-    w = Window.partitionBy(*ids).orderBy("a")
-    gap = F.col("a") - F.coalesce(F.max("b").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    first = F.row_number().over(w) == 1
-    marked = flat.select(*ids, "a", "b", ((gap > 0) | first).cast("bigint").alias("new"))
-    islands = (running_sums(marked, ids, [("a", True)], {"g": F.col("new")}, hot=False)
-               .groupBy(*ids, "g").agg(F.min("a").alias("a"), F.max("b").alias("b")))
-    prev = F.coalesce(F.lag("b").over(Window.partitionBy(*ids).orderBy("g")), F.lit(0))
-    both = islands.withColumn("zero", F.col("a") - prev)
-    code = both.select(*ids, F.explode(F.array(
-        F.struct((2 * F.col("g") - 2).alias("position"), F.lit(0).alias("bit"), F.col("zero").alias("length")),
-        F.struct((2 * F.col("g") - 1).alias("position"), F.lit(1).alias("bit"), (F.col("b") - F.col("a")).alias("length")))).alias("r"))
-    tail = islands.groupBy(*ids).agg(F.max("g").alias("g"), F.max("b").alias("b")).where(F.col("b") < width * height)
-    return (code.select(*ids, "r.*").unionByName(
-        tail.select(*ids, (2 * F.col("g")).alias("position"), F.lit(0).alias("bit"), (F.lit(width * height) - F.col("b")).cast("bigint").alias("length"))))
+
+def encoded(runs: Column, width: int, height: int) -> Column:
+    """Zero-first run lengths of one mask, an array, from its array of runs (y, x0, x1).
+
+    Runs that touch across a row end are joined, so the code equals the flat one: with starts and ends sorted
+    apart, a gap follows the i-th end where the next start lies beyond it. A mask has at most height x width
+    runs, which bounds the arrays."""
+    flat = lambda c: F.sort_array(F.transform(runs, lambda r: (r["y"] * width + r[c]).cast("bigint")))
+    total = F.lit(width * height).cast("bigint")
+
+    def edges(p: Column) -> Column:
+        starts = F.filter(p["a"], lambda x, i: (i == 0) | (x > F.get(p["b"], i - 1)))
+        ends = F.filter(p["b"], lambda x, i: F.coalesce(F.get(p["a"], i + 1) > x, F.lit(True)))
+        return F.flatten(F.zip_with(starts, ends, lambda x, y: F.array(x, y)))
+
+    def lengths(e: Column) -> Column:
+        body = F.zip_with(e, F.concat(F.array(F.lit(0).cast("bigint")), F.slice(e, 1, F.size(e) - 1)), lambda x, y: x - y)
+        end = F.element_at(e, -1)
+        return F.when(end < total, F.concat(body, F.array(total - end))).otherwise(body)
+    return _with(_with(F.struct(flat("x0").alias("a"), flat("x1").alias("b")), edges), lengths)
+
+
+def decoded(code: Column, width: int) -> Column:
+    """Runs (y, x0, x1) of one mask from its run lengths."""
+    edges = F.aggregate(code, F.array(F.lit(0).cast("bigint")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+
+    def rows(e: Column) -> Column:
+        ones = F.filter(F.transform(e, lambda x, i: F.struct(x.alias("a"), F.get(e, i + 1).alias("b"), i.alias("i"))), lambda s: (s["i"] % 2 == 1) & (s["b"] > s["a"]))
+        row = lambda y, s: F.struct(y.alias("y"), (F.greatest(s["a"], y * width) - y * width).alias("x0"), (F.least(s["b"], (y + 1) * width) - y * width).alias("x1"))
+        return F.flatten(F.transform(ones, lambda s: F.transform(F.sequence(F.floor(s["a"] / width), F.floor((s["b"] - 1) / width)), lambda y: row(y, s))))
+    return _with(edges, rows)
+
+
+def rle_encode(runs: DataFrame, ids: Sequence[str], width: int, height: int) -> DataFrame:
+    """Zero-first run lengths in row order, one row per run: (ids, position, bit, length)."""
+    whole = runs.groupBy(*ids).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
+    each = whole.select(*ids, F.posexplode(encoded(F.col("runs"), width, height)).alias("position", "length"))
+    return each.select(*ids, F.col("position").cast("bigint").alias("position"), (F.col("position") % 2).alias("bit"), "length")
 
 
 def rle_decode(code: DataFrame, ids: Sequence[str], width: int) -> DataFrame:
     """Back to runs per row."""
-    ids = list(ids)
-    pos = running_sums(code, ids, [("position", True)], {"b": F.col("length")}).where("bit = 1 and length > 0")
-    a = F.col("b") - F.col("length")
-    rows = pos.select(*ids, a.alias("a"), "b", F.explode(F.sequence(F.floor(a / width), F.floor((F.col("b") - 1) / width))).alias("y"))
-    return rows.select(*ids, "y", (F.greatest(F.col("a"), F.col("y") * width) - F.col("y") * width).alias("x0"),
-                       (F.least(F.col("b"), (F.col("y") + 1) * width) - F.col("y") * width).alias("x1"))
+    whole = code.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "length"))), lambda c: c["length"]).alias("code"))
+    return whole.select(*ids, F.explode(decoded(F.col("code"), width)).alias("r")).select(*ids, "r.*")

@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import __spark_entry__ as entry
 from rastrum.operators import graph, masks, matching, metrics, raster, splits, vectors
 from rastrum.operators.matching import _best_assignment
 
@@ -111,6 +112,34 @@ def test_run_length_code(spark):
     assert back == {(0, 0, 3), (1, 0, 3), (2, 1, 2)}
 
 
+def test_code_of_odd_masks(spark):
+    """Runs that overlap, touch, repeat, reach the frame's end or start at its first pixel."""
+    rng, w, h = random.Random(4), 5, 4
+    rows = [(1, m, y, x, rng.randint(x + 1, w)) for m in range(60) for _ in range(rng.randint(1, 6)) for y, x in [(rng.randrange(h), rng.randrange(w))]] + [(1, 60, y, 0, w) for y in range(h)]
+    lit, want = {}, {}
+    for _, m, y, a, b in rows:
+        lit.setdefault(m, set()).update(y * w + x for x in range(a, b))
+    for m, on in lit.items():
+        want[m] = [0] * (0 in on) + [len(list(g)) for _, g in itertools.groupby(range(w * h), lambda i: i in on)]
+    runs = spark.createDataFrame(rows, "image_id bigint, box_id bigint, y bigint, x0 bigint, x1 bigint")
+    got, ids = {}, ["image_id", "box_id"]
+    code = masks.rle_encode(runs, ids, w, h)
+    for r in code.orderBy("position").collect():
+        assert r["bit"] == r["position"] % 2
+        got.setdefault(r["box_id"], []).append(r["length"])
+    assert got == want
+    back = {}
+    for r in masks.rle_decode(code, ids, w).collect():
+        back.setdefault(r["box_id"], set()).update(r["y"] * w + x for x in range(r["x0"], r["x1"]))
+    assert back == lit
+
+
+def test_codec_shuffles_no_runs(spark):
+    """Boxes are numbered in one exchange; their masks, codes and runs stay where they are."""
+    plan = entry.queries()["f13_rle_codec"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange ") == 1 and "Generate" not in plan
+
+
 def test_large_banks_meet_in_blocks(spark, monkeypatch):
     """Exact neighbours from blocks of both sides of one table, without a row for a pair."""
     rng = np.random.default_rng(6)
