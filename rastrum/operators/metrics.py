@@ -11,27 +11,34 @@ from ..core import r6, ratio
 from .matching import IOU_THRESHOLDS, PRIMARY_IOU, SLACK, TOP_K, assign_one_to_one, rank_proposals
 
 
+SCOPES = [f"iou_{t:.2f}" for t in IOU_THRESHOLDS] + [f"top_{k}" for k in TOP_K]
+
+
 def scoped_assignments(pairs: DataFrame, proposals: DataFrame) -> DataFrame:
     """One assignment run for every threshold and every rank cut at once.
 
-    A scope is a named sub-problem; the scope name joins the grouping key, so the pairs are read
-    and shuffled once instead of seven times.
+    The i-th scope is bit i of ``points``, so a pair is one row whatever the number of scopes. Where the pairs
+    bring their proposals' ``rank``, the proposals are not ranked again.
     """
-    ranks = rank_proposals(proposals).select("image_id", "method", "proposal_id", "rank")
-    e = pairs.join(ranks, ["image_id", "method", "proposal_id"])
+    if "rank" not in pairs.columns:
+        ranks = rank_proposals(proposals).select("image_id", "method", "proposal_id", "rank")
+        pairs = pairs.join(ranks, ["image_id", "method", "proposal_id"])
     iou, rank = F.col("mask_iou") + SLACK, F.col("rank")
-    scopes = F.array(*[F.when(iou >= t, F.lit(f"iou_{t:.2f}")) for t in IOU_THRESHOLDS],
-                     *[F.when((iou >= PRIMARY_IOU) & (rank <= k), F.lit(f"top_{k}")) for k in TOP_K])
-    return assign_one_to_one(e.withColumn("scope", F.explode(F.filter(scopes, lambda s: s.isNotNull()))), ["scope", "image_id", "method"])
+    inside = [iou >= t for t in IOU_THRESHOLDS] + [(iou >= PRIMARY_IOU) & (rank <= k) for k in TOP_K]
+    points = F.lit(0).cast("bigint")
+    for i, c in enumerate(inside):
+        points = points + F.when(c, F.lit(1 << i)).otherwise(F.lit(0))
+    return assign_one_to_one(pairs.withColumn("points", points).where("points <> 0"), ["image_id", "method"])
 
 
 def image_evaluations(assigned: DataFrame, base: DataFrame, meta: DataFrame) -> DataFrame:
     """One row per (image, method): counts, matched truths per scope, category and status."""
-    names = [f"iou_{t:.2f}" for t in IOU_THRESHOLDS] + [f"top_{k}" for k in TOP_K]
+    there = lambda n: F.col("points").bitwiseAND(F.lit(1 << SCOPES.index(n))) != 0
+    names, primary = SCOPES, there(f"iou_{PRIMARY_IOU:.2f}")
     g = assigned.groupBy("image_id", "method").agg(
-        *[F.sum((F.col("scope") == n).cast("bigint")).alias(n.replace(".", "")) for n in names],
-        F.sum(F.when(F.col("scope") == f"iou_{PRIMARY_IOU:.2f}", F.col("mask_iou"))).alias("iou_sum"),
-        F.sum(F.when(F.col("scope") == f"iou_{PRIMARY_IOU:.2f}", 2 * F.col("mask_iou") / (1 + F.col("mask_iou")))).alias("dice_sum"))
+        *[F.sum(there(n).cast("bigint")).alias(n.replace(".", "")) for n in names],
+        F.sum(F.when(primary, F.col("mask_iou"))).alias("iou_sum"),
+        F.sum(F.when(primary, 2 * F.col("mask_iou") / (1 + F.col("mask_iou")))).alias("dice_sum"))
     j = base.join(g, ["image_id", "method"], "left").join(meta, "image_id", "left")
     fill = [n.replace(".", "") for n in names]
     return j.select("image_id", "method", "proposal_count", "truth_count", "category", "acquisition_group_id", "seconds",
