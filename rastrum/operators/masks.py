@@ -80,25 +80,44 @@ def _measures(inter: Column, pa: Column, ta: Column) -> list[Column]:
             share(inter, ta).alias("truth_overlap"), share(inter, pa).alias("proposal_overlap")]
 
 
-def pair_matrix(proposal_runs: DataFrame, truth_runs: DataFrame) -> DataFrame:
+RUNS = "array<struct<y:bigint,x0:bigint,x1:bigint>>"
+
+
+def box_masks(boxes: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """One row a mask: ``keep``, its box and its runs, an array. Nothing is shuffled."""
+    row = lambda y: F.struct(y.alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
+    return boxes.where(solid).select(*keep, "x1", "y1", "x2", "y2", F.transform(F.sequence(F.col("y1"), F.col("y2") - 1), row).cast(RUNS).alias("runs"))
+
+
+def whole_masks(runs: DataFrame, ids: Sequence[str]) -> DataFrame:
+    """`box_masks` of masks given as rows of runs."""
+    return runs.groupBy("image_id", *ids).agg(
+        F.min("x0").alias("x1"), F.min("y").alias("y1"), F.max("x1").alias("x2"), (F.max("y") + 1).alias("y2"),
+        F.collect_list(F.struct("y", "x0", "x1")).cast(RUNS).alias("runs"))
+
+
+def pair_matrix(proposals: DataFrame, truths: DataFrame, tiles: bool = True) -> DataFrame:
     """Pair evidence of every proposal and truth that touch (overlap, or centroid inside).
 
-    Pairs that do not touch all measure zero and are left implicit.
+    A mask is one row (`box_masks`, `whole_masks`). Masks meet where their boxes do, as in `box_overlaps`, and only the runs of
+    such pairs are compared, inside the task that holds the pair. Pairs that do not touch all measure zero and are left implicit.
     """
-    pid, tid = ["method", "proposal_id"], ["truth_id"]
-    ps, ts = run_stats(proposal_runs, pid), run_stats(truth_runs, tid)
-    inter = run_overlaps(proposal_runs, truth_runs, pid, tid)
-    cells = truth_runs.select("image_id", "truth_id", F.col("y").alias("cy"), F.col("x0"), F.col("x1"),
-                              F.explode(_cells(F.col("x0"), F.col("x1"), CELL)).alias("cell"))
-    inside = (ps.select("image_id", *pid, "cy", "cx", F.floor(F.col("cx") / CELL).alias("cell"))
-              .join(cells, ["image_id", "cy", "cell"]).where((F.col("cx") >= F.col("x0")) & (F.col("cx") < F.col("x1")))
-              .select("image_id", *pid, "truth_id", F.lit(True).alias("inside")).distinct())
-    key = ["image_id", *pid, "truth_id"]
-    both = inter.join(inside, key, "full")
-    j = (both.join(ps.select("image_id", *pid, F.col("area").alias("pa")), ["image_id", *pid])
-         .join(ts.select("image_id", "truth_id", F.col("area").alias("ta")), ["image_id", "truth_id"]))
-    i = F.coalesce("intersection", F.lit(0))
-    return j.select(*key, *_measures(i, F.col("pa"), F.col("ta")), F.coalesce("inside", F.lit(False)).alias("centroid_inside"))
+    key = ["image_id", "method", "proposal_id", "truth_id"]
+    met = box_overlaps(proposals, truths, ["image_id"], tiles=tiles)
+    met = met.select("image_id", F.col("l_method").alias("method"), F.col("l_proposal_id").alias("proposal_id"), F.col("r_truth_id").alias("truth_id"), F.col("l_runs").alias("p"), F.col("r_runs").alias("t"))
+    n = lambda r: r["x1"] - r["x0"]
+    zero = F.struct(F.lit(0).cast("bigint").alias("n"), F.lit(0).cast("bigint").alias("y"), F.lit(0.0).alias("x"))
+    mass = lambda c: F.aggregate(c, zero, lambda s, r: F.struct((s["n"] + n(r)).alias("n"), (s["y"] + r["y"] * n(r)).alias("y"), (s["x"] + (r["x0"] + r["x1"] - 1) * n(r) / 2).alias("x")))
+    met = met.withColumn("m", mass("p")).withColumn("ta", mass("t")["n"])
+    met = met.select(*key, "p", "t", F.col("m.n").alias("pa"), "ta", F.floor(F.col("m.y") / F.col("m.n")).alias("cy"), F.floor(F.col("m.x") / F.col("m.n")).alias("cx"))
+    facts = [*key, "pa", "ta", "cy", "cx"]
+    each = met.select(*facts, "t", F.explode("p").alias("a")).select(*facts, "a", F.explode("t").alias("b"))
+    same, at = F.col("a.y") == F.col("b.y"), F.col("b.y") == F.col("cy")
+    over = F.greatest(F.least("a.x1", "b.x1") - F.greatest("a.x0", "b.x0"), F.lit(0).cast("bigint"))
+    inside = at & (F.col("cx") >= F.col("b.x0")) & (F.col("cx") < F.col("b.x1"))
+    g = each.where(same | at).groupBy(*key).agg(F.sum(F.when(same, over).otherwise(0)).alias("intersection"), F.max(inside).alias("inside"), F.max("pa").alias("pa"), F.max("ta").alias("ta"))
+    return g.where((F.col("intersection") > 0) | F.col("inside")).select(*key, *_measures(F.col("intersection"), F.col("pa"), F.col("ta")), F.col("inside").alias("centroid_inside"))
 
 
 def box_pairs(proposals: DataFrame, truths: DataFrame, tiles: bool = True, keep: Sequence[str] = ()) -> DataFrame:

@@ -172,3 +172,57 @@ def test_share_split_keeps_groups_and_ratio(spark):
 
 def test_ellipse_kernel():
     assert sorted(raster.ellipse(2)) == sorted([(-2, 0), (2, 0)] + [(dy, dx) for dy in (-1, 0, 1) for dx in range(-2, 3)])
+
+
+def _plan(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_pairs_of_masks_shuffle_no_runs(spark):
+    """Odd masks against pixel sets, and masks that are dealt out by image are not shuffled again."""
+    rng = random.Random(5)
+    def cells(n):
+        return {(rng.randint(0, 9), rng.randint(0, 9)) for _ in range(n)}
+    p = {(i, "AN"[i % 2], k): cells(rng.choice([1, 12, 30])) for i in range(4) for k in range(5)}
+    t = {(i, k): cells(rng.choice([2, 20])) for i in range(4) for k in range(4)}
+    p[0, "A", 9] = {(y, x) for y in range(3) for x in range(3)} - {(1, 1)}  # its centroid lies in a truth that it does not touch
+    t[0, 9] = {(1, 1)}
+    rows = lambda d: [(*k, y, x, x + 1) for k, v in d.items() for y, x in v]
+    pr = spark.createDataFrame(rows(p), "image_id bigint, method string, proposal_id bigint, y bigint, x0 bigint, x1 bigint")
+    tr = spark.createDataFrame(rows(t), "image_id bigint, truth_id bigint, y bigint, x0 bigint, x1 bigint")
+    want = {}
+    for (i, m, k), a in p.items():
+        c = (sum(y for y, _ in a) // len(a), sum(x for _, x in a) // len(a))
+        for (j, n), b in t.items():
+            if i == j and (a & b or c in b):
+                want[i, m, k, n] = (round(len(a & b) / len(a | b), 9), c in b)
+    for tiles in (True, False):
+        found = masks.pair_matrix(masks.whole_masks(pr, ["method", "proposal_id"]), masks.whole_masks(tr, ["truth_id"]), tiles)
+        assert {tuple(r)[:4]: (round(r["mask_iou"], 9), r["centroid_inside"]) for r in found.collect()} == want
+    b = spark.createDataFrame([(1, "m", 1, 1, 0, 0, 4, 4)], "image_id bigint, method string, proposal_id bigint, truth_id bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint").repartition(4, "image_id")
+    m = masks.pair_matrix(masks.box_masks(b, ["image_id", "method", "proposal_id"]), masks.box_masks(b, ["image_id", "truth_id"]), False)
+    assert m.first()["mask_iou"] == 1.0 and _plan(m).count("Exchange hashpartitioning") <= 2
+
+
+def test_stars_are_settled_without_python(spark):
+    """A truth with many proposals, and the reverse, needs no solver; scopes are bits of one row a pair."""
+    e = spark.createDataFrame([(1, "m", a, 1, w) for a, w in ((1, 0.4), (2, 0.6), (3, 0.6))] + [(2, "m", 1, b, w) for b, w in ((5, 0.3), (4, 0.3))],
+                              "image_id bigint, method string, proposal_id bigint, truth_id bigint, mask_iou double")
+    assert {tuple(r)[:4] for r in matching.assign_one_to_one(e).collect()} == {(1, "m", 2, 1), (2, "m", 1, 4)}
+    at = e.withColumn("points", F.when(F.col("proposal_id") == 2, 1).otherwise(3).cast("bigint"))
+    assert {(r["image_id"], r["proposal_id"], r["truth_id"], r["points"]) for r in matching.assign_one_to_one(at).collect()} == {(1, 2, 1, 1), (1, 3, 1, 2), (2, 1, 4, 3)}
+    scoped = metrics.scoped_assignments(e.withColumn("rank", F.col("proposal_id")), None)
+    # rank 1 alone is proposal 1 of the first image; at every other scope proposal 2 takes the truth
+    assert {(r["image_id"], r["proposal_id"], r["truth_id"], r["points"]) for r in scoped.collect()} == {(1, 1, 1, 8), (1, 2, 1, 119), (2, 1, 4, 123)}
+
+
+def test_points_match_separate_runs(spark):
+    rng = random.Random(8)
+    rows = [(i, a, b, rng.choice([0.3, 0.4, 0.6]), rng.randint(1, 7)) for i in range(30) for a, b in {(rng.randint(1, 4), rng.randint(1, 4)) for _ in range(6)}]
+    e = spark.createDataFrame(rows, "image_id bigint, proposal_id bigint, truth_id bigint, mask_iou double, points bigint")
+    got = matching.assign_one_to_one(e, ["image_id"]).collect()
+    for bit in (1, 2, 4):
+        for i in range(30):
+            alone = [r for c in matching._components_of([(a, b, w) for j, a, b, w, p in rows if j == i and p & bit]) for r in _best_assignment(c)]
+            here = [r for r in got if r["image_id"] == i and r["points"] & bit]
+            assert (len(here), round(sum(r["mask_iou"] for r in here), 6)) == (len(alone), round(sum(r[2] for r in alone), 6))
