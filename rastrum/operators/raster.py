@@ -498,31 +498,44 @@ def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level:
 
 
 # ---- equalisation, stability, coherence --------------------------------------------------------
+#: frames of at most so many pixels are equalised where their image is dealt out
+SMALL_FRAME = 65_536
+
+
 def tile_equalise(df: DataFrame, v: str, height: int, width: int, tiles: tuple[int, int] = (8, 8), clip: float = 2.2) -> DataFrame:
     """Clip-limited equalisation of 0..255 levels per tile, blended bilinearly between tile centres.
 
-    The clipped excess is spread evenly over the 256 levels (as a real number). Each tile's curve is
-    256 rows; a pixel meets the curves of its up to four tiles in an equi-join.
+    The clipped excess is spread evenly over the 256 levels (as a real number). A pixel becomes a row that counts in its
+    own tile and a row for each of the up to four tiles whose curves it needs; running sums over a tile's rows give
+    the curve just at those levels. Frames of up to SMALL_FRAME pixels are dealt out by image, so a pixel is shuffled
+    once; larger ones by tile, so no task needs a whole frame.
     """
     th, tw = height // tiles[0], width // tiles[1]
     size = th * tw
     limit = max(clip * size / 256.0, 1.0)
     key = ["image_id", "ty", "tx"]
-    h = df.groupBy("image_id", F.floor(F.col("y") / th).alias("ty"), F.floor(F.col("x") / tw).alias("tx"), F.col(v).alias("level")).agg(F.count("*").alias("n"))
-    g = h.groupBy(*key).agg(F.sum(F.greatest(F.col("n") - limit, F.lit(0.0))).alias("excess"))
-    levels = g.withColumn("level", F.explode(F.sequence(F.lit(0), F.lit(255)).cast("array<bigint>")))
-    w = Window.partitionBy(*key).orderBy("level").rowsBetween(Window.unboundedPreceding, 0)  # 256 rows
-    curve = levels.join(h, [*key, "level"], "left").select(*key, "level", ((F.sum(F.least(F.coalesce("n", F.lit(0)), F.lit(limit))).over(w) + (F.col("level") + 1) * F.col("excess") / 256.0) * 255.0 / size).alias("lut"))
 
-    def near(c: str, step: int, count: int) -> Column:
+    def near(c: str, step: int, count: int) -> list[tuple[Column, Column]]:
         p = (F.col(c) + 0.5) / step - 0.5
         lo = F.floor(p)
-        f = p - lo
-        cl = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(count - 1)))
-        return F.array(F.struct(cl(lo).alias("t"), (1 - f).alias("w")), F.struct(cl(lo + 1).alias("t"), f.alias("w")))
-    p = (df.select(*PIXEL, F.col(v).alias("level"), F.explode(near("y", th, tiles[0])).alias("a"), near("x", tw, tiles[1]).alias("bs"))
-         .select(*PIXEL, "level", "a", F.explode("bs").alias("b")).select(*PIXEL, "level", F.col("a.t").alias("ty"), F.col("b.t").alias("tx"), (F.col("a.w") * F.col("b.w")).alias("wt")))
-    return p.join(curve, [*key, "level"]).groupBy(*PIXEL).agg(F.sum(F.col("wt") * F.col("lut")).alias(v))
+        cl = lambda k: F.greatest(F.lit(0), F.least(k, F.lit(count - 1))).cast("bigint")
+        return [(cl(lo), 1 - (p - lo)), (cl(lo + 1), p - lo)]
+    row = lambda ty, tx, wt: F.struct(ty.cast("bigint").alias("ty"), tx.cast("bigint").alias("tx"), wt.cast("double").alias("wt"))
+    own = row(F.floor(F.col("y") / th), F.floor(F.col("x") / tw), F.lit(None))  # no weight: it only counts
+    needed = [row(ty, tx, wy * wx) for ty, wy in near("y", th, tiles[0]) for tx, wx in near("x", tw, tiles[1])]
+    small = height * width <= SMALL_FRAME
+    d = df.select(*PIXEL, F.col(v).alias("level"))
+    d = (d.repartition("image_id") if small else d).select(*PIXEL, "level", F.explode(F.array(own, *needed)).alias("q")).select(*PIXEL, "level", "q.*")
+    d = d if small else d.repartition(*key)
+    at = Window.partitionBy(*key, "level")
+    counts = F.col("wt").isNull()
+    d = d.withColumn("n", F.count(F.when(counts, 1)).over(at)).withColumn("first", counts & (F.row_number().over(at.orderBy(F.col("wt").asc_nulls_first(), "y", "x")) == 1))
+    kept = F.when(F.col("first") & F.col("level").between(0, 255), F.least(F.col("n"), F.lit(limit))).otherwise(0.0)
+    over = F.when(F.col("first"), F.greatest(F.col("n") - limit, F.lit(0.0))).otherwise(0.0)
+    tile = Window.partitionBy(*key)
+    d = d.withColumn("below", F.sum(kept).over(tile.orderBy("level").rangeBetween(Window.unboundedPreceding, Window.currentRow))).withColumn("excess", F.sum(over).over(tile))
+    lut = (F.col("below") + (F.col("level") + 1) * F.col("excess") / 256.0) * 255.0 / size
+    return d.where(~counts & F.col("level").between(0, 255)).groupBy(*PIXEL).agg(F.sum(F.col("wt") * lut).alias(v))
 
 
 def saliency_support(df: DataFrame, v: str, radius: int = 7) -> DataFrame:

@@ -98,3 +98,30 @@ def test_long_annotation_lines_are_checked_to_the_end(spark):
 
     files = spark.createDataFrame([(1, "0 " + "0.5 " * 12_000 + "7.0", 10, 10), (2, "0 " + "0.5 " * 12_000, 10, 10)], "image_id bigint, text string, width bigint, height bigint")
     assert {r["image_id"]: r["valid"] for r in yolo_rows(files).collect()} == {1: False, 2: True}
+
+
+def test_tile_equalise_by_image_and_by_tile(spark, monkeypatch):
+    """Both layouts against numpy; pixels of a small frame are shuffled once and no tile becomes 256 rows."""
+    import numpy as np
+    rng = np.random.default_rng(4)
+    images = {1: rng.integers(0, 256, (12, 8)), 2: rng.integers(0, 3, (12, 8))}
+    d = spark.createDataFrame([(i, y, x, int(a[y, x])) for i, a in images.items() for y in range(12) for x in range(8)], "image_id bigint, y bigint, x bigint, v bigint")
+    want = {}
+    for i, a in images.items():
+        luts = {}
+        for ty in range(3):
+            for tx in range(2):
+                n = np.bincount(a[ty * 4:ty * 4 + 4, tx * 4:tx * 4 + 4].ravel(), minlength=256).astype(float)
+                luts[ty, tx] = (np.cumsum(np.minimum(n, 1.0)) + np.arange(1, 257) * np.maximum(n - 1.0, 0).sum() / 256) * 255 / 16
+        for y in range(12):
+            for x in range(8):
+                py, px = (y + 0.5) / 4 - 0.5, (x + 0.5) / 4 - 0.5
+                ly, lx = int(np.floor(py)), int(np.floor(px))
+                at = lambda ty, tx: luts[min(max(ty, 0), 2), min(max(tx, 0), 1)][a[y, x]]
+                want[i, y, x] = sum((py - ly if dy else 1 - py + ly) * (px - lx if dx else 1 - px + lx) * at(ly + dy, lx + dx) for dy in (0, 1) for dx in (0, 1))
+    for small in (raster.SMALL_FRAME, 1):
+        monkeypatch.setattr(raster, "SMALL_FRAME", small)
+        e = raster.tile_equalise(d, "v", 12, 8, (3, 2))
+        got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in e.collect()}
+        assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
+        assert e._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == (1 if small > 1 else 2)
