@@ -538,13 +538,16 @@ def tile_equalise(df: DataFrame, v: str, height: int, width: int, tiles: tuple[i
     return d.where(~counts & F.col("level").between(0, 255)).groupBy(*PIXEL).agg(F.sum(F.col("wt") * lut).alias(v))
 
 
-def saliency_support(df: DataFrame, v: str, radius: int = 7) -> DataFrame:
-    """Pixels whose gradient plus local deviation reaches the image's upper quartile."""
+def saliency_support(df: DataFrame, v: str, radius: int = 7, small: bool = False) -> DataFrame:
+    """Pixels whose gradient plus local deviation reaches the image's upper quartile.
+
+    ``small``: frames hold at most SMALL_FRAME pixels, so images are dealt out whole and each stencil finds its pixels there."""
+    df = df.repartition("image_id") if small else df
     d = gaussian5(df.select(*PIXEL, v), v, "__blur")
     n = neighbours(d, "__blur")
     gx, gy = kernel(SOBEL_X), kernel(SOBEL_Y)
     s = box_stats(n.select(*PIXEL, v, F.sqrt(gx * gx + gy * gy).alias("__m")), v, radius).select(*PIXEL, F.round(F.col("__m") + F.abs(F.col(v) - F.col("local_mean")), 9).alias("s"))
-    cut = exact_quantiles(s, ["image_id"], "s", {"cut": 0.75})
+    cut = exact_quantiles(s, ["image_id"], "s", {"cut": 0.75}, False if small else None)
     return s.join(cut, "image_id").where(F.col("s") >= F.round("cut", 9)).select(*PIXEL)
 
 
@@ -561,7 +564,7 @@ def mask_stability(df: DataFrame, mask: DataFrame, v: str, height: int, width: i
     k = F.col("image_id") * 8
     base = df.select(*PIXEL, v, F.explode(F.array(*[F.struct(F.lit(i).alias("i"), cap(c).alias("w")) for i, c in enumerate((F.col(v), F.col(v) + 12, F.col(v) * 1.08, F.col(v) + noise))])).alias("q"))
     allv = base.select((k + F.col("q.i")).alias("image_id"), "y", "x", F.col("q.w").alias(v)).unionByName(scaled.select((k + 4).alias("image_id"), "y", "x", v))
-    sup = saliency_support(allv, v, radius).select(F.floor(F.col("image_id") / 8).alias("image_id"), (F.col("image_id") % 8).alias("i"), "y", "x").join(mask, PIXEL, "left_semi")
+    sup = saliency_support(allv, v, radius, height * width <= SMALL_FRAME).select(F.floor(F.col("image_id") / 8).alias("image_id"), (F.col("image_id") % 8).alias("i"), "y", "x").join(mask, PIXEL, "left_semi")
     # pixels of the mask with the set of variants (at most five) that support them
     per = sup.groupBy(*PIXEL).agg(F.max((F.col("i") == 0).cast("int")).alias("b"), *[F.max((F.col("i") == j).cast("int")).alias(f"s{j}") for j in range(1, 5)])
     def part(j: int) -> Column:

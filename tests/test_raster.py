@@ -125,3 +125,17 @@ def test_tile_equalise_by_image_and_by_tile(spark, monkeypatch):
         got = {(r["image_id"], r["y"], r["x"]): r["v"] for r in e.collect()}
         assert got.keys() == want.keys() and all(abs(got[k] - want[k]) < 1e-9 for k in want)
         assert e._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == (1 if small > 1 else 2)
+
+
+def test_small_frames_are_dealt_out_once(spark, monkeypatch):
+    """Stability is the same either way; stencils of small frames shuffle pixels by image only."""
+    d = grid(spark, lambda y, x: (y * 37 + x * 91) % 256).unionByName(grid(spark, lambda y, x: (y * y * 5 + x * 13) % 256).withColumn("image_id", F.lit(2).cast("bigint")))
+    mask = d.where("v > 90").select("image_id", "y", "x")
+    got = []
+    for small in (raster.SMALL_FRAME, 1):
+        monkeypatch.setattr(raster, "SMALL_FRAME", small)
+        got.append({r[0]: round(r[1], 9) for r in raster.mask_stability(d, mask, "v", 8, 8, 2).collect()})
+    assert got[0] == got[1] and len(got[0]) == 2
+    plan = lambda small: raster.saliency_support(d, "v", 2, small)._jdf.queryExecution().executedPlan().toString()
+    stencil = lambda p: sum("Exchange hashpartitioning(image_id" in x and (", y#" in x or ", x#" in x) for x in p.splitlines())
+    assert stencil(plan(True)) == 0 < stencil(plan(False))
