@@ -10,14 +10,19 @@ frame counts as set for erosion and as clear for dilation. Heat is one array a r
 
 from __future__ import annotations
 
+import heapq
 from collections.abc import Callable, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import any_row, checkpointed
 from .graph import connected_components
-from .raster import hull_area
+from .raster import SMALL_FRAME, hull_area
 
 IMAGE = ("image_id",)
 SIZE = ["height", "width"]
@@ -278,6 +283,8 @@ def split_fragments(rows: DataFrame, raw: DataFrame, minimum: int, ids: Sequence
 OVERLAP_MERGE = {"overlap": 0.24, "containment": 0.72, "coherence": 0.44}
 SIMILAR_MERGE = {"iou": 0.08, "distance": 0.13, "delta": 0.28, "contact_delta": 0.35, "contact_radius": 7, "close_share": 0.012, "least_close": 3}
 PAIR = ["image_id", "left", "right"]
+#: images with at most so many items, and SMALL_FRAME pixels, are merged where the image is dealt out; others in rounds over all tasks
+SMALL_ITEMS = 256
 
 
 def _largest_and_number(rows: list[tuple[int, list]]) -> tuple[int, int]:
@@ -410,6 +417,210 @@ def agglomerated(rows: DataFrame, scored: Scorer, finished: Callable[[DataFrame]
     return rows, members
 
 
+class _Item(NamedTuple):
+    """An item of a small frame: its pixels, area, half-open box (y1, x1, y2, x2) and mean features."""
+    mask: np.ndarray
+    area: int
+    box: tuple[int, int, int, int]
+    means: tuple[float, ...]
+
+
+def _item(mask: np.ndarray, features: Sequence[np.ndarray]) -> _Item:
+    ys, xs = np.flatnonzero(mask.any(axis=1)), np.flatnonzero(mask.any(axis=0))
+    area = int(np.count_nonzero(mask))
+    return _Item(mask, area, (int(ys[0]), int(xs[0]), int(ys[-1]) + 1, int(xs[-1]) + 1), tuple(float(f[mask].sum()) / area / 255 for f in features))
+
+
+def _runs_of(mask: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Rows, starts and ends of the runs of a mask in reading order."""
+    step = np.diff(mask.astype(np.int8), axis=1, prepend=0, append=0)
+    ys, a = np.nonzero(step == 1)
+    return ys, a, np.nonzero(step == -1)[1]
+
+
+def _rows_in(mask: np.ndarray) -> list[tuple[int, list]]:
+    rows: dict[int, list] = {}
+    for y, a, b in zip(*(c.tolist() for c in _runs_of(mask))):
+        rows.setdefault(y, []).append({"a": a, "b": b})
+    return list(rows.items())
+
+
+def _mask_dilated(mask: np.ndarray, r: int) -> np.ndarray:
+    """As ``dilated`` by ``ellipse(r)``."""
+    h, w = mask.shape
+    sums = np.zeros((h, w + 2 * r + 1), np.int32)
+    np.cumsum(mask, axis=1, out=sums[:, r + 1:r + w + 1])
+    sums[:, r + w + 1:] = sums[:, r + w:r + w + 1]
+    out = np.zeros_like(mask)
+    for dy in range(-min(r, h - 1), min(r, h - 1) + 1):
+        reach = int(np.round(r * np.sqrt((r * r - dy * dy) / (r * r))))
+        wide = sums[:, r + reach + 1:r + reach + 1 + w] > sums[:, r - reach:r - reach + w]
+        out[max(dy, 0):h + min(dy, 0)] |= wide[max(-dy, 0):h - max(dy, 0)]
+    return out
+
+
+def _mask_closed(mask: np.ndarray, r: int) -> np.ndarray:
+    return ~_mask_dilated(~_mask_dilated(mask, r), r)
+
+
+def _mask_coherence(mask: np.ndarray, heat: np.ndarray) -> float:
+    """As ``coherence``, of one region."""
+    values = np.sort(heat[mask])
+    at = (len(values) - 1) * 0.85
+    lo, hi = int(np.floor(at)), int(np.ceil(at))
+    p85 = values[lo] if values[lo] == values[hi] else (hi - at) * values[lo] + (at - lo) * values[hi]
+    rows = _rows_in(mask)
+    hull = hull_area([p for y, r in rows for p in ((r[0]["a"], y), (r[-1]["b"] - 1, y))])
+    peaks = _largest_and_number(_rows_in(mask & (heat >= p85)))[1]
+    shares = [_largest_and_number(rows)[0] / len(values), min(len(values) / max(hull, 1.0), 1.0), 1 - min(values.std() / 90, 1.0), 1.0 / min(max(peaks, 1), 5)]
+    return (shares[0] + shares[1] + shares[2] + shares[3]) / 4
+
+
+def _shared_box(p: _Item, q: _Item) -> int:
+    return max(min(p.box[2], q.box[2]) - max(p.box[0], q.box[0]), 0) * max(min(p.box[3], q.box[3]) - max(p.box[1], q.box[1]), 0)
+
+
+def _box_area(p: _Item) -> int:
+    return (p.box[2] - p.box[0]) * (p.box[3] - p.box[1])
+
+
+May = Callable[[_Item, _Item, Sequence[np.ndarray]], bool]
+Unite = Callable[[np.ndarray], np.ndarray]
+
+
+def _to_fixpoint(items: dict[int, _Item], features: Sequence[np.ndarray], may: May, unite: Unite) -> dict[int, int]:
+    """Merges the first pair that may, again and again; what each item went into. A pair is looked at again only when it changed."""
+    into, age = {k: k for k in items}, dict.fromkeys(items, 0)
+    todo = [(p, q, 0, 0) for p in items for q in items if p < q]
+    heapq.heapify(todo)
+    while todo:
+        p, q, p_age, q_age = heapq.heappop(todo)
+        if age.get(p) != p_age or age.get(q) != q_age or not may(items[p], items[q], features):
+            continue
+        items[p] = _item(unite(items[p].mask | items[q].mask), features)
+        age[p] += 1
+        del items[q], age[q]
+        into = {k: p if v == q else v for k, v in into.items()}
+        for k in items:
+            if k != p:
+                a, b = min(k, p), max(k, p)
+                heapq.heappush(todo, (a, b, age[a], age[b]))
+    return into
+
+
+def _lists(column: pa.ChunkedArray) -> tuple[np.ndarray, pa.Array]:
+    """Where each row's list begins among the values (one more at the end), and the values."""
+    lists = column.combine_chunks()
+    return np.concatenate([[0], np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False))]), lists.flatten()
+
+
+def _merge_frames(names: Sequence[str], may: May, unite: Unite):
+    """Merges over a group of whole small images; an image whose features do not fill its frame is left out."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks().sort_by([(c, "ascending") for c in ("image_id", "item", "y")])  # features, without an item, come last
+        y, height, width = (pc.fill_null(table[c], 0).to_numpy() for c in ("y", "height", "width"))
+        code = table["image_id"].combine_chunks().dictionary_encode().indices.to_numpy()
+        item = pc.fill_null(table["item"].combine_chunks().dictionary_encode().indices, -1).to_numpy()
+        begin, runs = _lists(table["runs"])
+        a, b = runs.field("a").to_numpy(), runs.field("b").to_numpy()
+        values = {n: _lists(table[n]) for n in names}
+        values = {n: (at, v.null_count, v.to_numpy(zero_copy_only=False)) for n, (at, v) in values.items()}
+        got: dict[str, list[np.ndarray]] = {c: [] for c in ("item", "y", "n", "a", "b", "member", "into")}
+        edges = np.flatnonzero(np.diff(code, prepend=-1, append=-1))
+        for start, end in zip(edges[:-1].tolist(), edges[1:].tolist()):
+            last = start + int(np.count_nonzero(item[start:end] >= 0))
+            h, w = int(height[start]), int(width[start])
+            full = last > start and np.array_equal(y[last:end], np.arange(h)) and all(not null and (np.diff(at[last:end + 1]) == w).all() for at, null, _ in values.values())
+            if not full:
+                continue
+            features = [v[at[last]:at[end]].reshape(h, w) for at, _, v in values.values()]
+            of = np.flatnonzero(np.diff(item[start:last], prepend=-2, append=-2)) + start
+            items = {}
+            for i, j in zip(of[:-1].tolist(), of[1:].tolist()):
+                first = np.repeat(y[i:j], np.diff(begin[i:j + 1])) * w
+                step = np.zeros(h * w + 1, np.int8)
+                step[first + a[begin[i]:begin[j]]] += 1
+                step[first + b[begin[i]:begin[j]]] -= 1
+                items[i] = _item(np.cumsum(step[:-1], dtype=np.int8).astype(bool).reshape(h, w), features)
+            into = _to_fixpoint(items, features, may, unite)
+            got["member"].append(np.array(list(into), np.int64))
+            got["into"].append(np.array(list(into.values()), np.int64))
+            for k, it in items.items():
+                ys, r_a, r_b = _runs_of(it.mask)
+                rows, n = np.unique(ys, return_counts=True)
+                for c, v in (("item", np.full(len(rows), k)), ("y", rows), ("n", n), ("a", r_a), ("b", r_b)):
+                    got[c].append(v)
+        done = {c: np.concatenate([np.zeros(0, np.int64), *v]) for c, v in got.items()}
+        rows, members = len(done["item"]), len(done["member"])
+        at = np.concatenate([done["item"], done["member"]])
+        lists = np.concatenate([[0], np.cumsum(done["n"]), np.full(members, done["n"].sum())])
+        runs = pa.ListArray.from_arrays(pa.array(lists, pa.int32()), pa.StructArray.from_arrays([pa.array(done[c], pa.int32()) for c in "ab"], ["a", "b"]))
+        goal = pa.concat_arrays([pa.nulls(rows, pa.int64()), pa.array(done["into"])])
+        row = pa.concat_arrays([pa.array(done["y"]).cast(table.schema.field("y").type), pa.nulls(members, table.schema.field("y").type)])
+        return pa.table({"image_id": table["image_id"].take(pa.array(at)), "item": table["item"].take(pa.array(at)), "into": table["item"].take(goal),
+                         "y": row, "runs": runs, "height": table["height"].take(pa.array(at)), "width": table["width"].take(pa.array(at))})
+    return run
+
+
+def merged_by_image(rows: DataFrame, features: DataFrame, names: Sequence[str], may: May, unite: Unite, pixels: int = 1 << 20) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(rows, members) of small images, merged in the task that holds the image, and the rows of all others.
+
+    Small is a frame of up to SMALL_FRAME pixels with up to SMALL_ITEMS items, all its pixels with features. Images are
+    dealt into groups of about ``pixels`` pixels."""
+    rows = checkpointed(rows.select("image_id", "item", "y", "runs", *SIZE))
+    area = F.max(F.col("height").cast("bigint") * F.col("width"))
+    small = checkpointed(rows.groupBy("image_id").agg(area.alias("pixels"), F.size(F.collect_set("item")).alias("items")).where((F.col("pixels") <= SMALL_FRAME) & (F.col("items") <= SMALL_ITEMS)))
+    groups = max(8, (small.agg(F.sum("pixels")).first()[0] or 0) // pixels)
+    dealt = F.pmod(F.xxhash64("image_id"), F.lit(groups)).alias("__group")
+    kind = {f.name: f.dataType for f in rows.schema}
+    null = lambda c: F.lit(None).cast(kind[c]).alias(c)
+    told = features.select("image_id", null("item"), F.col("y").cast(kind["y"]).alias("y"), null("runs"), *[null(c) for c in SIZE], *names)
+    both = rows.select("*", *[F.lit(None).cast("array<double>").alias(n) for n in names]).unionByName(told).join(small.select("image_id"), "image_id", "left_semi")
+    text = lambda c: kind[c].simpleString()
+    schema = f"image_id {text('image_id')}, item {text('item')}, into {text('item')}, y {text('y')}, runs array<struct<a:int,b:int>>, height {text('height')}, width {text('width')}"
+    out = checkpointed(both.groupBy(dealt).applyInArrow(lambda t: _merge_frames(names, may, unite)(t.drop_columns(["__group"]) if "__group" in t.column_names else t), schema))
+    members = out.where(F.col("y").isNull()).select("image_id", "item", "into")
+    rest = rows.join(members.select("image_id").distinct(), "image_id", "left_anti")
+    return out.where(F.col("y").isNotNull()).drop("into"), members, rest
+
+
+def _with_rest(rows: DataFrame, features: DataFrame, names: Sequence[str], may: May, unite: Unite, scored: Scorer, finished: Callable[[DataFrame], DataFrame] | None = None) -> tuple[DataFrame, DataFrame]:
+    done, members, rest = merged_by_image(rows, features, names, may, unite)
+    if not any_row(rest):
+        return done, members
+    more = agglomerated(rest, scored, finished)
+    return done.unionByName(more[0]), members.unionByName(more[1])
+
+
+def _may_overlap(p: _Item, q: _Item, features: Sequence[np.ndarray]) -> bool:
+    inside = _shared_box(p, q)
+    if not inside:
+        return False
+    contained = inside / max(min(_box_area(p), _box_area(q)), 1) >= OVERLAP_MERGE["containment"]
+    if not contained and np.count_nonzero(p.mask & q.mask) / max(min(p.area, q.area), 1) < OVERLAP_MERGE["overlap"]:
+        return False
+    return _mask_coherence(p.mask | q.mask, features[0]) >= OVERLAP_MERGE["coherence"]
+
+
+def _may_similar(p: _Item, q: _Item, features: Sequence[np.ndarray]) -> bool:
+    inside = _shared_box(p, q)
+    if inside / max(_box_area(p) + _box_area(q) - inside, 1) > SIMILAR_MERGE["iou"]:
+        return True
+    texture, colour = (abs(m - n) for m, n in zip(p.means, q.means))
+    apart = [(p.box[i] + p.box[i + 2]) / 2 - (q.box[i] + q.box[i + 2]) / 2 for i in (0, 1)]
+    if np.sqrt(apart[0] ** 2 + apart[1] ** 2) < max(p.mask.shape) * SIMILAR_MERGE["distance"] and texture < SIMILAR_MERGE["delta"] and colour < SIMILAR_MERGE["delta"]:
+        return True
+    r = SIMILAR_MERGE["contact_radius"]
+    near = all(p.box[i] < q.box[i + 2] + r and q.box[i] < p.box[i + 2] + r for i in (0, 1))
+    return near and texture < SIMILAR_MERGE["contact_delta"] and bool((_mask_dilated(p.mask, r) & q.mask).any())
+
+
+def _gaps_closed(mask: np.ndarray) -> np.ndarray:
+    size = max(SIMILAR_MERGE["least_close"], int(min(mask.shape) * SIMILAR_MERGE["close_share"]))
+    return _mask_closed(mask, size // 2)
+
+
 def merge_overlaps(rows: DataFrame, heat: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Unite items of an image that overlap, or lie in each other's box, where the union is coherent."""
     def scored(rows: DataFrame, changed: DataFrame | None) -> DataFrame:
@@ -423,7 +634,7 @@ def merge_overlaps(rows: DataFrame, heat: DataFrame) -> tuple[DataFrame, DataFra
         if not any_row(fit):
             return fit
         return coherence(_together(rows, fit), heat, PAIR).where(F.col("coherence") >= OVERLAP_MERGE["coherence"])
-    return agglomerated(rows, scored)
+    return _with_rest(rows, heat, ["v"], _may_overlap, lambda mask: mask, scored)
 
 
 def merge_similar(rows: DataFrame, features: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -457,4 +668,4 @@ def merge_similar(rows: DataFrame, features: DataFrame) -> tuple[DataFrame, Data
         texture, colour = (F.abs(F.col(f"left_{c}") - F.col(f"right_{c}")) for c in ("texture", "colour"))
         alike = F.coalesce("close", F.lit(False)) & (texture < SIMILAR_MERGE["delta"]) & (colour < SIMILAR_MERGE["delta"])
         return facts.where(F.coalesce("boxes", F.lit(False)) | alike | (F.coalesce("contact", F.lit(False)) & (texture < SIMILAR_MERGE["contact_delta"]))).select(*PAIR)
-    return agglomerated(rows, scored, closed_union)
+    return _with_rest(rows, features, ["texture", "colour"], _may_similar, _gaps_closed, scored, closed_union)

@@ -286,6 +286,44 @@ def test_merge_similar(spark, spread):
     assert merges > 3 and branches == {0, 1, 2}
 
 
+def both_ways(monkeypatch, merge):
+    """Results of merging image by image, in how many checkpoints, and of merging in rounds over all tasks."""
+    calls, plain = [], regions.checkpointed
+    monkeypatch.setattr(regions, "checkpointed", lambda d: calls.append(1) or plain(d))
+    got = []
+    for limit in (regions.SMALL_ITEMS, 2):  # with 2, images of more items go in rounds and the others do not
+        monkeypatch.setattr(regions, "SMALL_ITEMS", limit)
+        rows, members = merge()
+        got.append(({(r["image_id"], r["item"], r["y"], *[tuple(t) for t in r["runs"]]) for r in rows.collect()}, {tuple(r) for r in members.select("image_id", "item", "into").collect()}))
+        got[-1] += (len(calls),)
+    return got
+
+
+def test_merges_of_small_images_take_no_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(7)
+    masks, heats = {}, {}
+    for i in range(3):
+        heats[i] = rng.uniform(60, 110, (30, 36))
+        for k in range(2 + i):
+            masks[i, k] = np.zeros((30, 36), bool)
+            masks[i, k][2:20, 3 * k:3 * k + 9] = True
+    overlaps = both_ways(monkeypatch, lambda: regions.merge_overlaps(rows_of(spark, masks), heat_of(spark, heats)))
+    assert overlaps[0][:2] == overlaps[1][:2] and overlaps[0][2] <= 3
+    assert sum(a != b for _, a, b in overlaps[0][1]) >= 4
+
+
+def test_similar_merges_agree_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    masks = {(i, k): blobs(rng, (60, 70), 1, 9) for i in range(2) for k in range(2 + 2 * i)}
+    texture, colour = ({i: c + 90 * (np.add.outer(np.arange(60), np.arange(70)) // 20 % 2) for i in range(2)} for c in (20.0, 60.0))
+    features = heat_of(spark, texture, "texture").join(heat_of(spark, colour, "colour"), ["image_id", "y"])
+    gone = features.where("image_id = 1 or y <> 5")  # an image whose features do not fill its frame
+    for f in (features, gone):
+        with monkeypatch.context() as m:
+            similar = both_ways(m, lambda: regions.merge_similar(rows_of(spark, masks), f))
+        assert similar[0][:2] == similar[1][:2]
+
+
 def outside(mask):
     """Background that reaches the frame's edge by 4-neighbours, with a frame of background around."""
     h, w = mask.shape
