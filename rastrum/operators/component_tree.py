@@ -52,7 +52,7 @@ class _Sums:
         return {c: v[at] for c, v in self.cols.items()}
 
 
-class _Forest:
+class Forest:
     """Sets of nodes; a set's root is its smallest node."""
 
     def __init__(self, n: int):
@@ -117,7 +117,7 @@ def _settle(bits: int, last_y: int, last_x: int):
         a, b, w = a[by_w], b[by_w], w[by_w]
         d, at = {c: v[by_level] for c, v in d.items()}, at[by_level]
 
-        sets, total = _Forest(n), _Sums(n)
+        sets, total = Forest(n), _Sums(n)
         since = np.zeros(n, np.int64)
         gate = np.where(border, np.arange(n), n)  # the edge pixel that speaks for an open set
         hits: dict[int, dict[int, int]] = {}

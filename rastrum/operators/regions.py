@@ -15,18 +15,22 @@ from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..core import any_row, checkpointed
+from .component_tree import Forest
 from .graph import connected_components
 from .raster import SMALL_FRAME, hull_area
 
 IMAGE = ("image_id",)
 SIZE = ["height", "width"]
 CELL = 64
+STRIP = 256  # rows of a frame whose parts one task labels
+LABEL_ROWS = 20_000  # rows dealt into one group for labelling
 
 
 # ---- runs as columns ------------------------------------------------------------------------
@@ -141,24 +145,49 @@ def measures(rows: DataFrame, ids: Sequence[str]) -> DataFrame:
         F.max(F.element_at("runs", -1)["b"]).alias("x2"), (F.max("y") + 1).alias("y2"))
 
 
+def _labelled(ids: Sequence[str], reach: int):
+    """Adds to runs (ids, y, a, b) the first run of the part they belong to within their strip."""
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        pdf = pdf.assign(__of=pdf.groupby([*ids], sort=False).ngroup()).sort_values(["__of", "y", "a"], ignore_index=True)
+        of, y, a, b = (pdf[c].to_numpy(np.int64) for c in ("__of", "y", "a", "b"))
+        row, wide = of * (int(y.max()) + 2) + y, int(b.max()) + 3
+        at = lambda row, x: row * wide + x + 1  # noqa: E731  ends and starts rise with it
+        low = np.searchsorted(at(row, b), at(row + 1, a - reach), "right")
+        high = np.searchsorted(at(row, a), at(row + 1, b + reach), "left")
+        high = np.where((y + 1) % STRIP == 0, low, np.maximum(high, low))
+        near = high - low
+        up = np.repeat(np.arange(len(y)), near)
+        sets = Forest(len(y))
+        sets.join(up, np.arange(len(up)) - np.repeat(np.cumsum(near) - near - low, near))
+        root = sets.find(np.arange(len(y)))
+        return pdf.drop(columns=["__of", "__group"]).assign(first_y=y[root], first_a=a[root].astype(np.int32))
+    return run
+
+
 def parts(rows: DataFrame, ids: Sequence[str], diagonal: bool = True) -> DataFrame:
     """Rows of the 8-connected (else 4-connected) parts of every region, with ``first`` = (y, a) of the part's first run.
 
-    Runs that touch in neighbouring rows are edges; the smallest run of a part is its first in reading order."""
+    The smallest run of a part is its first in reading order. Runs that touch in neighbouring rows are joined in the task
+    that holds their strip of STRIP rows; only what crosses from strip to strip is joined over all tasks."""
     ids = list(ids)
-    named = rows.select(*ids, "y", "runs", *SIZE)
-    node = lambda y, a: F.struct(*ids, y.cast("bigint").alias("y"), a.alias("a"))
-    below = named.select(*[F.col(c).alias(f"b_{c}") for c in ids], (F.col("y") - 1).alias("b_y"), F.col("runs").alias("next"))
-    on = F.col("y") == F.col("b_y")
-    for c in ids:
-        on = on & (F.col(c) == F.col(f"b_{c}"))
-    reach = 1 if diagonal else 0
-    touching = F.flatten(F.transform("runs", lambda r: F.transform(F.filter("next", lambda s: (s["a"] < r["b"] + reach) & (r["a"] < s["b"] + reach)), lambda s: F.struct(r["a"].alias("p"), s["a"].alias("q")))))
-    edges = named.join(below, on).select(*ids, "y", F.explode(touching).alias("t")).select(node(F.col("y"), F.col("t.p")).alias("src"), node(F.col("y") + 1, F.col("t.q")).alias("dst"))
-    runs = named.select(*ids, "y", *SIZE, F.explode("runs").alias("r")).withColumn("node", node(F.col("y"), F.col("r.a")))
-    label = connected_components(runs.select("node"), edges)
-    found = runs.join(label, "node").withColumn("first", F.struct(F.col("component.y").alias("y"), F.col("component.a").alias("a")))
-    return found.groupBy(*ids, "first", "y", *SIZE).agg(F.array_sort(F.collect_list("r")).alias("runs")).select(*ids, "first", "y", "runs", *SIZE)
+    rows = checkpointed(rows.select(*ids, "y", "runs", *SIZE))
+    strip = F.floor(F.col("y") / STRIP)
+    groups = max(8, rows.count() // LABEL_ROWS)
+    flat = rows.select(*ids, F.col("y").cast("bigint").alias("y"), *SIZE, F.explode("runs").alias("r"), F.pmod(F.xxhash64(*ids, strip), F.lit(groups)).alias("__group")).select("*", "r.*").drop("r")
+    kinds = ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in flat.drop("__group").schema)
+    found = checkpointed(flat.groupBy("__group").applyInPandas(_labelled(ids, 1 if diagonal else 0), f"{kinds}, first_y bigint, first_a int"))
+    first = F.struct(F.col("first_y").alias("y"), F.col("first_a").alias("a"))
+    if any_row(found.where(F.col("y") >= STRIP)):
+        found = found.withColumn("node", F.struct(*ids, "first_y", "first_a"))
+        reach = 1 if diagonal else 0
+        above = found.where(F.col("y") % STRIP == STRIP - 1).select(*ids, (F.col("y") + 1).alias("y"), F.col("a").alias("p_a"), F.col("b").alias("p_b"), F.col("node").alias("src"))
+        below = found.where((F.col("y") % STRIP == 0) & (F.col("y") > 0)).select(*ids, "y", "a", "b", F.col("node").alias("dst"))
+        edges = above.join(below, [*ids, "y"]).where((F.col("a") < F.col("p_b") + reach) & (F.col("p_a") < F.col("b") + reach)).select("src", "dst").distinct()
+        label = connected_components(found.select("node").distinct(), edges)
+        found, first = found.join(label, "node"), F.struct(F.col("component.first_y").alias("y"), F.col("component.first_a").alias("a"))
+    y = F.col("y").cast(rows.schema["y"].dataType)
+    return found.groupBy(*ids, first.alias("first"), y.alias("y"), *SIZE).agg(F.array_sort(F.collect_list(run(F.col("a"), F.col("b")))).alias("runs")).select(*ids, "first", "y", "runs", *SIZE)
 
 
 def outer_contours(rows: DataFrame, frames: DataFrame) -> DataFrame:
@@ -318,7 +347,6 @@ def shapes(rows: DataFrame, ids: Sequence[str], batch: int = 50_000) -> DataFram
     """(ids, largest, peaks, hull_area) of regions: ``rows`` hold ids, y, runs and the runs of peaks.
 
     Regions are dealt into groups of about ``batch`` rows, many regions a group, runs only."""
-    import pandas as pd
     ids = list(ids)
     groups = max(8, rows.count() // batch)
 

@@ -299,6 +299,26 @@ def both_ways(monkeypatch, merge):
     return got
 
 
+@pytest.mark.parametrize("strip", [5, 256])
+def test_parts_by_strips(spark, monkeypatch, strip):
+    rng = np.random.default_rng(5)
+    masks = {(i, k): rng.random((31, 24)) < 0.35 + 0.1 * k for i in range(2) for k in range(2)}
+    masks[2, 0] = np.zeros((31, 24), bool)
+    masks[2, 0][3:28, 2] = masks[2, 0][3:28, 9] = masks[2, 0][27, 2:10] = True  # its two arms meet in the last strip
+    monkeypatch.setattr(regions, "STRIP", strip)
+    if strip == 256:  # one strip a frame: no rounds over all tasks
+        monkeypatch.setattr(regions, "connected_components", None)
+    got: dict = {}
+    for r in regions.parts(rows_of(spark, masks), IDS).collect():
+        got.setdefault((r["image_id"], r["item"], *r["first"]), set()).update((r["y"], x) for t in r["runs"] for x in range(t["a"], t["b"]))
+    want = {}
+    for key, mask in masks.items():
+        for p in parts(mask):
+            pixels = {(int(y), int(x)) for y, x in zip(*np.nonzero(p))}
+            want[*key, *min(pixels)] = pixels
+    assert got == want
+
+
 def test_merges_of_small_images_take_no_rounds(spark, monkeypatch):
     rng = np.random.default_rng(7)
     masks, heats = {}, {}
