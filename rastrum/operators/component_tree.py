@@ -29,6 +29,8 @@ BOX = ["first", "y1", "x1", "y2", "x2"]  # the smallest of the first three, the
 SUMS = ["area", "score", *BOX]
 STATE = ("image_id bigint, kind int, node bigint, other bigint, low int, level int, truth bigint, area bigint, score double, "
          "first bigint, y1 bigint, x1 bigint, y2 bigint, x2 bigint, hits array<struct<truth_id:bigint,n:bigint>>")
+#: rows of whole blocks that a task holds as numpy arrays and states at a time, whatever the size of the input
+GROUP_ROWS = 40_000
 BLANK = {"other": -1, "low": 0, "truth": -1, "area": 0, "score": 0.0, **dict.fromkeys(BOX, 0), "hits": None}
 COLUMNS = ["image_id", "kind", "node", "other", "low", "level", "truth", *SUMS, "hits"]
 
@@ -192,7 +194,7 @@ def _settle(bits: int, last_y: int, last_x: int):
     return run
 
 
-def component_tree(pixels: DataFrame, bits: int = 7, rows: int = 200_000) -> DataFrame:
+def component_tree(pixels: DataFrame, bits: int = 7, rows: int = GROUP_ROWS) -> DataFrame:
     """(image_id, low, high, area, score, first, x1, y1, x2, y2, hits): the states of all 8-connected components.
 
     ``pixels``: image_id, y, x (each from 0, below 2^31), level (a pixel below every threshold has 0 and takes no

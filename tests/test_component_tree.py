@@ -1,6 +1,7 @@
 """Components at all thresholds and the calibration curve, against labelling each threshold alone."""
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastrum.operators import component_tree as ct
 from tests.test_raster import brute_parts
@@ -137,3 +138,22 @@ def test_curve_equals_each_threshold_alone(spark):
 def test_curve_of_no_maps(spark):
     curve, kinds = curve_of(spark, {1: {(0, 0): NAN}}, {}, {1: (True, "a")})
     assert curve.count() == 0 and kinds.count() == 0
+
+
+def test_groups_stay_small(spark, monkeypatch):
+    """600,000 pixels: no task is handed more rows at a time than with fewer."""
+    plain = ct._settle
+
+    def settle(*args):
+        run = plain(*args)
+
+        def bounded(pdf):
+            assert len(pdf) <= 60_000
+            return run(pdf)
+        return bounded
+    monkeypatch.setattr(ct, "_settle", settle)
+    at = F.explode(F.sequence(F.lit(0), F.lit(63))).alias("i")
+    pixels = spark.range(9375).select(F.col("id").alias("image_id"), at).select(
+        "image_id", F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).cast("bigint").alias("x"), F.lit(1).alias("level"), F.col("i").cast("double").alias("v"), F.lit(None).cast("bigint").alias("truth"))
+    tree = ct.component_tree(pixels).agg(F.count("*").alias("n"), F.sum("area").alias("area"), F.min("score").alias("score")).first()
+    assert tuple(tree) == (9375, 600_000, 63.0)
