@@ -6,12 +6,16 @@ sides into grid cells, so only shapes that share a cell ever meet - not all pair
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Sequence
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.exprs import area, mask_dice, mask_iou, share
+from . import run_length as rl
 
 CELL = 16
 
@@ -135,51 +139,49 @@ def box_pairs(proposals: DataFrame, truths: DataFrame, tiles: bool = True, keep:
 
 
 # ---- run-length code ----------------------------------------------------------------------
-def _with(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then`` of a value that is computed once, however often ``then`` names it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
+def _fields(df: DataFrame, names: Sequence[str], more: str) -> str:
+    return ", ".join(f"`{c}` {df.schema[c].dataType.simpleString()}" for c in names) + f", {more}"
 
 
-def encoded(runs: Column, width: int, height: int) -> Column:
-    """Zero-first run lengths of one mask, an array, from its array of runs (y, x0, x1).
+def box_codes(boxes: DataFrame, ids: Sequence[str], width: int, height: int) -> DataFrame:
+    """Each box's mask coded, decoded and coded again: (ids, code, runs), the lengths joined by commas and their number.
 
-    Runs that touch across a row end are joined, so the code equals the flat one: with starts and ends sorted
-    apart, a gap follows the i-th end where the next start lies beyond it. A mask has at most height x width
-    runs, which bounds the arrays."""
-    flat = lambda c: F.sort_array(F.transform(runs, lambda r: (r["y"] * width + r[c]).cast("bigint")))
-    total = F.lit(width * height).cast("bigint")
-
-    def edges(p: Column) -> Column:
-        starts = F.filter(p["a"], lambda x, i: (i == 0) | (x > F.get(p["b"], i - 1)))
-        ends = F.filter(p["b"], lambda x, i: F.coalesce(F.get(p["a"], i + 1) > x, F.lit(True)))
-        return F.flatten(F.zip_with(starts, ends, lambda x, y: F.array(x, y)))
-
-    def lengths(e: Column) -> Column:
-        body = F.zip_with(e, F.concat(F.array(F.lit(0).cast("bigint")), F.slice(e, 1, F.size(e) - 1)), lambda x, y: x - y)
-        end = F.element_at(e, -1)
-        return F.when(end < total, F.concat(body, F.array(total - end))).otherwise(body)
-    return _with(_with(F.struct(flat("x0").alias("a"), flat("x1").alias("b")), edges), lengths)
-
-
-def decoded(code: Column, width: int) -> Column:
-    """Runs (y, x0, x1) of one mask from its run lengths."""
-    edges = F.aggregate(code, F.array(F.lit(0).cast("bigint")), lambda s, n: F.concat(s, F.array(F.element_at(s, -1) + n)))
+    A mask stays in its task from its box to its code; boxes that hold no pixel have no row."""
+    ids = list(ids)
+    solid = (F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1"))
 
-    def rows(e: Column) -> Column:
-        ones = F.filter(F.transform(e, lambda x, i: F.struct(x.alias("a"), F.get(e, i + 1).alias("b"), i.alias("i"))), lambda s: (s["i"] % 2 == 1) & (s["b"] > s["a"]))
-        row = lambda y, s: F.struct(y.alias("y"), (F.greatest(s["a"], y * width) - y * width).alias("x0"), (F.least(s["b"], (y + 1) * width) - y * width).alias("x1"))
-        return F.flatten(F.transform(ones, lambda s: F.transform(F.sequence(F.floor(s["a"] / width), F.floor((s["b"] - 1) / width)), lambda y: row(y, s))))
-    return _with(edges, rows)
+    def made(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        x1, y1, x2, y2 = (rl.numbers(part.column(c)) for c in ("x1", "y1", "x2", "y2"))
+        rows = y2 - y1
+        size, lengths = rl.encode(rows, np.repeat(y1, rows) + rl.within(rows), np.repeat(x1, rows), np.repeat(x2, rows), width, height)
+        size, lengths = rl.encode(*rl.decode(size, lengths, width), width, height)
+        return {"code": pc.binary_join(rl.list_of(size, pa.array(lengths).cast(pa.string())), ","), "runs": pa.array(size)}
+    rows = boxes.where(solid).select(*ids, "x1", "y1", "x2", "y2")
+    return rows.mapInArrow(rl.batches(ids, lambda b: rl.numbers(b.column(b.schema.get_field_index("y2"))) - rl.numbers(b.column(b.schema.get_field_index("y1"))), made), _fields(rows, ids, "code string, runs bigint"))
 
 
 def rle_encode(runs: DataFrame, ids: Sequence[str], width: int, height: int) -> DataFrame:
     """Zero-first run lengths in row order, one row per run: (ids, position, bit, length)."""
-    whole = runs.groupBy(*ids).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("runs"))
-    each = whole.select(*ids, F.posexplode(encoded(F.col("runs"), width, height)).alias("position", "length"))
+    ids = list(ids)
+
+    def made(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        size, y = rl.lists(part.column("y"))
+        size, lengths = rl.encode(size, rl.numbers(y), *(rl.numbers(rl.lists(part.column(c))[1]) for c in ("x0", "x1")), width, height)
+        return {"code": rl.list_of(size, pa.array(lengths))}
+    whole = runs.groupBy(*ids).agg(F.collect_list(F.struct("y", "x0", "x1")).alias("r")).select(*ids, "r.y", "r.x0", "r.x1")
+    coded = whole.mapInArrow(rl.batches(ids, lambda b: rl.lists(b.column("y"))[0], made), _fields(whole, ids, "code array<bigint>"))
+    each = coded.select(*ids, F.posexplode("code").alias("position", "length"))
     return each.select(*ids, F.col("position").cast("bigint").alias("position"), (F.col("position") % 2).alias("bit"), "length")
 
 
 def rle_decode(code: DataFrame, ids: Sequence[str], width: int) -> DataFrame:
     """Back to runs per row."""
+    ids = list(ids)
+
+    def made(part: pa.RecordBatch) -> dict[str, pa.Array]:
+        size, lengths = rl.lists(part.column("code"))
+        size, *runs = rl.decode(size, rl.numbers(lengths), width)
+        return {c: rl.list_of(size, pa.array(v)) for c, v in zip(("y", "x0", "x1"), runs)}
     whole = code.groupBy(*ids).agg(F.transform(F.array_sort(F.collect_list(F.struct("position", "length"))), lambda c: c["length"]).alias("code"))
-    return whole.select(*ids, F.explode(decoded(F.col("code"), width)).alias("r")).select(*ids, "r.*")
+    back = whole.mapInArrow(rl.batches(ids, lambda b: rl.lists(b.column("code"))[0], made), _fields(whole, ids, "y array<bigint>, x0 array<bigint>, x1 array<bigint>"))
+    return back.select(*ids, F.explode(F.arrays_zip("y", "x0", "x1")).alias("r")).select(*ids, "r.*")

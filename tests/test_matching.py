@@ -140,6 +140,26 @@ def test_codec_shuffles_no_runs(spark):
     assert plan.count("Exchange ") == 1 and "Generate" not in plan
 
 
+def test_codes_of_many_masks_at_once(spark, monkeypatch):
+    """Masks are coded as flat arrays, a few runs at a time; empty runs hold nothing and boxes without pixels have no row."""
+    monkeypatch.setattr(masks.rl, "ROWS", 7)
+    rng, w, h = random.Random(5), 6, 5
+    def brute_code(on):
+        return [0] * (0 in on) + [len(list(g)) for _, g in itertools.groupby(range(w * h), lambda i: i in on)]
+    boxes = [(m, x, y, x + rng.randint(0, w - x), y + rng.randint(0, h - y)) for m in range(80) for x, y in [(rng.randrange(w), rng.randrange(h))]] + [(80, 0, 0, w, h), (81, 0, 1, w, 3)]
+    want = {m: brute_code({y * w + x for y in range(b, d) for x in range(a, c)}) for m, a, b, c, d in boxes if c > a and d > b}
+    codes = masks.box_codes(spark.createDataFrame(boxes, "box_id bigint, x1 bigint, y1 bigint, x2 bigint, y2 bigint"), ["box_id"], w, h)
+    assert {r["box_id"]: [int(n) for n in r["code"].split(",")] for r in codes.collect()} == want
+    assert all(r["runs"] == len(want[r["box_id"]]) for r in codes.collect())
+    assert "MapInArrow" in entry.queries()["f13_rle_codec"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    rows = [(1, 0, 0, 2), (1, 0, 4, 4), (1, 2, 3, 3), (1, 3, 1, 6), (2, 1, 2, 2)]
+    code = masks.rle_encode(spark.createDataFrame(rows, "m bigint, y bigint, x0 bigint, x1 bigint"), ["m"], w, h)
+    got = {}
+    for r in code.orderBy("position").collect():
+        got.setdefault(r["m"], []).append(r["length"])
+    assert got == {1: brute_code({0, 1, *range(19, 24)}), 2: [w * h]}
+
+
 def test_large_banks_meet_in_blocks(spark, monkeypatch):
     """Exact neighbours from blocks of both sides of one table, without a row for a pair."""
     rng = np.random.default_rng(6)
