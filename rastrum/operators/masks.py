@@ -25,10 +25,6 @@ def _cells(lo: Column, hi: Column, size: int) -> Column:
     return F.sequence(F.floor(lo / size), F.floor((hi - 1) / size))
 
 
-def box_runs(boxes: DataFrame, keep: Sequence[str]) -> DataFrame:
-    return boxes.select(*keep, F.explode(F.sequence(F.col("y1"), F.col("y2") - 1)).alias("y"), F.col("x1").alias("x0"), F.col("x2").alias("x1"))
-
-
 def tiled(boxes: DataFrame, size: int = CELL) -> DataFrame:
     b = boxes.where((F.col("x2") > F.col("x1")) & (F.col("y2") > F.col("y1")))
     return (b.withColumn("tx", F.explode(_cells(F.col("x1"), F.col("x2"), size)))
@@ -58,16 +54,20 @@ def box_overlaps(left: DataFrame, right: DataFrame, on: Sequence[str], size: int
             .withColumn("intersection", w * h).drop("tx", "ty"))
 
 
-def run_overlaps(left: DataFrame, right: DataFrame, left_ids: Sequence[str], right_ids: Sequence[str], size: int = CELL) -> DataFrame:
-    """Intersection area of every overlapping pair of masks of the same image."""
-    def cut(df: DataFrame, ids: Sequence[str], p: str) -> DataFrame:
-        return df.select("image_id", *[c for c in ids], "y", F.col("x0").alias(f"{p}0"), F.col("x1").alias(f"{p}1"),
-                         F.explode(_cells(F.col("x0"), F.col("x1"), size)).alias("cx"))
-    j = cut(left, left_ids, "a").join(cut(right, right_ids, "b"), ["image_id", "y", "cx"])
-    lo = F.greatest("a0", "b0", F.col("cx") * size)
-    hi = F.least("a1", "b1", (F.col("cx") + 1) * size)
-    return (j.where(hi > lo).groupBy("image_id", *left_ids, *right_ids)
-            .agg(F.sum(hi - lo).alias("intersection")))
+def run_overlaps(left: DataFrame, right: DataFrame, left_ids: Sequence[str], right_ids: Sequence[str], tiles: bool = True) -> DataFrame:
+    """Intersection area of every overlapping pair of masks of the same image.
+
+    A mask is one row (`box_masks`, `whole_masks`). Masks meet where their boxes do, as in `box_overlaps`, and runs are compared
+    row by row inside the task that holds the pair, so no run is shuffled.
+    """
+    key = ["image_id", *left_ids, *right_ids]
+    met = box_overlaps(left, right, ["image_id"], tiles=tiles).select(
+        "image_id", *[F.col(f"l_{c}").alias(c) for c in left_ids], *[F.col(f"r_{c}").alias(c) for c in right_ids],
+        F.col("l_runs").alias("__p"), F.col("r_runs").alias("__t"), F.col("r_y1").alias("__top"), F.col("r_y2").alias("__end"))
+    one = met.select(*key, "__t", "__top", "__end", F.explode("__p").alias("__a")).where((F.col("__a.y") >= F.col("__top")) & (F.col("__a.y") < F.col("__end")))
+    both = one.select(*key, "__a", F.explode("__t").alias("__b"))
+    over = F.least("__a.x1", "__b.x1") - F.greatest("__a.x0", "__b.x0")
+    return both.where((F.col("__a.y") == F.col("__b.y")) & (over > 0)).groupBy(*key).agg(F.sum(over).alias("intersection"))
 
 
 def run_stats(runs: DataFrame, ids: Sequence[str]) -> DataFrame:

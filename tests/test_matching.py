@@ -224,6 +224,20 @@ def test_pairs_of_masks_shuffle_no_runs(spark):
     assert m.first()["mask_iou"] == 1.0 and _plan(m).count("Exchange hashpartitioning") <= 2
 
 
+def test_run_overlaps_shuffle_no_runs(spark):
+    """Masks of odd shape against pixel sets; runs stay in the task that holds their pair."""
+    rng = random.Random(8)
+    made = lambda n: {(i, k): {(rng.randint(0, 40), x) for a in (rng.randint(0, 30),) for x in range(a, a + 9)} | {(rng.randint(0, 40), rng.randint(0, 40)) for _ in range(60)} for i in range(3) for k in range(n)}
+    p, t = made(6), made(4)
+    rows = lambda d: [(*k, y, x, x + 1) for k, v in d.items() for y, x in sorted(v)]
+    pr, tr = (masks.whole_masks(spark.createDataFrame(rows(d), f"image_id bigint, {n} bigint, y bigint, x0 bigint, x1 bigint"), [n]) for d, n in ((p, "p"), (t, "t")))
+    want = {(i, k, n, len(a & b)) for (i, k), a in p.items() for (j, n), b in t.items() if i == j and a & b}
+    for tiles in (True, False):
+        assert {tuple(r) for r in masks.run_overlaps(pr, tr, ["p"], ["t"], tiles).collect()} == want
+    plan = _plan(entry.queries()["j13_run_overlap_join"](spark, "/root/testdata/sf0.001"))
+    assert not any("Exchange hashpartitioning" in x and (", y#" in x or "runs#" in x) for x in plan.splitlines()) and "Exchange hashpartitioning(image_id" in plan
+
+
 def test_stars_are_settled_without_python(spark):
     """A truth with many proposals, and the reverse, needs no solver; scopes are bits of one row a pair."""
     e = spark.createDataFrame([(1, "m", a, 1, w) for a, w in ((1, 0.4), (2, 0.6), (3, 0.6))] + [(2, "m", 1, b, w) for b, w in ((5, 0.3), (4, 0.3))],
