@@ -13,11 +13,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..scale import exact_quantiles
+from . import small_frames as sf
 from .graph import connected_components
 
 PIXEL = ["image_id", "y", "x"]
 # Weights of the seven evidence maps.
 EVIDENCE = {"sobel": 0.18, "laplacian": 0.12, "edges": 0.16, "texture": 0.20, "lbp": 0.12, "colour": 0.16, "threshold": 0.06}
+MAPS = ("blur", "sobel", "laplacian", "texture", "lbp", "colour", "edges", "threshold", "strength")
 SHARPEN = ((0, -1, 0), (-1, 5.2, -1), (0, -1, 0))
 SOBEL_X = ((-1, 0, 1), (-2, 0, 2), (-1, 0, 1))
 SOBEL_Y = ((-1, -2, -1), (0, 0, 0), (1, 2, 1))
@@ -473,12 +475,16 @@ def region_contrast(df: DataFrame, regions: DataFrame, bands: Sequence[str], tex
                                   F.least(F.abs(F.col("ei") - F.col("eo")), F.lit(1.0)).alias("local_entropy_contrast"), F.least((F.abs(gap(texture)) + F.sqrt(colour)) / 100, F.lit(1.0)).alias("novelty"))
 
 
-def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level: int = 128) -> DataFrame:
+def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level: int = 128, maps: Sequence[str] = MAPS) -> DataFrame:
     """All maps of the classical detector on one table: gradients, texture, pattern, colour, threshold, strength.
 
-    ``df``: image_id, y, x, b, g, r. Maps are stretched to 0..255 per image before they are fused.
+    ``df``: image_id, y, x, b, g, r and columns to keep. Maps are stretched to 0..255 per image before they are fused. Frames of up to
+    SMALL_FRAME pixels are dealt out by image once and handled in that task, and stay together there; larger ones pixel by pixel.
+    ``maps`` names the maps that are wanted, all by default.
     """
     base = df.withColumn("gray", gray(F.col("b"), F.col("g"), F.col("r")))
+    if height * width <= SMALL_FRAME:
+        return sf.by_image(sf.dealt(base), base.columns, list(maps), sf.detector_maps(EVIDENCE, (SOBEL_X, SOBEL_Y, LAPLACE), radius, level))
     blur = gaussian5(base, "gray", "blur")
     n = neighbours(blur, "blur")
     gx, gy = kernel(SOBEL_X), kernel(SOBEL_Y)
@@ -494,7 +500,7 @@ def feature_maps(df: DataFrame, height: int, width: int, radius: int = 7, level:
     total = F.lit(0.0)
     for k, w in EVIDENCE.items():
         total = total + w * F.col(k)
-    return minmax(d.withColumn("strength", total), ["strength"])
+    return minmax(d.withColumn("strength", total), ["strength"]).select(*base.columns, *maps)
 
 
 # ---- equalisation, stability, coherence --------------------------------------------------------

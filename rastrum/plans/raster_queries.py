@@ -427,8 +427,9 @@ def _(t):
 
 @query("r30_extract_feature_maps")
 def _(t):
-    f = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2)
-    return f.select("image_id", "y", "x", *[r6(c).alias(c) for c in ("sobel", "laplacian", "texture", "lbp", "colour", "edges", "strength")])
+    maps = ("sobel", "laplacian", "texture", "lbp", "colour", "edges", "strength")
+    f = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2, maps=maps)
+    return f.select("image_id", "y", "x", *[r6(c).alias(c) for c in maps])
 
 
 @query("r31_tile_equalise", "raster", G + """, h AS (SELECT image_id, y//4 AS ty, x//4 AS tx, gray AS lv, count(*) AS n FROM gy GROUP BY 1,2,3,4), ex AS (SELECT image_id, ty, tx, sum(greatest(n-1.0,0)) AS e FROM h GROUP BY 1,2,3),

@@ -139,3 +139,41 @@ def test_small_frames_are_dealt_out_once(spark, monkeypatch):
     plan = lambda small: raster.saliency_support(d, "v", 2, small)._jdf.queryExecution().executedPlan().toString()
     stencil = lambda p: sum("Exchange hashpartitioning(image_id" in x and (", y#" in x or ", x#" in x) for x in p.splitlines())
     assert stencil(plan(True)) == 0 < stencil(plan(False))
+
+
+def odd_images(spark):
+    """Frames of several sizes up to 12 x 9: noise, flat, one pixel, one row, with pixels missing and with nulls."""
+    rng = np.random.default_rng(7)
+    sizes = {1: (12, 9), 2: (8, 8), 3: (1, 1), 4: (1, 9), 5: (12, 2), 6: (10, 9), 7: (6, 6), 8: (12, 9)}
+    rows = []
+    for i, (h, w) in sizes.items():
+        a = rng.integers(0, 256, (h, w, 3)) if i not in (2, 8) else np.full((h, w, 3), 90)
+        if i == 8:
+            a[3:9, 2:7] = 250
+        for y in range(h):
+            for x in range(w):
+                if i == 6 and rng.random() < 0.3:
+                    continue
+                rows.append((i, y, x, *([None] * 3 if i == 7 and rng.random() < 0.2 else map(int, a[y, x]))))
+    return spark.createDataFrame(rows, "image_id bigint, y bigint, x bigint, b bigint, g bigint, r bigint").repartition(5)
+
+
+def test_maps_of_small_frames_equal_those_by_pixel(spark, monkeypatch):
+    """Images dealt out whole give the same maps as stencils by row and column, with one exchange of their pixels."""
+    d = odd_images(spark)
+    monkeypatch.setattr(raster.sf, "PIXELS", 50)
+    got = []
+    for small in (raster.SMALL_FRAME, 1):
+        monkeypatch.setattr(raster, "SMALL_FRAME", small)
+        f = raster.feature_maps(d, 12, 9, radius=2)
+        got.append({(r["image_id"], r["y"], r["x"]): r.asDict() for r in f.collect()})
+        columns = f.columns
+        if small > 1:
+            assert f._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1].count("Exchange hashpartitioning") == 1
+            assert raster.feature_maps(d.limit(0), 12, 9, radius=2).count() == 0
+    assert got[0].keys() == got[1].keys() and set(columns) >= {"b", "gray", *raster.MAPS}
+    for k, one in got[0].items():
+        for c in columns:
+            a, b = one[c], got[1][k][c]
+            assert a == b or (a is not None and b is not None and abs(a - b) < 1e-9), (k, c, a, b)
+    assert {r["edges"] for r in got[0].values()} == {0.0, 255.0}
