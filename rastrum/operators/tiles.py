@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from ..core import checkpointed
 from ..scale import exact_quantiles
+from . import small_frames as sf
 
 SCALES = (0.08, 0.16, 0.28)  # fixed values: tile sides as shares of the shorter side of a frame
 LEAST = 24
@@ -70,7 +71,7 @@ def tile_features(cells: DataFrame, levels: DataFrame, maps: Sequence[str], band
         (F.sqrt(apart) / 45.0).alias("colour_from_ring"), F.greatest("entropy", F.lit(0.0)).alias("entropy"), (F.abs(dev("i_", "n") - dev("r_", "rn")) / 35.0).alias("deviation_from_ring")))
 
 
-def tile_scores(df: DataFrame, frames: DataFrame, maps: Sequence[str], bands: Sequence[str], gray: str = "gray",
+def tile_scores(df: DataFrame, frames: DataFrame | None, maps: Sequence[str], bands: Sequence[str], gray: str = "gray",
                 ratios: Sequence[float] = SCALES, least: int = LEAST) -> DataFrame:
     """(image_id, y, x, tile_score) of every pixel: the mean score of the tiles over it, 0 where none fits.
 
@@ -78,7 +79,13 @@ def tile_scores(df: DataFrame, frames: DataFrame, maps: Sequence[str], bands: Se
     image_id, height, width, one row an image; frames may differ in size. A feature is cut at its 97th
     percentile over all tiles of the image, then divided by the 90th; a tile's score is the mean of its features
     within 0 and 1. A pixel that is missing from ``df`` adds nothing and gets no row.
+
+    Without ``frames``, ``df`` has height and width itself and holds images of small frames whole, one after the other, as
+    `small_frames.dealt` and what follows it row by row leave them; they are scored where they are.
     """
+    if frames is None:
+        d = df.select("image_id", "y", "x", "height", "width", *dict.fromkeys((gray, *maps, *bands)))
+        return sf.by_image(d, ["image_id", "y", "x"], ["tile_score"], sf.tile_means(maps, bands, gray, ratios, least))
     sized = frames.select("image_id", _scales(ratios, least).alias("scales"))
     pixels = df.join(sized, "image_id").select("image_id", "y", "x", F.col(gray).cast("double").alias("__gray"), *[F.col(c).cast("double").alias(c) for c in (*maps, *bands)],
                                                "scales", _cells("y").alias("cy"), _cells("x").alias("cx"))

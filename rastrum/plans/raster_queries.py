@@ -145,10 +145,10 @@ def _(t):
 
 @query("r12_detector_tile_scores")
 def _(t):
-    maps = ra.feature_maps(bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r"), H, W, radius=2)
+    sized = bgr(t).select("image_id", "y", "x", "b", F.col("gg").alias("g"), "r", F.lit(H).alias("height"), F.lit(W).alias("width"))
     lab = ra.lab(F.col("b"), F.col("g"), F.col("r"))
-    d = checkpointed(maps.select("image_id", "y", "x", "gray", *_TILE_MAPS, *[v.alias(f"lab_{k}") for k, v in lab.items()]))
-    return px(tl.tile_scores(d, frames(t), _TILE_MAPS, [f"lab_{k}" for k in lab], ratios=(0.5, 0.65, 0.9), least=4), tile_score=r6("tile_score"))
+    d = ra.feature_maps(sized, H, W, radius=2, maps=_TILE_MAPS).select("*", *[v.alias(f"lab_{k}") for k, v in lab.items()])
+    return px(tl.tile_scores(d, None, _TILE_MAPS, [f"lab_{k}" for k in lab], ratios=(0.5, 0.65, 0.9), least=4), tile_score=r6("tile_score"))
 
 
 # ---- masks --------------------------------------------------------------------------------
